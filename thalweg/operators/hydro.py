@@ -234,7 +234,7 @@ def stream_order(flow: DataFrame, mask: DataFrame, spec: GridSpec, *, dirmap=DIR
     known = front = pinned(node.where("n = 0").select("id", F.lit(1).alias("ord")), "orders")
     while True:
         sent = ends.join(known.withColumnRenamed("id", "head"), "head").groupBy("tail").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("got"))
-        ready = node.where("node and n > 0").join(sent, node.id == sent.tail).where("got = n").join(known.select("id"), "id", "left_anti")
+        ready = node.where("node and n > 0").join(sent, node["id"] == sent["tail"]).where("got = n").join(known.select("id"), "id", "left_anti")
         front = pinned(ready.select("id", (F.col("hi") + ((F.col("lo") == F.col("hi")) & (F.col("fed") > 1)).cast("int")).alias("ord")), "front")
         if front.isEmpty():
             break
