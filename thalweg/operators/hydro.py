@@ -153,6 +153,17 @@ def compute_hand(flow: DataFrame, cells: DataFrame, mask: DataFrame, spec: GridS
     return _back(found.join(z, "id").join(low, "channel").select("id", "channel", (F.col("z") - F.col("zc")).alias("hand")), spec, "channel", "hand")
 
 
+def inundation(hand: DataFrame, spec: GridSpec, depth: float | DataFrame) -> DataFrame:
+    """row, col, ``depth`` of water where ``hand`` (of compute_hand) is below that of its channel: one number for all channels,
+    or a table (row, col, depth) of which the channel's cell is looked up."""
+    if isinstance(depth, DataFrame):
+        of = depth.select(_id(spec).alias("channel"), F.col("depth").cast("double").alias("full"))
+        wet = hand.join(of, "channel")
+    else:
+        wet = hand.withColumn("full", F.lit(float(depth)))
+    return wet.where("hand < full").select("row", "col", (F.col("full") - F.col("hand")).alias("depth"))
+
+
 def _channels(flow: DataFrame, mask: DataFrame, spec: GridSpec, dirmap) -> DataFrame:
     """id, ``p``, ``fed`` (cells that flow in, and one more for a sink) of the masked cells and of the cells they leave into."""
     inner = ~on_rim(spec, F.col("row"), F.col("col"))

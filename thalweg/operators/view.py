@@ -94,16 +94,17 @@ def snap_to_mask(mask: DataFrame, points: DataFrame, spec: GridSpec, box: int =
         ring *= 4
 
 
-def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0) -> DataFrame:
+def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False) -> DataFrame:
     """row, col, ``z``: the value of the last shape (sid, ring: array of (x, y) structs, value) whose ring holds the cell's centre by
-    the even-odd rule, else ``fill``. A shape meets only the cells of its own box."""
+    the even-odd rule, else ``fill``. With ``all_touched`` a shape also has the cells that its ring's sides touch. A shape meets
+    only the cells of its own box."""
     a, b, c, d, e, f = spec.inverse()
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     cols = F.transform("ring", lambda p: F.lit(a) * p["x"] + F.lit(b) * p["y"] + F.lit(c))
     rows = F.transform("ring", lambda p: F.lit(d) * p["x"] + F.lit(e) * p["y"] + F.lit(f))
     low = lambda v: F.greatest(F.floor(F.array_min(v)), F.lit(0)).cast("int")
     high = lambda v, n: F.least(F.floor(F.array_max(v)), F.lit(n - 1)).cast("int")
-    s = shapes.select("sid", "value", xs.alias("xs"), ys.alias("ys"), low(rows).alias("r0"), high(rows, spec.nrows).alias("r1"), low(cols).alias("c0"), high(cols, spec.ncols).alias("c1")).where("r0 <= r1 and c0 <= c1")
+    s = shapes.select("sid", "value", xs.alias("xs"), ys.alias("ys"), cols.alias("us"), rows.alias("vs"), low(rows).alias("r0"), high(rows, spec.nrows).alias("r1"), low(cols).alias("c0"), high(cols, spec.ncols).alias("c1")).where("r0 <= r1 and c0 <= c1")
     met = s.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     p, q, r, u, v, w = spec.affine
     cx, cy = F.col("col") + 0.5, F.col("row") + 0.5
@@ -116,6 +117,15 @@ def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0) -> DataFrame
         return F.when(apart, F.when(F.col("px") < (xj - xi) * (F.col("py") - yi) / (yj - yi) + xi, 1).otherwise(0)).otherwise(0)
 
     odd = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 1), F.lit(0), lambda t, i: t + crosses(i)) % 2 == 1
+    def touches(i: Column) -> Column:
+        """A side and a cell are apart if they are along a row, along a column or across the side."""
+        j = F.when(i == 0, F.size("us") - 1).otherwise(i - 1)
+        hu, hv = (F.get("us", i) - F.get("us", j)) / 2, (F.get("vs", i) - F.get("vs", j)) / 2
+        du, dv = (F.get("us", i) + F.get("us", j)) / 2 - cx, (F.get("vs", i) + F.get("vs", j)) / 2 - cy
+        return (F.abs(du) <= F.abs(hu) + 0.5) & (F.abs(dv) <= F.abs(hv) + 0.5) & (F.abs(du * hv - dv * hu) <= (F.abs(hu) + F.abs(hv)) * 0.5)
+
+    if all_touched:
+        odd = odd | F.exists(F.sequence(F.lit(0), F.size("us") - 1), touches)
     hit = met.where(odd).groupBy(F.col("row").cast("long").alias("row"), "col").agg(F.max_by("value", "sid").alias("z"))
     grid = shapes.sparkSession.range(spec.size).select(F.floor(F.col("id") / spec.ncols).cast("long").alias("row"), F.pmod("id", F.lit(spec.ncols)).cast("int").alias("col"))
     return grid.join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(fill)).alias("z"))

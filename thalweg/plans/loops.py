@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the folder in spark.checkpoint.dir, which all executors share (the warehouse where it is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame, name: str = "step") -> DataFrame:
     """``df``, written to the folder in spark.checkpoint.dir (the warehouse where it is unset) and read back, so that a lost
     executor costs no more than one step."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    path = f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

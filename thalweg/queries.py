@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP, FACETS, SECTORS, STEPS
+from thalweg.grid import Grid, Raster
 from thalweg.operators import condition, hydro, terrain, view
-from thalweg.plans.loops import pinned
+from thalweg.plans.loops import pinned, scratch
+from thalweg.sources import ascii as ascii_grid
+from thalweg.sources import geotiff
 from thalweg.spec import GridSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +200,44 @@ def burn(spark, sf_dir):
     return cells.join(channels, ["row", "col"], "left").select("row", "col", F.when(F.col("c"), F.col("z") - 2.0).otherwise(F.col("z")).alias("z"))
 
 
+def inundation_varying(spark, sf_dir):
+    """Depth of water where each channel cell is 0.75 * acc ** 0.2 deep."""
+    cells, spec, flow = _flow(spark, sf_dir, "noise")
+    acc = pinned(hydro.accumulation(flow, spec), "acc")
+    hand = hydro.compute_hand(flow, cells, _mask(acc, 4), spec)
+    depth = acc.select("row", "col", (F.pow("acc", F.lit(0.2)) * 0.75).alias("depth"))
+    return hydro.inundation(hand, spec, depth).select("row", "col", _r("depth"))
+
+
+def ascii_round_trip(spark, sf_dir):
+    """The raster, written as an ASCII grid and read back."""
+    cells, spec = raster(spark, sf_dir)
+    path = scratch(spark, "ascii")
+    ascii_grid.to_ascii(cells, spec, path)
+    return ascii_grid.read_ascii(spark, path)[0]
+
+
+def raster_round_trip(spark, sf_dir):
+    """The raster, written as a GeoTIFF and read back."""
+    cells, spec = raster(spark, sf_dir)
+    path = scratch(spark, "geotiff")
+    geotiff.to_raster(cells, replace(spec, nodata=-9999.0), path)
+    return geotiff.read_raster(spark, path)[0]
+
+
+def grid_clipped_accumulation(spark, sf_dir):
+    """Accumulation on the window of a catchment, only within it."""
+    cells, spec = raster(spark, sf_dir)
+    grid = Grid(spark, spec)
+    fdir = grid.flowdir(Raster(cells, spec))
+    x, y = _top(grid.accumulation(fdir).cells, spec)
+    whole, held = grid.spec, grid.catchment(x, y, fdir, xytype="index")
+    grid.clip_to(replace(held, cells=pinned(held.cells, "catchment")))
+    col, row = whole.nearest_cell(*grid.spec.xy(0, 0))
+    acc = grid.accumulation(fdir).cells.join(grid.mask, ["row", "col"], "left_semi")
+    return acc.select((F.col("row") + row).alias("row"), (F.col("col") + col).alias("col"), _r("acc"))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"top_accumulation": top_accumulation}
     found |= {op: _local(op, name) for op, name in (("detect_pits", "noise"), ("fill_pits", "noise"), ("detect_flats", "steps"), ("flowdir_d8", "steps"), ("flowdir_dinf", "noise"), ("flowdir_mfd", "noise"))}
@@ -213,6 +255,7 @@ def queries() -> dict[str, Query]:
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(hydro.extract_profiles)}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
     found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "burn": burn}
+    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
     return found
 
 
@@ -273,12 +316,15 @@ def oracle_sql() -> dict[str, str]:
     pour = f"pour AS (SELECT row AS pr, col AS pc FROM acc WHERE {_INNER} ORDER BY acc DESC, row, col LIMIT 1)"
     out["catchment_d8"] = _with("noise", _D8, acc, pour, recursive=True) + f"SELECT DISTINCT u.sr AS row, u.sc AS col FROM up u JOIN pour ON u.row = pr AND u.col = pc WHERE NOT (sr = 0 OR sc = 0 OR sr = (SELECT mr FROM g) OR sc = (SELECT mc FROM g))"
     dist = "dist(row, col, dist) AS (SELECT pr, pc, 0.0::DOUBLE FROM pour UNION ALL SELECT d.row, d.col, t.dist + 1 FROM dist t JOIN d8 d ON d.nr = t.row AND d.nc = t.col AND d.flows)"
+    out["grid_clipped_accumulation"] = out["catchment_d8"].replace("SELECT DISTINCT u.sr AS row, u.sc AS col FROM", "SELECT a.row, a.col, a.acc FROM acc a JOIN (SELECT DISTINCT u.sr AS row, u.sc AS col FROM") + ") c USING (row, col)"
     out["distance_to_outlet_d8"] = _with("noise", _D8, acc, pour, dist, recursive=True) + "SELECT row, col, dist FROM dist"
     out["width_function"] = _with("noise", _D8, acc, pour, dist, recursive=True) + "SELECT dist, count(*) AS n FROM dist GROUP BY dist"
     out["distance_to_ridge_d8"] = _with("noise", _D8, "up(row, col, m) AS (SELECT row, col, 0.0::DOUBLE FROM cells UNION ALL SELECT d.nr, d.nc, max(u.m + (1 + (d.nr + d.nc) % 4)) FROM up u JOIN d8 d ON d.row = u.row AND d.col = u.col AND d.flows GROUP BY d.nr, d.nc)", recursive=True) + "SELECT row, col, max(m) AS dist FROM up GROUP BY row, col"
     hand = f"ch AS (SELECT row, col FROM acc WHERE acc > 4 AND {_INNER}), hd(row, col, cr, cc) AS (SELECT row, col, row, col FROM ch UNION ALL SELECT d.row, d.col, h.cr, h.cc FROM hd h JOIN d8 d ON d.nr = h.row AND d.nc = h.col AND d.flows WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.row = d.row AND ch.col = d.col) AND NOT (d.row = 0 OR d.col = 0 OR d.row = (SELECT mr FROM g) OR d.col = (SELECT mc FROM g))), hand AS (SELECT h.row, h.col, h.cr * 64 + h.cc AS channel, a.z - b.z AS hand FROM hd h JOIN cells a ON a.row = h.row AND a.col = h.col JOIN cells b ON b.row = h.cr AND b.col = h.cc)"
     out["hand_d8"] = _with("noise", _D8, acc, hand, recursive=True) + f"SELECT row, col, channel, {r6('hand')} AS hand FROM hand"
     out["inundation"] = _with("noise", _D8, acc, hand, recursive=True) + "SELECT row, col, round(0.5 - hand, 6) AS depth FROM hand WHERE hand < 0.5"
+    out["inundation_varying"] = _with("noise", _D8, acc, hand, recursive=True) + f"SELECT h.row, h.col, {r6('0.75 * pow(a.acc, 0.2) - h.hand')} AS depth FROM hand h JOIN acc a ON a.row = h.channel // 64 AND a.col = h.channel % 64 WHERE h.hand < 0.75 * pow(a.acc, 0.2)"
+    out["ascii_round_trip"] = out["raster_round_trip"] = _with("noise") + "SELECT row, col, z FROM cells"
     out["burn"] = _with("noise", _D8, acc, recursive=True) + "SELECT c.row, c.col, CASE WHEN a.acc > 4 THEN c.z - 2.0 ELSE c.z END AS z FROM cells c JOIN acc a USING (row, col)"
     reach = lambda e0: f"rev AS ({e0}), hit(row, col) AS (SELECT 100::BIGINT, 20 UNION SELECT e.row, e.col FROM hit h JOIN rev e ON e.nr = h.row AND e.nc = h.col WHERE NOT (e.row = 0 OR e.col = 0 OR e.row = (SELECT mr FROM g) OR e.col = (SELECT mc FROM g)))"
     out["catchment_mfd"] = _with("noise", _MFD, reach("SELECT row, col, nr, nc FROM mfd"), recursive=True) + "SELECT row, col FROM hit"

@@ -228,7 +228,7 @@ def to_raster(cells: DataFrame, spec: GridSpec, path: str, *, value: str = "z",
     spark, kind = cells.sparkSession, np.dtype("<" + np.dtype(dtype).str[1:]) if np.dtype(dtype).itemsize > 1 else np.dtype(dtype)
     across, down, fill = -(-spec.ncols // block), -(-spec.nrows // block), spec.nodata
 
-    def encode(key, part: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         data = np.full((block, block), fill).astype(kind)
         data[part["row"].to_numpy() % block, part["col"].to_numpy() % block] = part["v"].to_numpy().astype(kind)
         raw = data.tobytes()
