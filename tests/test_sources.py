@@ -109,3 +109,61 @@ def test_bands_in_strips_with_predictor(order):
         assert (found == data[:, :, band - 1]).all()
     with pytest.raises(ValueError):
         list(geotiff.blocks(content, 4))
+
+
+def lzw(data):
+    """A writer of LZW codes, as wide as its table asks for; it clears the table when that is full."""
+    bits, width, table, seen = [], 9, {bytes([i]): i for i in range(256)}, b""
+    put = lambda code: bits.append(f"{code:0{width}b}")
+    put(256)
+    size = 258
+    for i in range(len(data)):
+        more = seen + data[i : i + 1]
+        if more in table:
+            seen = more
+            continue
+        put(table[seen])
+        table[more], size = size, size + 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size == 4094:
+            put(256)
+            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+        seen = data[i : i + 1]
+    put(table[seen])
+    size += 1
+    width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    put(257)
+    text = "".join(bits)
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+@pytest.mark.parametrize("n", [1, 300, 5000, 60000])
+def test_lzw_of_wider_codes(n):
+    data = np.random.default_rng(n).integers(0, 40, n).astype(np.uint8).tobytes()
+    assert geotiff.unpack_lzw(lzw(data)) == data
+
+
+def test_big_file():
+    spec, block = GridSpec(20, 30, (0.5, 0.0, 1.0, 0.0, -0.5, 9.0), "EPSG:32614", -1.0), 16
+    tile = [np.full((16, 16), k, "<f4").tobytes() for k in range(4)]
+    offsets = [16 + 1024 * k for k in range(4)]
+    end = 16 + 4 * 1024
+    content = struct.pack("<2sHHHQ", b"II", 43, 8, 0, end) + b"".join(tile) + geotiff.directory(spec, np.dtype("<f4"), block, False, offsets, [1024] * 4, True, end)
+    assert geotiff.grid_of(geotiff.parse(content)) == spec
+    found = [(r, c, v.shape, set(v.ravel())) for r, c, v in geotiff.blocks(content)]
+    assert found == [(0, 0, (16, 16), {0.0}), (0, 16, (16, 14), {1.0}), (16, 0, (4, 16), {2.0}), (16, 16, (4, 14), {3.0})]
+
+
+def test_planar_bands():
+    tags = [(256, 4, 2), (257, 4, 2), (258, 3, 8), (277, 3, 2), (278, 4, 2), (284, 3, 2)]
+    data = bytes(range(8))
+    at = 16
+    lists = struct.pack("<2I", 24 + 16, 28 + 16) + struct.pack("<2I", 4, 4)
+    start = at + len(lists) + 8 + len(data)
+    body = struct.pack("<H", 8)
+    for tag, kind, n, v in sorted([(t, k, 1, v) for t, k, v in tags] + [(273, 4, 2, at), (279, 4, 2, at + 8)]):
+        body += struct.pack("<HHII", tag, kind, n, v)
+    content = (struct.pack("<2sHI", b"II", 42, start).ljust(16, b"\0") + lists).ljust(40, b"\0") + data
+    content = content.ljust(start, b"\0") + body + b"\0" * 4
+    assert [next(geotiff.blocks(content, b))[2].tolist() for b in (1, 2)] == [[[0, 1], [2, 3]], [[4, 5], [6, 7]]]
