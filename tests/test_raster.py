@@ -108,3 +108,42 @@ def test_views(spark, ground):
     assert spec.nearest_cell(2.5, 3.5) == (2, 4) and spec.nearest_cell(2.9, 3.5, "center") == (2, 3)
     empty = df.where("false")
     assert terrain.detect_pits(empty, spec).isEmpty()
+
+
+def regions(z, steps):
+    """Of the regions of equal values: the least cell's id, the value, the number of cells and the boundary sides."""
+    found, seen = [], set()
+    for at in np.ndindex(z.shape):
+        if at in seen or math.isnan(z[at]):
+            continue
+        own, todo = {at}, [at]
+        while todo:
+            r, c = todo.pop()
+            for dr, dc in steps:
+                to = (r + dr, c + dc)
+                if 0 <= to[0] < z.shape[0] and 0 <= to[1] < z.shape[1] and to not in own and z[to] == z[at]:
+                    own.add(to)
+                    todo.append(to)
+        seen |= own
+        sides = sum((r + dr, c + dc) not in own for r, c in own for dr, dc in STEPS[::2])
+        found.append((at[0] * z.shape[1] + at[1], z[at], len(own), sides))
+    return sorted(found)
+
+
+def test_polygonize(spark):
+    z = np.random.default_rng(3).integers(0, 3, (9, 7)).astype(float)
+    z[2, 3] = z[5, 5] = np.nan
+    df, spec = cells(spark, z)
+    got = lambda **kw: sorted((x["label"], x["value"], x["n_cells"], len(x["edges"])) for x in view.polygonize(df, spec, **kw).collect())
+    assert got() == regions(z, STEPS[::2]) and got(connectivity=8) == regions(z, STEPS) and got() != got(connectivity=8)
+    with pytest.raises(ValueError):
+        view.polygonize(df, spec, connectivity=6)
+
+
+def test_polygonize_query_takes_the_whole_raster(spark, tmp_path):
+    from thalweg import queries
+
+    v = np.random.default_rng(4).normal(0, 0.12, (70, 5))
+    spark.createDataFrame([(r, [float(x) for x in row]) for r, row in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(x) for x in queries.polygonize(spark, str(tmp_path)).collect())
+    assert got == regions(np.floor(8 * v), STEPS[::2])

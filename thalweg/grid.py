@@ -135,8 +135,8 @@ class Grid:
     def snap_to_mask(self, mask: Raster, points: DataFrame) -> DataFrame:
         return views.snap_to_mask(self._on(mask), points, self.spec)
 
-    def polygonize(self, raster: Raster) -> DataFrame:
-        return views.polygonize(self.view(raster).cells, self.spec, raster.value)
+    def polygonize(self, raster: Raster, connectivity: int = 4) -> DataFrame:
+        return views.polygonize(self.view(raster).cells, self.spec, raster.value, connectivity)
 
     def rasterize(self, shapes: DataFrame, fill: float = 0.0, all_touched: bool = False) -> Raster:
         return Raster(views.rasterize(shapes, self.spec, fill, all_touched), self.spec)

@@ -11,10 +11,10 @@ from thalweg.plans.stencil import with_neighbours
 from thalweg.spec import GridSpec
 
 
-def _adjacent(cells: DataFrame, spec: GridSpec, *columns: str) -> DataFrame:
-    """(id, nb, *columns) for each cell and each neighbour on the grid."""
+def _adjacent(cells: DataFrame, spec: GridSpec, *columns: str, connectivity: int = 8) -> DataFrame:
+    """(id, nb, *columns) for each cell and each neighbour on the grid; of 4, those that share a side."""
     row, col = F.col("row"), F.col("col")
-    around = F.array(*[step_id(spec, row, col, k) for k in range(len(STEPS))])
+    around = F.array(*[step_id(spec, row, col, k) for k, (dr, dc) in enumerate(STEPS) if connectivity == 8 or dr == 0 or dc == 0])
     return cells.select(cell_id(spec, row, col).alias("id"), *columns, F.explode(around).alias("nb")).where("nb is not null")
 
 
@@ -49,10 +49,13 @@ def detect_depressions(cells: DataFrame, spec: GridSpec) -> DataFrame:
     return cells.join(filled, ["row", "col"]).select("row", "col", F.coalesce(F.col("f") > F.col("z"), F.lit(False)).alias("depression"))
 
 
-def connected_labels(marked: DataFrame, spec: GridSpec, value: str | None = None) -> DataFrame:
-    """id and ``label`` (the least id) of the 8-connected regions of ``marked`` (row, col); with ``value``, of equal values."""
+def connected_labels(marked: DataFrame, spec: GridSpec, value: str | None = None, connectivity: int = 8) -> DataFrame:
+    """id and ``label`` (the least id) of the 8-connected (or 4-connected) regions of ``marked`` (row, col); with ``value``, of
+    equal values."""
+    if connectivity not in (4, 8):
+        raise ValueError("connectivity is 4 or 8")
     ids = marked.select(cell_id(spec, F.col("row"), F.col("col")).alias("id"), *([F.col(value).alias("v")] if value else [F.lit(1).alias("v")]))
-    e = _adjacent(marked.select("row", "col"), spec).join(ids, "id").join(ids.select(F.col("id").alias("nb"), F.col("v").alias("vn")), "nb").where("v = vn")
+    e = _adjacent(marked.select("row", "col"), spec, connectivity=connectivity).join(ids, "id").join(ids.select(F.col("id").alias("nb"), F.col("v").alias("vn")), "nb").where("v = vn")
     return relaxed(ids.select("id", F.col("id").cast("double").alias("v")), e.select(F.col("id").alias("src"), F.col("nb").alias("dst"), F.lit(0.0).alias("w"))).select("id", F.col("v").cast("long").alias("label"))
 
 

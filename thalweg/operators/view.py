@@ -131,11 +131,11 @@ def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched:
     return grid.join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(fill)).alias("z"))
 
 
-def polygonize(cells: DataFrame, spec: GridSpec, value: str = "z") -> DataFrame:
-    """``label``, ``value``, ``n_cells`` and ``edges`` (boundary sides, as sorted (x0, y0, x1, y1) corners) of the 8-connected regions of
-    equal values."""
+def polygonize(cells: DataFrame, spec: GridSpec, value: str = "z", connectivity: int = 4) -> DataFrame:
+    """``label``, ``value``, ``n_cells`` and ``edges`` (boundary sides, as sorted (x0, y0, x1, y1) corners) of the regions of equal values,
+    connected by sides (4) or by sides and corners (8)."""
     data = cells.where(F.col(value).isNotNull())
-    labels = connected_labels(data.select("row", "col", value), spec, value)
+    labels = connected_labels(data.select("row", "col", value), spec, value, connectivity)
     own = data.select(cell_id(spec, F.col("row"), F.col("col")).alias("id"), "row", "col", F.col(value).alias("v")).join(labels, "id")
     sides = [(-1, 0, (0, 0, 0, 1)), (0, 1, (0, 1, 1, 1)), (1, 0, (1, 1, 1, 0)), (0, -1, (1, 0, 0, 0))]
     a, b, c, d, e, f = spec.affine

@@ -190,7 +190,7 @@ def to_crs(spark, sf_dir):
 
 def polygonize(spark, sf_dir):
     cells, spec = raster(spark, sf_dir, "steps")
-    return view.polygonize(cells.where("row < 60"), spec).select("label", "value", "n_cells", F.size("edges").alias("n_edges"))
+    return view.polygonize(cells, spec).select("label", "value", "n_cells", F.size("edges").alias("n_edges"))
 
 
 def burn(spark, sf_dir):
