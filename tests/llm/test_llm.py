@@ -77,6 +77,34 @@ def test_fingerprints(docs):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_fingerprint_classes(spark, tmp_path):
+    from thalweg.llm import queries
+
+    rng = np.random.default_rng(2)
+    texts = {}
+    for k in range(40):  # chains of texts, each an edit of the one before; some long, some a few letters
+        t = "".join(rng.choice(list("abcdefghij "), int(rng.choice([3, 9, 40, 300, 900]))))
+        for step in range(4):
+            texts[4 * k + step] = t
+            at = int(rng.integers(len(t)))
+            t = t[:at] + "#" * max(1, len(t) // 40) + t[at + max(1, len(t) // 40) :]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op3_document_fingerprints(spark, str(tmp_path)).collect()}
+    rows = fingerprints.rows_of([got[i]["fingerprint"] for i in range(len(texts))])
+    root, like = list(range(len(texts))), [fingerprints.likeness(rows[i : i + 1], rows) >= 0.8 for i in range(len(texts))]
+    for _ in texts:
+        root = [min(root[j] for j in np.flatnonzero(like[i])) for i in range(len(texts))]
+    assert [got[i]["class_id"] for i in range(len(texts))] == root and 40 <= len(set(root)) < 140
+
+
+def test_links_of_a_band_are_all_found():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(1, 16, (2, fingerprints.BINS), dtype=np.uint8)
+    c, d = b.copy(), b.copy()
+    c[:20] = d[20:56] = 0  # b and c, b and d are alike, c and d aren't; none is like a, the least
+    assert sorted(x[:2] for x in fingerprints.linked(np.stack([a, b, c, d]), 0.8)) == [(1, 2), (1, 3)]
+
+
 def test_near_duplicates(docs, monkeypatch):
     fps = {i: neardup.simhash(t) for i, t in TEXTS}
     ids = [i for i in fps if i is not None]
