@@ -66,6 +66,28 @@ def test_html():
     assert html_text.extract("<p>cut <b>off</b> &amp") == "cut off &"
 
 
+def test_html_without_end_tags():
+    for page in (
+        "<html><head><title>t</title><meta charset=utf-8><body><p>one<p>two",
+        "<head><title>t</title><p>one<p>two",
+        "<head><title>t</title>one<p>two",
+        "<p class=ad>x<p>one<div>two</div>",
+        "<p class=ad>x<h2>one</h2><p>two",
+        "<p class=ad>x<table><tr><td>one<tr><td>two</table>",
+        "<ul><li class=share>x<li>one<li>two</ul>",
+        "<ul><li class=share><p>x<li>one<li>two</ul>",
+        "<dl><dt>one<dd class=comment>x<dt>two</dl>",
+        "<dl><dt class=ad>x<dd>one<dd>two</dl>",
+        "<table><tr><td class=ad>x<td>one<tr><td>two</table>",
+        "<table><tr class=ad><td>x<tr><td>one<tr><th>two</table>",
+        "<table><thead class=ad><tr><td>x<tbody><tr><td>one<tr><td>two</table>",
+        "<p>one</p><a class=share>x<a>two</a>",
+    ):
+        assert html_text.extract(page) == "one\ntwo", page
+    assert html_text.extract("<ul><li class=share>x<ul><li>in it</ul>y<li>one</ul>") == "one"
+    assert html_text.extract("<head><noscript><img src=x>x</noscript></head><p>one") == "one"
+
+
 def test_fingerprints(docs):
     got = fingerprints.fingerprint_chain(docs, rows_per_range=4).collect()
     order = sorted(TEXTS, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))

@@ -27,6 +27,28 @@ FURNITURE = frozenset(
     "respond reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+# Which start tags end open elements whose end tags may be left out.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+ENDS_P = HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
+)
+SCOPE = frozenset("applet caption html marquee object table td template th".split())
+ROWS, CELLS = frozenset("tbody tfoot thead".split()), frozenset("td th".split())
+#: What a start tag ends, and what it doesn't reach beyond.
+_ITEM = (CONTAINERS | SILENT | SCOPE) - {"div"}
+_TERM, _TABLE = frozenset(("dd", "dt")), frozenset(("html", "table", "template"))
+ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(("li",)), _ITEM - {"li"}),
+    **dict.fromkeys(_TERM, (_TERM, _ITEM - _TERM)),
+    **dict.fromkeys(CELLS, (CELLS | {"caption"}, _TABLE)),
+    "tr": (CELLS | {"caption", "tr"}, _TABLE),
+    **dict.fromkeys(ROWS, (CELLS | ROWS | {"caption", "tr"}, _TABLE)),
+    "a": (frozenset(("a",)), SCOPE),
+    "button": (frozenset(("button",)), SCOPE),
+    "option": (frozenset(("option",)), CONTAINERS | SILENT - {"option"}),
+    **dict.fromkeys(("rp", "rt"), (frozenset(("rp", "rt")), frozenset(("ruby",)) | CONTAINERS | SILENT)),
+    "select": (frozenset(("select",)), SCOPE),
+}
 #: Standard deviation of the Gaussian kernel, in lines, and its reach.
 SIGMA, REACH = 1.0, 2
 
@@ -39,7 +61,8 @@ class Line:
 
 
 class Events(HTMLParser):
-    """Parser events to lines. Open elements are kept in a stack, where an end tag closes down to its start tag."""
+    """Parser events to lines. Open elements are kept in a stack, where an end tag closes down to its start tag, and a start
+    tag ends what HTML lets it end."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -57,8 +80,33 @@ class Events(HTMLParser):
                 self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.stack)))
                 self.tags = 0
 
+    def _close(self, names, beyond=frozenset()) -> None:
+        """End the outermost open element of ``names`` that is reached before one of ``beyond``, with all in it."""
+        found = None
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] in names:
+                found = k
+            elif self.stack[k][0] in beyond:
+                break
+        if found is not None:
+            self.flush()
+            del self.stack[found:]
+
+    def _end_implied(self, tag) -> None:
+        """What the start of ``tag`` ends as HTML does, where end tags were left out."""
+        if tag == "body" or tag not in HEAD and self.stack[-1][0] == "head":
+            self._close(("head",))
+        if tag in ENDS:
+            self._close(*ENDS[tag])
+        if tag in ENDS_P:
+            self._close(("p",), SCOPE | {"button"})
+        if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self._close(HEADINGS, CONTAINERS | SILENT)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.stack:
+            self._end_implied(tag)
         if tag in INLINE:
             if tag == "br":
                 self.buffer.append(" ")
@@ -105,6 +153,8 @@ class Events(HTMLParser):
                 pass
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._close(("head",))
         if self.stack and self.stack[-1][2]:
             return
         self.buffer.append(data)
