@@ -88,6 +88,14 @@ def test_html_without_end_tags():
     assert html_text.extract("<head><noscript><img src=x>x</noscript></head><p>one") == "one"
 
 
+def test_html_unknown_declarations():
+    for mark in ("<![foo]>", "<![ endif]-->", "<![b]", "<![", "<![endif]-->", "<![CDATA[x]]>", "<![if !IE]>", "<!x>"):
+        text = html_text.extract(f"<p>one</p>{mark}<p>two</p><p>three</p>")
+        assert text.endswith("three") and text.startswith("one"), mark
+    assert html_text.extract("<p>one</p><svg><![CDATA[<p>x</p>]]></svg><p>two</p>") == "one\ntwo"
+    assert html_text.extract("<p>one</p><![foo") == "one"
+
+
 def test_fingerprints(docs):
     got = fingerprints.fingerprint_chain(docs, rows_per_range=4).collect()
     order = sorted(TEXTS, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))

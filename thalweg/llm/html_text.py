@@ -159,6 +159,16 @@ class Events(HTMLParser):
             return
         self.buffer.append(data)
 
+    def parse_html_declaration(self, i):
+        """A ``<![`` is a comment up to the next ``>``, as in HTML; the library's parser gives up on unknown ones. Foreign
+        elements may hold character data up to ``]]>``."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        foreign = self.rawdata.startswith("<![CDATA[", i) and any(x[0] == "svg" for x in self.stack)
+        mark = "]]>" if foreign else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return len(self.rawdata) if end < 0 else end + len(mark)
+
     def finish(self) -> list[Line]:
         self.close()
         self.flush()
@@ -181,12 +191,8 @@ def smoothed(ratios: list[float]) -> list[float]:
 def extract(html: str) -> str:
     """The main text of one page: its blocks in page order, joined by line feeds; empty if there is none."""
     events = Events()
-    try:
-        events.feed(html)
-        lines = events.finish()
-    except AssertionError:  # the parser gives up on some malformed declarations: what came before counts
-        events.flush()
-        lines = events.lines
+    events.feed(html)
+    lines = events.finish()
     if not lines:
         return ""
     ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines])
