@@ -179,6 +179,29 @@ def test_secrets(docs):
     assert out[14]["text"] == '[SECRET]" [SECRET] [SECRET]' and out[14]["n_chars"] == 27 and out[10]["text"] == dict(TEXTS)[10]
 
 
+def test_random_tokens_of_every_encoding(spark):
+    from pydoc_data.topics import topics
+
+    rng = np.random.default_rng(6)
+    alphabets = {k: a for k, a in enumerate(secret_scan.ENCODINGS.values()) if k}  # runs of lower-case hex digits are base spans
+    prose = "a word, a counter-example of 1997 and/or a state-of-the-art "
+    long_words = ["a-state-of-the-art-example-of-the-kind", "internationalisation/and/the/other", "counterrevolutionaries", "-" * 40, "x" * 30]
+    rows, planted = [(k, prose * 3 + long_words[k % len(long_words)] + " end") for k in range(100)], {}
+    rows += [(k, " ".join(re.findall("[A-Za-z]{1,15}", t))) for k, t in enumerate(topics.values(), 100)]
+    plain = len(rows)
+    for k, a in alphabets.items():
+        for n in (20, 24, 31, 40):
+            for _ in range(15):
+                i = len(rows)
+                planted[i] = (k, n)
+                rows.append((i, prose + "".join(rng.choice(list(a), n)) + " end"))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(plain) if got[i]] == []
+    found = Counter(x for i, x in planted.items() if got[i] == f"random:{len(prose)}:{len(prose) + x[1]}")
+    print({x: round(found[x] / 15, 2) for x in sorted(set(planted.values()))})
+    assert all(found[x] >= 13 for x in set(planted.values())), found
+
+
 def test_mixing(spark):
     rows = [(i, f"w{i} " * (5 + i % 7), "big" if i % 3 else f"s{i % 4}") for i in range(900)]
     df = spark.createDataFrame([*rows, (None, None, None)], "doc_id long, text string, source string")

@@ -2,18 +2,20 @@
 
 A token without white space is a candidate. Its encoding is inferred from its characters. Over that alphabet it has to pass as
 random: chi-squared uniformity of its symbols, runs about the middle of the alphabet, and serial correlation. Against the
-null hypothesis of written language, where neighbouring characters seldom change between lower case, upper case, digits
-and signs, it has a p-value by the Chernoff bound on the number of changes, which shrinks as tokens grow. Within each
-class of length, Benjamini-Hochberg control over all candidates of the table decides which are reported.
+null hypothesis of written language it has a p-value: the likelihood of the token under the letter pairs of the table's
+words over that under its alphabet, a bound by Markov's inequality, which shrinks as random tokens grow, whatever their
+encoding. Within each class of length, Benjamini-Hochberg control over all candidates of the table decides which are
+reported; the p-value of a token that the battery rejects is 1.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import materialise
-from thalweg.llm.quality import let
+from thalweg.llm.quality import FUNCTION_WORDS, let
 
 # The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -31,12 +33,16 @@ ENCODINGS = {
     "^[0-9A-Za-z+/]+=*$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Chance that neighbouring characters of written language differ in kind; level at which randomness is rejected; rate of
-#: false discoveries; lower ends of the classes of length; steps of -log10(p) in the histogram, and its last one.
-CHANGE, REJECT, FDR = 0.10, 0.001, 0.01
+#: Level at which randomness is rejected; rate of false discoveries; lower ends of the classes of length; steps of -log10(p)
+#: in the histogram, and its last one.
+REJECT, FDR = 0.001, 0.01
 LENGTHS = [20, 32, 48, 64, 128]
 STEPS, LAST = 4, 400
 
+#: What words and candidates are made of; the weight of a letter's own share among those that follow a letter.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BACKOFF = 10.0
+
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -101,19 +107,50 @@ def randomness(token: Column) -> Column:
     return let(alphabet, lambda s: let(F.filter(place(s), lambda y: y >= 0), lambda x: battery(x, s)))
 
 
-def language_evidence(token: Column) -> Column:
-    """-log10 of the chance that written language changes its kind of character as often as ``token`` does, or more."""
-    kind = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
-    kinds = F.transform(F.split(token, ""), kind)
-    changes = let(kinds, lambda k: F.aggregate(F.transform(k, lambda y, i: (F.coalesce(F.get(k, i - 1), y) != y).cast("int")), F.lit(0), lambda s, y: s + y))
-    n = (F.length(token) - 1).cast("double")
-    share = F.least(changes / n, F.lit(0.999))
-    gain = share * F.log(share / CHANGE) + (1 - share) * F.log((1 - share) / (1 - CHANGE))
-    return F.when(share > CHANGE, n * gain / 2.302585092994046).otherwise(0.0)
+def _places(token: Column) -> Column:
+    """The places of the characters in LETTERS, from 1; 0 is the start."""
+    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(LETTERS), c))
+
+
+def letter_pairs(docs: DataFrame, text_col: str) -> np.ndarray:
+    """log10 of the chance that a letter (second index) follows another or the start (first index) in the words of ``docs``.
+
+    Words are runs of LETTERS shorter than a candidate. Each distinct word counts once, so that frequent words don't make rare
+    ones look unlike language; so do the function words of four languages, for small tables.
+    """
+    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9+/_-]+")).alias("w")).where(F.length("w").between(1, LENGTHS[0] - 1))
+    pairs = words.distinct().select(F.explode(let(_places(F.col("w")), lambda p: F.transform(p, lambda y, i: F.struct(F.coalesce(F.get(p, i - 1), F.lit(0)).alias("a"), y.alias("b"))))).alias("p"))
+    seen = np.zeros((len(LETTERS) + 1, len(LETTERS) + 1))
+    # at most 67 * 66 rows, on the driver
+    for a, b, n in pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).collect():
+        seen[a, b] += n
+    for w in FUNCTION_WORDS.split():
+        if w.isascii():
+            for a, b in zip("\0" + w, w, strict=False):
+                seen[LETTERS.find(a) + 1, LETTERS.find(b) + 1] += 1
+    single = seen.sum(axis=0) + 0.5
+    single[0] = 0.0
+    chance = (seen + BACKOFF * single / single.sum()) / (seen.sum(axis=1, keepdims=True) + BACKOFF)
+    return np.log10(np.maximum(chance, 1e-300))
+
+
+def language_evidence(token: Column, pairs: np.ndarray) -> Column:
+    """-log10 of a bound on the chance that written language makes a token so much likelier under an encoding's alphabet.
+
+    The alphabet is chosen among ENCODINGS by the token; a share of each in the alternative pays for that.
+    """
+    body = F.rtrim(token, F.lit("="))
+    size = F.lit(float(len(ENCODINGS[""])))
+    for pattern, symbols in reversed([x for x in ENCODINGS.items() if x[0]]):
+        size = F.when(token.rlike(pattern), F.lit(float(len(symbols)))).otherwise(size)
+    width = len(LETTERS) + 1
+    table = F.lit(pairs.reshape(-1))
+    written = let(_places(body), lambda p: F.aggregate(F.transform(p, lambda y, i: F.get(table, F.coalesce(F.get(p, i - 1), F.lit(0)) * width + y)), F.lit(0.0), lambda s, y: s + y))
+    return -written - F.length(body) * F.log10(size) - F.log10(F.lit(float(len(ENCODINGS))))
 
 
 def scan(text: Column) -> Column:
-    """A struct of ``base`` spans and the ``candidates`` with their class of length, evidence and randomness."""
+    """A struct of ``base`` spans and the ``candidates`` with their class of length and value."""
     text = F.coalesce(text, F.lit(""))
 
     def of(t: Column) -> Column:
@@ -124,15 +161,13 @@ def scan(text: Column) -> Column:
             spans(t, HEX, 2),
         )
         clean = lambda b: F.transform(F.sort_array(b), lambda x: F.struct(x["start"], x["end"], x["kind"]))
-        mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
         tested = lambda b: F.transform(
             F.filter(spans(t, CANDIDATE, 3), lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))),
             lambda x: F.struct(
                 x["start"].alias("start"),
                 x["end"].alias("end"),
                 F.aggregate(F.array(*[F.lit(v) for v in LENGTHS[1:]]), F.lit(0), lambda s, v: s + (x["end"] - x["start"] >= v).cast("int")).alias("size"),
-                F.when(mixed(x["value"]), F.least(F.floor(language_evidence(x["value"]) * STEPS).cast("int"), F.lit(LAST))).otherwise(0).alias("evidence"),
-                F.when(mixed(x["value"]), randomness(x["value"]) >= REJECT).otherwise(False).alias("random"),
+                x["value"].alias("value"),
             ),
         )
         return let(base, lambda b: F.struct(clean(b).alias("base"), tested(b).alias("candidates")))
@@ -143,7 +178,14 @@ def scan(text: Column) -> Column:
 def _decided(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
     """The columns carried, ``__base`` and ``__all`` (spans by start, then kind)."""
     found = materialise(docs.select(*carried, scan(F.col(text_col)).alias("__s")), "scanned")
-    hist = found.select(F.explode("__s.candidates").alias("c")).groupBy("c.size", "c.evidence").agg(F.count("*").alias("n"))
+    pairs = letter_pairs(docs, text_col) if not found.where(F.size("__s.candidates") > 0).isEmpty() else np.zeros((1, 1))
+
+    def judged(c: Column) -> Column:
+        step = F.least(F.floor(language_evidence(c["value"], pairs) * STEPS).cast("int"), F.lit(LAST))
+        return let(step, lambda e: F.when(e <= 0, 0).when(randomness(c["value"]) >= REJECT, e).otherwise(0))
+
+    found = found.withColumn("__c", F.transform("__s.candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["size"].alias("size"), judged(c).alias("evidence"))))
+    hist = found.select(F.explode("__c").alias("c")).groupBy("c.size", "c.evidence").agg(F.count("*").alias("n"))
     # at most len(LENGTHS) * (LAST + 1) rows, on the driver
     limits = []
     rows = hist.collect()
@@ -156,10 +198,10 @@ def _decided(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
                 limit = evidence
         limits.append(limit)
     least = F.array(*[F.lit(x) for x in limits])
-    more = F.transform(F.filter("__s.candidates", lambda c: c["random"] & (c["evidence"] >= F.get(least, c["size"]))), lambda c: F.struct(c["start"], c["end"], F.lit(3).alias("kind")))
+    more = F.transform(F.filter("__c", lambda c: (c["evidence"] > 0) & (c["evidence"] >= F.get(least, c["size"]))), lambda c: F.struct(c["start"], c["end"], F.lit(3).alias("kind")))
     typed = lambda c: c.cast("array<struct<start:int,end:int,kind:int>>")
     by_start = lambda c: F.transform(F.sort_array(F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return found.withColumn("__base", by_start(typed(F.col("__s.base")))).withColumn("__all", by_start(F.concat(typed(F.col("__s.base")), typed(more)))).drop("__s")
+    return found.withColumn("__base", by_start(typed(F.col("__s.base")))).withColumn("__all", by_start(F.concat(typed(F.col("__s.base")), typed(more)))).drop("__s", "__c")
 
 
 def _joined(spans_: Column) -> Column:
