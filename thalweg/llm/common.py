@@ -18,10 +18,12 @@ HOT_SHARE = 1000
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests), a folder under the warehouse is used. The folder belongs to
-    one run; it may be deleted once that run's result is written.
+    Where the session has no such setting, a local master (tests) uses a folder under the warehouse; on a cluster that might be
+    local to a machine, so it is an error. The folder belongs to one run; it may be deleted once that run's result is written.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
@@ -59,15 +61,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> Dat
 
     Hot keys (fewer than HOT_SHARE of them, see above) are joined by broadcast and so never meet in one task;
     in the shuffle that joins the rest no key holds more than one row in HOT_SHARE. ``groups`` is read twice
-    and should be materialised.
+    and should be materialised. Its columns but the key come in place of columns of ``rows`` with the same names.
     """
     total = groups.agg(F.sum(count)).head()[0] or 0
     is_hot = F.col(count) * HOT_SHARE > F.lit(total)
-    hot = groups.where(is_hot)
-    rest = groups.where(~is_hot)
     names = [c for c in groups.columns if c != key]
-    flagged = rows.join(F.broadcast(hot.select(F.col(key), F.struct(*names).alias("__hot"))), key, "left")
-    keep = [c for c in flagged.columns if c != "__hot"]
-    first = flagged.where(F.col("__hot").isNotNull()).select(*keep, *[F.col(f"__hot.{c}").alias(c) for c in names])
-    second = flagged.where(F.col("__hot").isNull()).drop("__hot").join(rest, key, "left").select(*keep, *names)
-    return first.unionByName(second)
+    keep = [c for c in rows.columns if c not in names]
+    packed = groups.select(F.col(key), F.struct(*names).alias("__g"), is_hot.alias("__hot"))
+    hot, rest = packed.where("__hot").select(key, F.col("__g").alias("__h")), packed.where("not __hot").select(key, "__g")
+    flagged = rows.select(*keep).join(F.broadcast(hot), key, "left")
+    of = lambda df, g: df.select(*keep, *[F.col(f"{g}.{c}").alias(c) for c in names])
+    return of(flagged.where(F.col("__h").isNotNull()), "__h").unionByName(of(flagged.where(F.col("__h").isNull()).drop("__h").join(rest, key, "left"), "__g"))

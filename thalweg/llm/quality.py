@@ -1,8 +1,11 @@
 """Quality rules combined by weak supervision, in SQL functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Documents with the same votes are one pattern; RULES rules give at most
-3 ** RULES patterns whatever the input, so expectation-maximisation over the pattern counts is one row's work. It estimates
-each rule's accuracy and the share of good documents, and the posterior probability of being good decides.
+3 ** RULES patterns whatever the input, so expectation-maximisation over the pattern counts is one row's work. A document is
+good, or its chief fault is of one of as many kinds as there are rules. Expectation-maximisation estimates how common each
+class is and, for each class, how often each rule that votes casts a bad vote: among good documents that is the rule's error,
+among those of a fault how well it finds that fault. The posterior probability of being good decides. What it starts from
+only gives the rules a direction.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ FUNCTION_WORDS = (
     "el los las y que en un una por con para se del no su al lo como es"
 )
 ITERATIONS = 30
+#: Words by which a document passes the base.
+LEAST_WORDS = 50
 #: Documents of at least this posterior are kept.
 KEEP = 0.5
 
@@ -81,6 +86,7 @@ def features(text: Column) -> Column:
                 (n_chars - without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
                 (n_chars - without(t, "!?")).cast("long").alias("n_shouts"),
                 (n_chars - without(t, "0123456789")).cast("long").alias("n_digits"),
+                F.size(F.filter(w, lambda x: x.endswith(".") | x.endswith("!") | x.endswith("?"))).cast("long").alias("n_ends"),
             ),
         )
 
@@ -88,95 +94,111 @@ def features(text: Column) -> Column:
 
 
 def votes(f: Column) -> list[Column]:
-    """The rules. ``f`` is the struct of ``features``. Those that look for a fault abstain where they find none."""
+    """The rules. ``f`` is the struct of ``features``. Between the bounds, or where there is too little to look at, they abstain."""
     n, chars = F.greatest(f["n_words"], F.lit(1)), F.greatest(f["word_chars"], F.lit(1))
-    enough = f["n_words"] >= 20
-    bad = lambda c: F.when(c, -1).otherwise(0)
-    plain = (f["n_symbols"] <= 0.03 * n) & (f["n_shouts"] <= 0.05 * n) & (f["n_upper"] <= 0.15 * chars)
+    any_, enough, lines = f["n_words"] > 0, f["n_words"] >= 20, F.greatest(f["n_lines"], F.lit(1))
+    vote = lambda seen, bad, good: F.when(~seen, 0).when(bad, -1).when(good, 1).otherwise(0)
     return [
-        bad(f["n_symbols"] > 0.10 * n),
-        bad(f["n_upper"] > 0.35 * chars),
-        bad(f["n_shouts"] > 0.20 * n),
-        bad(enough & (f["n_repeat_words"] > 0.40 * n)),
-        bad((f["n_lines"] >= 3) & (f["n_dup_lines"] > 0.30 * f["n_lines"])),
-        bad(enough & (f["n_frequent"] < 0.02 * n)),
-        F.when(plain, 1).otherwise(0),
-        bad(enough & ((chars > 14 * n) | (chars < 2 * n) | (f["n_digits"] > 0.20 * chars))),
+        vote(any_, f["n_symbols"] > 0.10 * n, f["n_symbols"] <= 0.01 * n),
+        vote(any_, f["n_upper"] > 0.35 * chars, f["n_upper"].between(0.002 * chars, 0.15 * chars)),
+        vote(any_, f["n_shouts"] > 0.20 * n, f["n_shouts"] <= 0.05 * n),
+        vote(enough, f["n_repeat_words"] > 0.30 * n, f["n_repeat_words"] <= 0.02 * n),
+        vote(lines >= 3, f["n_dup_lines"] > 0.30 * lines, f["n_dup_lines"] == 0),
+        vote(enough, f["n_frequent"] < 0.05 * n, f["n_frequent"] >= 0.15 * n),
+        vote(any_, (chars > 10 * n) | (chars < 2.5 * n), (chars <= 7 * n) & (chars >= 3.5 * n)),
+        vote(enough, (f["n_words"] >= LEAST_WORDS) & (f["n_distinct"] < 0.30 * n), f["n_distinct"] >= 0.60 * n),
+        vote(any_, f["n_digits"] > 0.20 * chars, f["n_digits"] <= 0.02 * chars),
+        vote(enough, f["n_ends"] == 0, f["n_ends"].between(0.02 * n, 0.25 * n)),
     ]
 
 
-RULES, PLAIN = 8, 6
-#: Before anything is seen: the chance of a vote -1, 0 or 1 by a good and by a bad document, and its weight in documents.
-#: Most rules only find faults; the rule PLAIN only finds merit.
-FAULT_RULE = ([0.02, 0.97, 0.01], [0.30, 0.69, 0.01])
-MERIT_RULE = ([0.01, 0.04, 0.95], [0.01, 0.79, 0.20])
-GOOD_SHARE, WEIGHT = 0.85, 20.0
+RULES = 10
+#: Before anything is seen: the share of good documents, and the chance that a rule which votes casts a bad vote on a good
+#: document, on one of another rule's fault, and on one of its own; what they weigh, as a share of all documents.
+GOOD_SHARE, ERROR, OTHER, OWN, WEIGHT = 0.8, 0.2, 0.3, 0.7, 0.01
 
 
-def learn(patterns: DataFrame) -> DataFrame:
-    """Of ``v`` (votes) and ``n`` (documents): each ``v`` with its ``posterior`` of being good.
-
-    Expectation: the posterior of each pattern. Maximisation: how often documents of either class cast each vote, and
-    abstain, with the prior as WEIGHT documents more.
-    """
-    row = patterns.agg(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n"))).alias("ps"))
+def fit(patterns: DataFrame) -> DataFrame:
+    """Of ``v`` (votes) and ``n`` (documents), one row: ``ps`` (the patterns) and ``s``, a struct of ``share`` (of the good and of
+    each rule's fault) and ``bad`` (for each of these classes, each rule's chance of a bad vote when it votes)."""
+    row = patterns.agg(F.sort_array(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))).alias("ps"))
     number = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    prior = lambda c: F.array(*[number((MERIT_RULE if k == PLAIN else FAULT_RULE)[c]) for k in range(RULES)])
-    rules = F.sequence(F.lit(0), F.lit(RULES - 1))
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda t, x: t + f(x))
-
-    def posterior(s: Column, v: Column) -> Column:
-        ratio = lambda k: F.log(F.get(F.get(s["g"], k), F.get(v, k) + 1) / F.get(F.get(s["b"], k), F.get(v, k) + 1))
-        return 1 / (1 + F.exp(-(F.log(s["p"] / (1 - s["p"])) + total(rules, ratio))))
+    share0 = number([GOOD_SHARE] + [(1 - GOOD_SHARE) / RULES] * RULES)
+    bad0 = F.array(number([ERROR] * RULES), *[number([OWN if r == k else OTHER for r in range(RULES)]) for k in range(RULES)])
 
-    def step(s: Column, _: Column) -> Column:
-        seen = F.transform(F.col("ps"), lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), (p["n"] * posterior(s, p["v"])).alias("q")))
+    def step(s: Column, start: Column) -> Column:
+        seen = F.transform(F.col("ps"), lambda p: F.struct(p["v"].alias("v"), p["n"].alias("n"), _classes(s, p["v"]).alias("q")))
 
         def update(ps: Column) -> Column:
-            n, good = total(ps, lambda x: x["n"]), total(ps, lambda x: x["q"])
-
-            def rates(c: int, of: Callable[[Column], Column], whole: Column) -> Column:
-                cast = lambda k, v: total(ps, lambda x: F.when(F.get(x["v"], k) == v - 1, of(x)).otherwise(0.0))
-                return F.transform(rules, lambda k: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda v: (cast(k, v) + WEIGHT * F.get(F.get(prior(c), k), v)) / (whole + WEIGHT)))
-
+            of = lambda c: _total(ps, lambda x: x["n"] * F.get(x["q"], c))
+            voted = lambda c, r: _total(ps, lambda x: F.when(F.get(x["v"], r) == 0, 0.0).otherwise(x["n"] * F.get(x["q"], c)))
+            bad = lambda c, r: _total(ps, lambda x: F.when(F.get(x["v"], r) < 0, x["n"] * F.get(x["q"], c)).otherwise(0.0))
+            own = lambda c: start["weight"] * F.get(start["share"], c)
+            rate = lambda c, r: (bad(c, r) + own(c) * F.get(F.get(start["bad"], c), r)) / (voted(c, r) + own(c))
+            rules, classes = F.sequence(F.lit(0), F.lit(RULES - 1)), F.sequence(F.lit(0), F.lit(RULES))
             return F.struct(
-                ((good + WEIGHT * GOOD_SHARE) / (n + WEIGHT)).alias("p"),
-                rates(0, lambda x: x["q"], good).alias("g"),
-                rates(1, lambda x: x["n"] - x["q"], n - good).alias("b"),
+                F.transform(classes, lambda c: (of(c) + own(c)) / (start["n"] + start["weight"])).alias("share"),
+                F.transform(classes, lambda c: F.transform(rules, lambda r: rate(c, r))).alias("bad"),
             )
 
         return let(seen, update)
 
-    start = F.struct(F.lit(GOOD_SHARE).alias("p"), prior(0).alias("g"), prior(1).alias("b"))
-    fitted = row.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step).alias("s"))
-    return fitted.select(F.explode("ps").alias("x"), "s").select(F.col("x.v").alias("v"), posterior(F.col("s"), F.col("x.v")).alias("posterior"))
+    n = _total(F.col("ps"), lambda x: x["n"])
+    begin = F.struct(share0.alias("share"), bad0.alias("bad"), n.alias("n"), (n * WEIGHT).alias("weight"))
+    fitted = let(begin, lambda b: F.aggregate(F.array_repeat(b, ITERATIONS), F.struct(b["share"].alias("share"), b["bad"].alias("bad")), step))
+    return row.select("ps", F.when(F.size("ps") > 0, fitted).alias("s"))
+
+
+def _total(xs: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda t, x: t + f(x))
+
+
+def _classes(s: Column, v: Column) -> Column:
+    """The probability of each class given the votes ``v``."""
+    vote = lambda b, r: F.when(F.get(v, r) == 0, 0.0).when(F.get(v, r) < 0, F.log(b)).otherwise(F.log1p(-b))
+    logs = F.transform(s["share"], lambda p, c: F.log(p) + F.aggregate(F.transform(F.get(s["bad"], c), vote), F.lit(0.0), lambda t, x: t + x))
+    scaled = let(logs, lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda y: F.exp(y - m))))
+    return let(scaled, lambda x: let(_total(x, lambda y: y), lambda z: F.transform(x, lambda y: y / z)))
+
+
+def learn(patterns: DataFrame) -> DataFrame:
+    """Of ``v`` (votes) and ``n`` (documents): each ``v`` with its ``posterior`` of being good."""
+    return fit(patterns).select(F.explode("ps").alias("x"), "s").select(F.col("x.v").alias("v"), F.get(_classes(F.col("s"), F.col("x.v")), 0).alias("posterior"))
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _scored(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
-    """The columns carried, the base counts, ``base_failed``, ``kept`` and ``posterior`` (null where base_failed)."""
-    f = docs.select(*carried, features(F.col(text_col)).alias("__f"))
-    failed = (F.col("__f.n_words") < 50) | (100 * F.col("__f.n_repeat_words") > 50 * F.col("__f.n_words"))
+def _scored(docs: DataFrame, text: Column, carried: list[str], least_words: int) -> DataFrame:
+    """The columns carried, the base counts, ``__failed``, ``__kept`` and ``__posterior`` (null where failed)."""
+    f = docs.select(*carried, features(text).alias("__f"))
+    failed = (F.col("__f.n_words") < least_words) | (100 * F.col("__f.n_repeat_words") > 50 * F.col("__f.n_words"))
     f = f.select(*carried, *[F.col(f"__f.{c}").alias(f"__{c}") for c in BASE], failed.alias("__failed"), F.array(*votes(F.col("__f"))).alias("__v"))
     f = materialise(f, "votes")
     counts = f.where(~F.col("__failed")).groupBy(F.col("__v").alias("v")).agg(F.count("*").alias("n"))
     learnt = materialise(learn(counts), "posteriors")  # at most 3 ** RULES rows: a proven bound for the broadcast
-    return f.join(F.broadcast(learnt.select(F.col("v").alias("__v"), F.col("posterior").alias("__posterior"))), "__v", "left").withColumn("__kept", ~F.col("__failed") & (F.coalesce(F.col("__posterior"), F.lit(0.0)) >= KEEP))
+    posterior = F.when(~F.col("__failed"), F.col("p"))
+    out = f.join(F.broadcast(learnt.select(F.col("v").alias("__v"), F.col("posterior").alias("p"))), "__v", "left").withColumn("__posterior", posterior)
+    return out.withColumn("__kept", F.coalesce(F.col("__posterior") >= KEEP, F.lit(False))).drop("p")
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row: its id, the base counts, ``base_failed``, ``kept``, ``posterior`` (null if base_failed).
 
-    A null or empty text has no words and fails the base. Repeated rows get equal results; null ids pass; further columns
-    are dropped, whatever their names; an empty table gives an empty table.
+    The base fails where there are fewer than ``least_words`` words or over half of them repeat. A null or empty text has no
+    words. Repeated rows get equal results and count as often as they are there; null ids pass; whole texts are looked at,
+    however long; further columns are dropped, whatever their names; an empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _scored(docs, "text", ["doc_id"])
+    out = _scored(docs, F.col("text"), ["doc_id"], least_words)
     return out.select(F.col("doc_id").alias(id_col), *[F.col(f"__{c}").alias(c) for c in BASE], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__posterior").alias("posterior"))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    return _scored(docs, text_col, docs.columns).where("__kept").select(*docs.columns)
+def keep_good(docs: DataFrame, *, text_col: str = "text", least_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    A short text isn't a bad one, so by default only those without words fail for their length: null, empty and blank ones go.
+    Repeated rows are kept or go together; null ids pass; an empty table gives an empty table.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return _scored(row, F.col("__row")[text_col], ["__row"], least_words).where("__kept").select("__row.*")
