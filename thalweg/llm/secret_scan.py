@@ -1,15 +1,18 @@
 """Secrets in whole texts: base patterns, and a battery of randomness tests over other long tokens. SQL functions only.
 
-A token without white space is a candidate. Its encoding is inferred from its characters. Over that alphabet it has to pass as
-random: chi-squared uniformity of its symbols, runs about the middle of the alphabet, and serial correlation. Against the
-null hypothesis of written language it has a p-value: the likelihood of the token under the letter pairs of the table's
-words over that under its alphabet, a bound by Markov's inequality, which shrinks as random tokens grow, whatever their
-encoding. Within each class of length, Benjamini-Hochberg control over all candidates of the table decides which are
-reported; the p-value of a token that the battery rejects is 1.
+A token without white space is a candidate. Its encoding is inferred from its characters. The battery tests it against
+randomness over that alphabet: chi-squared uniformity of its symbols, runs about the middle of the alphabet, and serial
+correlation, combined by Fisher's method. Against the other hypothesis, written language, it has the likelihood under the letter
+pairs of the table's words over that under its alphabet, a bound on a p-value by Markov's inequality, which shrinks as random
+tokens grow. What enters the control of false discoveries is that bound over the battery's p-value (which is at most 1, so the
+quotient is a bound too): a token has to be far likelier as random than as language by as much as the battery speaks against
+randomness. Within each class of length, Benjamini-Hochberg control over all candidates of the table decides what is reported.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +29,18 @@ KINDS = ["assign", "access", "hex", "random"]
 ENCODINGS = {
     "^[0-9a-f]+$": "0123456789abcdef",
     "^[0-9A-F]+$": "0123456789ABCDEF",
+    "^[a-z]+$": "abcdefghijklmnopqrstuvwxyz",
+    "^[A-Z]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "^[A-Z2-7]+=*$": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "^[0-9a-z]+$": "0123456789abcdefghijklmnopqrstuvwxyz",
     "^[0-9A-Z]+$": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "^[A-Za-z]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "^[0-9A-Za-z]+$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "^[0-9A-Za-z+/]+=*$": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Level at which randomness is rejected; rate of false discoveries; lower ends of the classes of length; steps of -log10(p)
-#: in the histogram, and its last one.
-REJECT, FDR = 0.001, 0.01
+#: Rate of false discoveries; lower ends of the classes of length; steps of -log10(p) in the histogram, and its last one.
+FDR = 0.01
 LENGTHS = [20, 32, 48, 64, 128]
 STEPS, LAST = 4, 400
 
@@ -50,20 +55,32 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The results of folding ``xs`` (longs) by ``op`` up to each element. Runs of about the root of the length are folded on
+    their own and then joined, so arrays aren't copied once for each element."""
+    none = F.array().cast("array<bigint>")
+    after = lambda s, x: F.when(s["last"].isNull(), x).otherwise(op(s["last"], x))
+    step = lambda s, x: let(after(s, x), lambda y: F.struct(y.alias("last"), F.concat(s["out"], F.array(y)).alias("out")))
+    fold = lambda c: F.aggregate(c, F.struct(F.lit(None).cast("long").alias("last"), none.alias("out")), step, lambda s: s["out"])
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        runs = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: fold(F.slice(v, k * w + 1, w))))
+        before = lambda r: fold(F.transform(r, lambda c: F.element_at(c, -1)))
+        joined = lambda r, b: F.transform(r, lambda c, k: F.when(k == 0, c).otherwise(F.transform(c, lambda x: op(F.get(b, k - 1), x))))
+        return let(runs, lambda r: let(before(r), lambda b: F.flatten(joined(r, b))))
+
+    return let(F.transform(xs, lambda x: x.cast("long")), lambda v: F.when(F.size(v) == 0, none).otherwise(whole(v)))
+
+
 def spans(text: Column, pattern: str, kind: int, likely: Column | None = None, group: int | None = None, least: int = 0) -> Column:
     """Leftmost non-overlapping matches with their places in code points, where ``group`` has ``least`` characters or more."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
 
     def placed(m: Column, g: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-
-        def step(s: Column, i: Column) -> Column:
-            start = s["at"] + F.get(g, i)
-            end = start + F.length(F.get(m, i))
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.get(m, i).alias("value")))).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), state, step, lambda s: s["out"])
+        ends = running(F.transform(m, lambda x, i: F.get(g, i) + F.length(x)), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).cast("int").alias("start"), F.get(e, i).cast("int").alias("end"), F.lit(kind).alias("kind"), x.alias("value"))))
 
     out = let(found, lambda m: F.when(F.size(m) == 0, _none()).otherwise(let(gaps, lambda g: placed(m, g))))
     if group is not None:
@@ -72,39 +89,56 @@ def spans(text: Column, pattern: str, kind: int, likely: Column | None = None, g
     return F.when(there, out).otherwise(_none())
 
 
-def tail(z: Column) -> Column:
-    """Upper tail of the normal distribution by a logistic curve (error under 0.0002)."""
-    z = F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070565 * z * z * z))
+def apart(base: Column, found: Column) -> Column:
+    """Those spans of ``found`` that overlap none of ``base``; the kind of all of ``found`` is the last one."""
+    last = len(KINDS) - 1
+    furthest = lambda v: running(F.transform(v, lambda x: F.when(x["kind"] < last, x["end"]).otherwise(0)), F.greatest)
+    nearest = lambda v: F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["kind"] < last, x["start"]).otherwise((1 << 31) - 1))), F.least))
+    kept = lambda v, f, n: F.filter(v, lambda x, i: (x["kind"] == last) & (F.get(f, i) <= x["start"]) & (F.get(n, i) >= x["end"]))
+    sorted_ = let(F.sort_array(F.concat(base, found)), lambda v: let(furthest(v), lambda f: let(nearest(v), lambda n: kept(v, f, n))))
+    return F.when(F.size(base) == 0, found).when(F.size(found) == 0, found).otherwise(sorted_)
 
 
-def randomness(token: Column) -> Column:
-    """The least p-value of the battery times the number of tests: small if ``token`` isn't random over its alphabet."""
-    body = F.rtrim(token, F.lit("="))
-    alphabet = F.lit(ENCODINGS[""])
+def log_tail(z: Column) -> Column:
+    """Minus the natural logarithm of the upper tail of the normal distribution, by a logistic curve."""
+    y = 1.5976 * z + 0.070565 * z * z * z
+    return F.greatest(y, F.lit(0.0)) + F.log1p(F.exp(-F.abs(y)))
+
+
+def encoding_of(token: Column, of: Callable[[str], object]) -> Column:
+    """``of`` of the symbols of the first of ENCODINGS whose pattern fits."""
+    out = F.lit(of(ENCODINGS[""]))
     for pattern, symbols in reversed([x for x in ENCODINGS.items() if x[0]]):
-        alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
+        out = F.when(token.rlike(pattern), F.lit(of(symbols))).otherwise(out)
+    return out
+
+
+def against_randomness(token: Column) -> Column:
+    """-log10 of the p-value of the battery: chi-squared uniformity over the inferred alphabet, runs about its middle and
+    serial correlation, combined by Fisher's method. Large if ``token`` isn't random."""
+    body = F.rtrim(token, F.lit("="))
 
     def battery(x: Column, symbols: Column) -> Column:
         n, size = F.size(x).cast("double"), F.length(symbols).cast("double")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
         counts = F.transform(F.sequence(F.lit(0), F.length(symbols) - 1), lambda k: F.size(F.filter(x, lambda y: y == k)).cast("double"))
         chi = size / n * total(F.transform(counts, lambda c: c * c)) - n
-        chi_z = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (1 - 1 / n))
+        uniform = log_tail((chi - (size - 1)) / F.sqrt(2 * (size - 1) * (1 - 1 / n)))
         high = F.transform(x, lambda y: (2 * y >= size).cast("int"))
         ones = F.aggregate(high, F.lit(0.0), lambda s, y: s + y)
         runs = 1 + let(high, lambda h: F.aggregate(F.transform(h, lambda y, i: (F.coalesce(F.get(h, i - 1), y) != y).cast("int")), F.lit(0.0), lambda s, y: s + y))
         mu = 2 * ones * (n - ones) / n + 1
-        var = (mu - 1) * (mu - 2) / (n - 1)
-        runs_p = F.when(var <= 0, 0.0).otherwise(2 * tail(F.abs(runs - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
+        var = F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(0.01))
         mean = total(F.transform(x, lambda y: y.cast("double"))) / n
-        square = total(F.transform(x, lambda y: (y - mean) * (y - mean)))
+        square = F.greatest(total(F.transform(x, lambda y: (y - mean) * (y - mean))), F.lit(1e-6))
         serial = total(F.transform(x, lambda y, i: F.coalesce((y - mean) * (F.get(x, i - 1) - mean), F.lit(0.0))))
-        serial_p = F.when(square <= 0, 0.0).otherwise(2 * tail(F.abs(serial / square + 1 / n) * F.sqrt(n)))
-        return F.least(F.lit(1.0), 3 * F.least(tail(chi_z), runs_p, serial_p))
+        both = lambda z: F.greatest(log_tail(z) - F.log(F.lit(2.0)), F.lit(0.0))
+        three = uniform + both(F.abs(runs - mu) / F.sqrt(var)) + both(F.abs(serial / square + 1 / n) * F.sqrt(n))
+        # Fisher: twice the sum is chi-squared with six degrees of freedom
+        return let(three, lambda t: (t - F.log(1 + t + t * t / 2)) / F.log(F.lit(10.0)))
 
     place = lambda symbols: F.transform(F.split(body, ""), lambda c: F.instr(symbols, c) - 1)
-    return let(alphabet, lambda s: let(F.filter(place(s), lambda y: y >= 0), lambda x: battery(x, s)))
+    return let(encoding_of(token, str), lambda s: let(F.filter(place(s), lambda y: y >= 0), lambda x: battery(x, s)))
 
 
 def _places(token: Column) -> Column:
@@ -112,13 +146,13 @@ def _places(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(LETTERS), c))
 
 
-def letter_pairs(docs: DataFrame, text_col: str) -> np.ndarray:
+def letter_pairs(docs: DataFrame, text: Column) -> np.ndarray:
     """log10 of the chance that a letter (second index) follows another or the start (first index) in the words of ``docs``.
 
     Words are runs of LETTERS shorter than a candidate. Each distinct word counts once, so that frequent words don't make rare
     ones look unlike language; so do the function words of four languages, for small tables.
     """
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9+/_-]+")).alias("w")).where(F.length("w").between(1, LENGTHS[0] - 1))
+    words = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9+/_-]+")).alias("w")).where(F.length("w").between(1, LENGTHS[0] - 1))
     pairs = words.distinct().select(F.explode(let(_places(F.col("w")), lambda p: F.transform(p, lambda y, i: F.struct(F.coalesce(F.get(p, i - 1), F.lit(0)).alias("a"), y.alias("b"))))).alias("p"))
     seen = np.zeros((len(LETTERS) + 1, len(LETTERS) + 1))
     # at most 67 * 66 rows, on the driver
@@ -140,9 +174,7 @@ def language_evidence(token: Column, pairs: np.ndarray) -> Column:
     The alphabet is chosen among ENCODINGS by the token; a share of each in the alternative pays for that.
     """
     body = F.rtrim(token, F.lit("="))
-    size = F.lit(float(len(ENCODINGS[""])))
-    for pattern, symbols in reversed([x for x in ENCODINGS.items() if x[0]]):
-        size = F.when(token.rlike(pattern), F.lit(float(len(symbols)))).otherwise(size)
+    size = encoding_of(token, lambda symbols: float(len(symbols)))
     width = len(LETTERS) + 1
     table = F.lit(pairs.reshape(-1))
     written = let(_places(body), lambda p: F.aggregate(F.transform(p, lambda y, i: F.get(table, F.coalesce(F.get(p, i - 1), F.lit(0)) * width + y)), F.lit(0.0), lambda s, y: s + y))
@@ -162,7 +194,7 @@ def scan(text: Column) -> Column:
         )
         clean = lambda b: F.transform(F.sort_array(b), lambda x: F.struct(x["start"], x["end"], x["kind"]))
         tested = lambda b: F.transform(
-            F.filter(spans(t, CANDIDATE, 3), lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))),
+            apart(b, spans(t, CANDIDATE, len(KINDS) - 1)),
             lambda x: F.struct(
                 x["start"].alias("start"),
                 x["end"].alias("end"),
@@ -175,14 +207,14 @@ def scan(text: Column) -> Column:
     return let(text, of)
 
 
-def _decided(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
+def _decided(docs: DataFrame, text: Column, carried: list[str]) -> DataFrame:
     """The columns carried, ``__base`` and ``__all`` (spans by start, then kind)."""
-    found = materialise(docs.select(*carried, scan(F.col(text_col)).alias("__s")), "scanned")
-    pairs = letter_pairs(docs, text_col) if not found.where(F.size("__s.candidates") > 0).isEmpty() else np.zeros((1, 1))
+    found = materialise(docs.select(*carried, scan(text).alias("__s")), "scanned")
+    pairs = letter_pairs(docs, text) if not found.where(F.size("__s.candidates") > 0).isEmpty() else np.zeros((1, 1))
 
     def judged(c: Column) -> Column:
-        step = F.least(F.floor(language_evidence(c["value"], pairs) * STEPS).cast("int"), F.lit(LAST))
-        return let(step, lambda e: F.when(e <= 0, 0).when(randomness(c["value"]) >= REJECT, e).otherwise(0))
+        surplus = let(c["value"], lambda x: language_evidence(x, pairs) - F.greatest(against_randomness(x), F.lit(0.0)))
+        return F.least(F.greatest(F.floor(surplus * STEPS).cast("int"), F.lit(0)), F.lit(LAST))
 
     found = found.withColumn("__c", F.transform("__s.candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["size"].alias("size"), judged(c).alias("evidence"))))
     hist = found.select(F.explode("__c").alias("c")).groupBy("c.size", "c.evidence").agg(F.count("*").alias("n"))
@@ -216,26 +248,48 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has no spans. Repeated rows get equal results; null ids pass; further columns are dropped, whatever
     their names; an empty table gives an empty table. The thresholds depend on all rows of the table.
     """
-    out = _decided(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"])
+    out = _decided(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), ["doc_id"])
     n = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long")
     return out.select(F.col("doc_id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.col("__all")).alias("spans"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", n_chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span replaced by ``mark`` (spans that overlap by one), and ``n_chars_col``, if it is
-    there, counted again where something was replaced. Other rows and columns stay as they are."""
-    out = _decided(docs, text_col, docs.columns)
-    t = F.col(text_col)
-
-    def step(s: Column, x: Column) -> Column:
-        ahead = x["start"] >= s["at"]
-        text = F.when(ahead, F.concat(s["out"], F.substr(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), text.alias("out"))
-
-    cut = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(t, s["at"] + 1, F.length(t))))
-    hit = F.size("__all") > 0
-    out = out.withColumn(text_col, F.when(hit, cut).otherwise(t))
-    if n_chars_col in docs.columns:
-        kind = docs.schema[n_chars_col].dataType
-        out = out.withColumn(n_chars_col, F.when(hit, F.length(text_col).cast(kind)).otherwise(F.col(n_chars_col)))
-    return out.select(*docs.columns)
+    there, counted again where something was replaced. Other rows and columns stay as they are, whatever their names;
+    null and empty texts have no spans; an empty table gives an empty table. Time is near linear in a text's length."""
+    columns = docs.columns
+    text = F.col("__row")[text_col]
+    out = _decided(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")), text, ["__row"])
+    out = out.withColumn("__cut", F.when(F.size("__all") > 0, without(text, F.col("__all"), mark)))
+    texts = F.coalesce(F.col("__cut"), text)
+    new = {text_col: texts}
+    if n_chars_col in columns:
+        n = F.col("__row")[n_chars_col]
+        new[n_chars_col] = F.when(F.col("__cut").isNull(), n).otherwise(F.length("__cut").cast(docs.schema[n_chars_col].dataType))
+    return out.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in columns])
+
+
+#: Code points of a block of a long text, within which places are found by counting.
+BLOCK = 4096
+
+
+def without(text: Column, spans_: Column, mark: str) -> Column:
+    """``text`` with each of ``spans_`` (by start; at least one) replaced by ``mark``, those that overlap by one."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(b: Column, start: Column, end: Column) -> Column:
+        i, j = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        head = F.substr(F.get(b, i), (start % BLOCK + 1).cast("int"), F.lit(BLOCK))
+        between = F.array_join(F.slice(b, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        last = F.coalesce(F.substr(F.get(b, j), F.lit(1), (end % BLOCK).cast("int")), F.lit(""))
+        inside = F.substr(F.get(b, i), (start % BLOCK + 1).cast("int"), (end - start).cast("int"))
+        return F.when(start >= end, F.lit("")).when(i == j, inside).otherwise(F.concat(head, between, last))
+
+    def cut(b: Column, far: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(spans_) - 1), lambda i: (i == 0) | (F.get(spans_, i)["start"] >= F.get(far, i - 1)))
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(far, i - 1))
+        pieces = F.transform(begins, lambda i: piece(b, before(i), F.get(spans_, i)["start"].cast("long")))
+        rest = piece(b, F.element_at(far, -1), F.length(text).cast("long"))
+        return F.concat(F.array_join(pieces, mark), F.lit(mark), rest)
+
+    return let(blocks, lambda b: let(running(F.transform(spans_, lambda x: x["end"]), F.greatest), lambda far: cut(b, far)))
