@@ -2,8 +2,10 @@
 
 The standard library's parser streams events; each block of a page becomes a line with its text and the tags met since
 the line before. The ratios of text to tags are smoothed by a Gaussian kernel and lines above a threshold (the deviation
-of the smoothed ratios) form the content cluster. The region of content is the innermost container that holds most of
-the cluster; its lines are the text, without those in menus, asides, forms and the like.
+of the smoothed ratios) form the content cluster. From the whole page inwards, the part of a container that holds most of the
+cluster becomes the region of content where the parts beside it have low ratios, or are single lines beside a headed part.
+Headings and the names of elements weigh parts, they don't decide; what the page itself marks as furniture (menus, asides,
+forms, adverts and the like) isn't text.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ FURNITURE = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related "
     "respond reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Of these, words that name furniture alone or beside words of place and layout; in other company they may name content.
+WEAK = frozenset("banner comment header login menu notice notices pagination promotion related reply replies respond share sharing social subscription".split())
+LAYOUT = frozenset("area articles bar block bottom box button buttons container content div form global group icons inner items left links list main nav navigation outer page posts right section site stories top wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Which start tags end open elements whose end tags may be left out.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
@@ -54,10 +59,20 @@ SIGMA, REACH = 1.0, 2
 
 
 class Line:
-    __slots__ = ("text", "tags", "path")
+    __slots__ = ("text", "tags", "path", "head")
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...]):
-        self.text, self.tags, self.path = text, tags, path
+    def __init__(self, text: str, tags: int, path: tuple[int, ...], head: bool):
+        self.text, self.tags, self.path, self.head = text, tags, path, head
+
+
+def names_furniture(names: str) -> bool:
+    """Whether a class or id names page furniture."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        hits = [w for w in words if w in FURNITURE]
+        if hits and (not WEAK.issuperset(hits) or all(w in FURNITURE or w in LAYOUT for w in words)):
+            return True
+    return False
 
 
 class Events(HTMLParser):
@@ -69,6 +84,7 @@ class Events(HTMLParser):
         self.lines: list[Line] = []
         self.buffer: list[str] = []
         self.tags = self.made = 0
+        self.head = False
         self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, silent, within an article
         self.articles: set[int] = set()
 
@@ -77,7 +93,7 @@ class Events(HTMLParser):
             text = " ".join("".join(self.buffer).split())
             self.buffer = []
             if text:
-                self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.stack)))
+                self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.stack), self.head))
                 self.tags = 0
 
     def _close(self, names, beyond=frozenset()) -> None:
@@ -114,6 +130,7 @@ class Events(HTMLParser):
                 return
         else:
             self.flush()
+            self.head = tag in ("h1", "h2")
         if tag in VOID or not (tag in CONTAINERS or tag in SILENT or attrs and self._silent(tag, attrs, False)):
             return
         inside = bool(self.stack) and self.stack[-1][3]
@@ -132,8 +149,9 @@ class Events(HTMLParser):
                 return True
             if name == "role" and value in ROLES:
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", value)):
-                return not (inside and tag == "header")
+            if name == "class" or name == "id" and tag in CONTAINERS:
+                if tag not in ("html", "body", "article", "main") and names_furniture(value) and not (inside and (tag == "header" or value == "header")):
+                    return True
         return False
 
     def handle_startendtag(self, tag, attrs):
@@ -146,6 +164,7 @@ class Events(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.flush()
+            self.head = False
         if any(x[0] == tag for x in self.stack):
             if tag in INLINE:
                 self.flush()
@@ -175,6 +194,11 @@ class Events(HTMLParser):
         return self.lines
 
 
+def ratio(line: Line) -> float:
+    """Characters of text to each tag."""
+    return len(line.text) / max(1, line.tags)
+
+
 def smoothed(ratios: list[float]) -> list[float]:
     """Gaussian smoothing, with the kernel cut and normalised at the ends."""
     kernel = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
@@ -195,32 +219,55 @@ def extract(html: str) -> str:
     lines = events.finish()
     if not lines:
         return ""
-    ratios = smoothed([len(x.text) / max(1, x.tags) for x in lines])
+    own = [ratio(x) for x in lines]
+    ratios = smoothed(own)
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    held: dict[int, int] = {}
-    total = 0
-    for line, r in zip(lines, ratios, strict=True):
-        if r >= threshold:
-            total += len(line.text)
-            for n in line.path:
-                held[n] = held.get(n, 0) + len(line.text)
-    # an article or main with over half of the cluster, else the innermost container with over nine tenths of it
-    named = [n for n in events.articles if 2 * held.get(n, 0) > total]
-    whole = [n for n, x in held.items() if 10 * x > 9 * total]
-    region = max(named, default=0) or _outward(lines, max(whole, default=0))
-    return "\n".join(x.text for x in lines if not region or region in x.path)
-
-
-def _outward(lines: list[Line], region: int) -> int:
-    """From one table row, item or paragraph's box to what holds at least two lines, if any does."""
-    if not region:
-        return 0
-    path = next(x.path for x in lines if region in x.path)
-    for n in reversed(path[: path.index(region) + 1]):
-        if sum(n in x.path for x in lines) > 1:
-            return n
-    return region
+    lo, hi = region(lines, own, [r >= threshold for r in ratios], events.articles)
+    return "\n".join(x.text for x in lines[lo:hi])
+
+
+#: How much more a part counts that has a first heading or is an article or main; the share of a part's ratio below which
+#: what stands beside it is furniture.
+HEADED, LOW = 4, 0.5
+
+
+def region(lines: list[Line], own: list[float], cluster: list[bool], articles: set[int]) -> tuple[int, int]:
+    """The range of lines that is content."""
+    lo, hi, depth = 0, len(lines), 0
+    while True:
+        parts = _parts(lines, lo, hi, depth)
+        if len(parts) == 1 and len(lines[lo].path) > depth:
+            depth += 1
+            continue
+        mass = []
+        for a, b in parts:
+            named = any(x.head for x in lines[a:b]) or len(lines[a].path) > depth and lines[a].path[depth] in articles
+            mass.append((HEADED if named else 1) * sum(len(lines[i].text) for i in range(a, b) if cluster[i]))
+        k = max(range(len(parts)), key=lambda i: (mass[i], -i))
+        a, b = parts[k]
+        if 2 * mass[k] <= sum(mass) or len(lines[a].path) <= depth:
+            return lo, hi
+        headed = any(x.head for x in lines[a:b])
+        article = lines[a].path[depth] in articles
+        level = LOW * sum(own[a:b]) / (b - a)
+        if b - a == 1 and not article or not all(
+            i == k or sum(own[c:d]) / (d - c) < level or (headed or article) and (d - c == 1 and not lines[c].head or article) for i, (c, d) in enumerate(parts)
+        ):
+            return lo, hi
+        lo, hi, depth = a, b, depth + 1
+
+
+def _parts(lines: list[Line], lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+    """The parts of a container of ``depth``: each container in it, and each line of its own."""
+    out = []
+    for i in range(lo, hi):
+        p = lines[i].path
+        if out and len(p) > depth and len(lines[i - 1].path) > depth and lines[i - 1].path[depth] == p[depth]:
+            out[-1] = (out[-1][0], i + 1)
+        else:
+            out.append((i, i + 1))
+    return out
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
