@@ -11,9 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from thalweg.llm.common import join_groups, materialise, unsigned_hex
 
@@ -51,16 +50,17 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (a signed long) of every row, where it is read."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``fp`` (a signed long) and the columns ``carried`` of every row, where it is read."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *carried)
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([simhash(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], [*batch.schema.names[1:], "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long").withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, ", ".join([*names, "fp long"])).withColumnRenamed("doc_id", id_col)
 
 
 def _signed(x: int) -> int:
@@ -81,7 +81,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("n > 1")
     two = sizes.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    some = materialise(keyed.join(sizes.where("n > 2").select("t", "k", "n"), ["t", "k"]), "keys")
+    # a key may hold most of the fingerprints, so keys are joined as groups
+    groups = materialise(sizes.where("n > 2").select(F.struct("t", "k").alias("tk"), "n"), "sizes")
+    met = join_groups(keyed.select("fp", F.struct("t", "k").alias("tk")), groups, "tk", "n").where("n is not null")
+    some = materialise(met.select("fp", "tk.t", "tk.k", "n"), "keys")
     few = some.where(F.col("n") <= SMALL)
     pairs = few.select("t", "k", F.col("fp").alias("a")).join(few.select("t", "k", F.col("fp").alias("b")), ["t", "k"]).where("a < b").select("a", "b")
     near = two.unionByName(pairs).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -99,26 +102,29 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
+def _least_of(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """``edges`` with ``m``, the smallest ``value`` of their ``key``. A key may hold most of the edges."""
+    low = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    return join_groups(edges, materialise(low, "least"), key, "n").drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node of ``edges`` (a, b).
 
     Large-star and small-star steps by turns, until no edge changes; each step's edges are written to the shared folder.
     """
     edges = materialise(edges.where("a != b"), "edges")
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
     last = mark(edges)
     while last[0]:
         # large star: a node's larger neighbours go to its smallest neighbour, or itself
-        e = both(edges)
-        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = e.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        star = _least_of(both, "a", "b").where("b > a").select(F.least("m", "a").alias("v"), F.col("b").alias("u"))
+        star = materialise(star.where("v < u").distinct(), "stars")
         # small star: a node and its smaller neighbours go to the smallest of these
-        e = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u")
-        e = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        edges = materialise(e.where("a < b").distinct(), "edges")
+        joined = _least_of(star, "u", "v")
+        small = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(joined.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        edges = materialise(small.where("a < b").distinct(), "edges")
         now = mark(edges)
         if now == last:
             break
@@ -127,48 +133,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linked(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """One row per fingerprint: ``fp``, ``n`` rows, ``component_id``."""
+    """One row per fingerprint: ``fp``, ``n`` rows, ``component_id``, ``root`` (the smallest fingerprint of its component)."""
     groups = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "classes")
     roots = components(links(groups.select("fp"), radius))
-    labelled = groups.join(roots, groups.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
-    # no edge leads to a root alone, so only components of several fingerprints need the join
-    return materialise(labelled.join(smallest, "root").select("fp", "n", "component_id"), "labels")
+    labelled = materialise(groups.join(roots, groups.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return materialise(join_groups(labelled, materialise(smallest, "components"), "root", "members").select("fp", "n", "component_id", "root"), "labels")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row its id, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id reachable by links).
 
     Fingerprints link at ``radius`` or fewer differing bits. Null, empty and blank texts have fingerprint zero and are
-    linked like any other. Null ids are allowed and never the smallest unless a component has no other; repeated rows
-    are in one component. Further columns are dropped, whatever their names; an empty table gives an empty table.
+    linked like any other; whole texts are read, however long. Null ids are allowed and never the smallest unless a component
+    has no other; repeated rows are in one component. Further columns are dropped, whatever their names; an empty table gives
+    an empty table.
     """
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col), "prints")
     labels = _linked(prints, id_col, radius)
     return join_groups(prints, labels, "fp", "n").select(id_col, unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """The same for rows of the same id and text only: the id and two hashes of the text."""
+    text = F.col(f"`{text_col}`")
+    return F.concat_ws("|", F.coalesce(F.concat(F.lit("v"), F.col(f"`{id_col}`").cast("string")), F.lit("n")), text.isNull().cast("string"), F.xxhash64(text).cast("string"), F.xxhash64(F.lit(SEED), text).cast("string"))
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, one of each component: that of the smallest id, and of rows with that id the first by text.
+    """The rows of ``docs``, one of each component, with all their columns, whatever their names.
 
-    A component without any id keeps one row too.
+    That of the smallest id stays (null ids are last), of rows with that id the first by hashes of the text, and of rows equal
+    in both the least of all columns. Null, empty and blank texts are one component. An empty table gives an empty table.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    lone = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    columns = docs.columns
-    first = kept.join(kept.groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1"), id_col, "left_semi")
-    if not first.isEmpty():
-        one = first.groupBy(id_col).agg(F.min(F.struct(F.col(text_col), *[c for c in columns if c not in (text_col, id_col)])).alias("__s")).select(id_col, "__s.*")
-        kept = kept.join(first.select(id_col).distinct(), id_col, "left_anti").unionByName(one.select(*columns))
-    if not lone.isEmpty():
-        missing = docs.where(F.col(id_col).isNull())
-        with_fp = fingerprints(missing.select(F.monotonically_increasing_id().alias("__row"), text_col), id_col="__row", text_col=text_col)
-        best = with_fp.select(unsigned_hex(F.col("fp")).alias("fingerprint"), "__row").join(lone, "fingerprint").groupBy("fingerprint").agg(F.min("__row").alias("__row"))
-        kept = kept.unionByName(missing.withColumn("__row", F.monotonically_increasing_id()).join(best.select("__row"), "__row", "left_semi").select(*columns))
-    return kept
-
-
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row_key(id_col, text_col).alias("key"))
+    prints = materialise(fingerprints(rows, carried=("key",)), "prints")
+    labels = _linked(prints, "doc_id", radius)
+    found = join_groups(prints, labels, "fp", "n")
+    equal = found.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = equal.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key", "n")).alias("x")).select("x.key", "x.n")
+    first = materialise(first, "kept")
+    whole = docs.select(_row_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = join_groups(whole, first, "key", "n").where("n is not null")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.where("n = 1").select("row").unionByName(kept.where("n > 1").groupBy("key").agg(F.min("row").alias("row")).select("row"))
+    return kept.select("row.*")
