@@ -1,8 +1,10 @@
 """Sharding by a two-pass external shuffle, in SQL functions only.
 
 First pass: seeded hashes scatter the records uniformly into buckets that fit in memory. Second pass: each bucket is put
-into a fixed order, shuffled by Fisher-Yates (what the built-in ``shuffle`` does) and written. The shard of a record is the
-one of highest random weight for its id, so one more shard takes records only into itself.
+into a fixed order, shuffled by Fisher-Yates (what the built-in ``shuffle`` does) and written. The built-in draws from the
+partition's number on, so buckets are dealt to partitions by their own numbers alone: the order doesn't depend on how the
+input or the session is partitioned. The shard of a record is the one of highest random weight for its id, so one more shard
+takes records only into itself.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import scratch_dir
+from thalweg.llm.common import join_groups, materialise, scratch_dir
 
 SEED = 20240607
 SHARDS = 8
 #: Bytes of text that a bucket should hold.
 BUCKET_BYTES = 4 << 20
+#: Partitions of the second pass, at most; each works through its buckets one after another.
+PARTITIONS = 20_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -33,17 +37,28 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, id_col: st
     """Write all rows and columns of ``docs`` to ``path``, a folder ``__shard=N`` for each shard, with ``__bucket`` and
     ``__at`` (place in its bucket). Within a shard the order is by bucket, then place.
 
-    Null ids share a shard; null texts are kept as such; repeated rows are kept, in one bucket if all their columns that
-    decide (id and text) are equal. The shuffle is seeded and repeats for the same input in the same partitions.
+    Null ids share a shard; null texts are kept as such; long texts make their buckets larger. Rows equal in id and text
+    share a bucket until they fill one; more of them are spread over as many buckets as they would fill. The order repeats
+    for the same rows, but for rows that are spread.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column's name can clash
-    total = docs.agg(F.sum(record_bytes(F.col(text_col)))).head()[0] or 0
-    buckets = max(1, -(-total // (bucket_bytes * shards)))
-    scatter = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col))
+    size = record_bytes(F.col(f"`{text_col}`"))
+    scatter = F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     row = F.struct(scatter.alias("h"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    rows = docs.select(shard_of(F.col(id_col), shards, seed).alias("__shard"), F.pmod(F.xxhash64(F.lit(seed + 2), scatter), F.lit(buckets)).cast("int").alias("__bucket"), row.alias("r"))
-    piles = rows.groupBy("__shard", "__bucket").agg(F.collect_list("r").alias("rs"))
-    mixed = piles.select("__shard", "__bucket", F.posexplode(F.shuffle(F.sort_array("rs"), seed)).alias("__at", "r"))
+    rows = docs.select(shard_of(F.col(f"`{id_col}`"), shards, seed).alias("__shard"), scatter.alias("h"), row.alias("r"))
+    groups = docs.select(scatter.alias("h"), size.alias("b")).groupBy("h").agg(F.sum("b").alias("b"), F.count("*").alias("n"))
+    total, full = groups.agg(F.sum("b"), F.max(F.when(F.col("n") > 1, F.col("b")))).head()
+    buckets = max(1, -(-(total or 0) // (bucket_bytes * shards)))
+    spread = F.lit(0).cast("long")
+    if (full or 0) > bucket_bytes:
+        crowds = groups.where((F.col("n") > 1) & (F.col("b") > bucket_bytes)).select("h", "n", F.ceil(F.col("b") / bucket_bytes).alias("ways"))
+        rows = join_groups(rows, materialise(crowds, "crowds"), "h", "n")
+        spread = F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("ways")), F.lit(0))
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("h"), spread), F.lit(buckets)).cast("int")
+    parts = max(1, min(buckets * shards, PARTITIONS))
+    dealt = rows.select("__shard", bucket.alias("__bucket"), "r").repartition(parts, "__shard", "__bucket")
+    piles = dealt.groupBy("__shard", "__bucket").agg(F.sort_array(F.collect_list("r")).alias("rs")).sortWithinPartitions("__shard", "__bucket")
+    mixed = piles.select("__shard", "__bucket", F.posexplode(F.shuffle("rs", seed)).alias("__at", "r"))
     mixed.select(*[F.col(f"r.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)], "__bucket", "__at", "__shard").write.partitionBy("__shard").parquet(path)
 
 
@@ -59,7 +74,8 @@ def shard_table(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id"
     """Write the shards (to a fresh shared folder unless ``path`` is given), read them again, and return per row its id,
     ``size`` (bytes plus 1), ``text_crc32``, ``law`` ("key"), ``shard``, ``slot`` and ``grown_shard`` (with one shard more).
 
-    A null text is empty; an empty table gives an empty table; further columns are dropped, whatever their names.
+    A null text is empty; whole texts are written, however long; null ids share a shard; repeated rows are records of their own;
+    an empty table gives an empty table; further columns are dropped, whatever their names.
     """
     spark = docs.sparkSession
     path = path or scratch_dir(spark, "shards")
