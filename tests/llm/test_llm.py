@@ -56,7 +56,7 @@ def test_tokens_and_packing(docs):
         have[p["doc_id"], p["doc_tokens"]] += p["length"]
         assert zlib.crc32(of[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
     assert have == want
-    assert all(max(sum(s[i] for i in w) for w in packing.divide(s)) <= 1024 for s in ([1024] * 3, [700] * 5, [1], list(range(1, 257))))
+    assert all(max(sum(n for _, _, n in w) for w in packing.divide(s)) <= 1024 for s in ([1024] * 3, [700] * 5, [1], list(range(1, 257))))
 
 
 def test_html():

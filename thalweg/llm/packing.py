@@ -1,10 +1,10 @@
 """Packing documents into sequences of a fixed length by Karmarkar-Karp multiway differencing.
 
-A document's ids, with an end id, are cut into whole sequences; what is left of it is cut once more into parts of at most
-PART ids. The parts of GROUP_TOKENS tokens or so are divided over as few sequences as could hold them: each part begins as
-a partition of its own, and the two partitions with the greatest imbalances are merged with the sequences of one in
-opposite order to the other's, until one is left, whose sequences are nearly equal. If one is over the capacity, the number
-of sequences rises by one and the differencing starts again.
+A document's ids, with an end id, are cut into whole sequences; what is left of it is a part. Parts are gathered until they
+fill GROUP sequences, where the last one is cut. They are divided over as many sequences: each part begins as a partition of
+its own, and the two partitions with the greatest imbalances are merged with the sequences of one in opposite order to the
+other's, until one is left, whose sequences are nearly equal. Only what is over the capacity of a sequence is cut off then, and
+fills those that are short; if it doesn't go in, the number of sequences rises by one and the differencing starts again.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from thalweg.llm.tokens import default_vocabulary, vocabulary
 
 CAPACITY, END = 1024, 0
-#: A remainder is cut into parts of at most so many ids, and grouped until there are so many tokens.
-PART, GROUP_TOKENS = 256, 96 * CAPACITY
+#: Sequences that parts are gathered for.
+GROUP = 128
 #: Sequence ids: the partition's number, shifted by so many bits, and a counter.
 SHIFT = 40
 
@@ -65,23 +65,45 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def divide(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Sequences, none over the capacity; each part is at most the capacity."""
-    k = max(1, -(-sum(sizes) // capacity))
+def divide(sizes: list[int], capacity: int = CAPACITY, k: int | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (index into ``sizes``, start, length), none over the capacity; each size is at most the capacity."""
+    k = k or max(1, -(-sum(sizes) // capacity))
     while True:
-        windows = [w for w in differencing(sizes, k) if w]
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return windows
+        windows, over = [], []
+        for members in differencing(sizes, k):
+            window = [(i, 0, sizes[i]) for i in sorted(members, key=lambda i: (sizes[i], i))]
+            surplus = sum(n for _, _, n in window) - capacity
+            while surplus > 0:  # the tail of the largest
+                i, _, n = window.pop()
+                if n > surplus:
+                    window.append((i, 0, n - surplus))
+                over.append((i, max(0, n - surplus), min(n, surplus)))
+                surplus -= n
+            windows.append(window)
+        short = sorted(((capacity - sum(n for _, _, n in w), at) for at, w in enumerate(windows)), reverse=True)
+        over.sort(key=lambda x: (-x[2], x[0]))
+        room, at = 0, -1
+        fits = sum(n for n, _ in short) >= sum(n for _, _, n in over)
+        for i, start, n in over if fits else []:
+            while n:
+                if not room:
+                    at += 1
+                    room = short[at][0]
+                size = min(n, room)
+                windows[short[at][1]].append((i, start, size))
+                start, n, room = start + size, n - size, room - size
+        if fits:
+            return [w for w in windows if w]
         k += 1
 
 
-def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, part: int = PART) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    A null or empty text is its end id alone. Repeated rows are packed as documents of their own; null ids pass; further
-    columns are dropped, whatever their names; an empty table gives an empty table. Texts are packed where they are read,
-    without a shuffle; only the last group of each partition may leave a sequence half empty, and a sequence needs no
-    padding where its length is a power of two, so that group's last tokens are cut into such lengths.
+    A null or empty text is its end id alone; a long one is cut into many sequences. Repeated rows are packed as documents of
+    their own; null ids pass; further columns are dropped, whatever their names; an empty table gives an empty table. Texts are
+    packed where they are read, without a shuffle; only the last group of each partition may leave a sequence half empty, and a
+    sequence needs no padding where its length is a power of two, so that group's last tokens are cut into such lengths.
     """
     path = path or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -108,8 +130,35 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
                 made += 1
             return pa.RecordBatch.from_arrays([pa.array(out[0], id_type), *[pa.array(o, pa.int64()) for o in out[1:]]], names)
 
-        def grouped(rows):
-            return [[rows[i] for i in w] for w in divide([len(r[2]) // 4 for r in rows], capacity)]
+        def grouped(rows, k=None):
+            cut = lambda r, start, n: (r[0], r[1] + start, r[2][4 * start : 4 * (start + n)], r[3])
+            return [[cut(rows[i], start, n) for i, start, n in w] for w in divide([len(r[2]) // 4 for r in rows], capacity, k)]
+
+        def settle(rows):
+            """The last group: as many full sequences as its tokens give; the rest in sequences of powers of two."""
+            sizes = [len(r[2]) // 4 for r in rows]
+            spare = sum(sizes) % capacity
+            rest, keep = [], list(rows)
+            while spare and keep:
+                doc, start, ids, n = keep.pop()
+                size = min(spare, len(ids) // 4)
+                if size < len(ids) // 4:
+                    keep.append((doc, start, ids[: -4 * size], n))
+                rest.append((doc, start + len(ids) // 4 - size, ids[len(ids) - 4 * size :], n))
+                spare -= size
+            windows = grouped(keep) if keep else []
+            length = sum(len(r[2]) // 4 for r in rest)
+            for bit in [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if length & (1 << b)]:
+                window, room = [], bit
+                while room:
+                    doc, start, ids, n = rest.pop()
+                    size = min(room, len(ids) // 4)
+                    window.append((doc, start, ids[: 4 * size], n))
+                    if size < len(ids) // 4:
+                        rest.append((doc, start + size, ids[4 * size :], n))
+                    room -= size
+                windows.append(window)
+            return windows
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -119,11 +168,15 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
                 n = len(ids) // 4
                 full = n // capacity * capacity
                 whole += [[(doc, a, ids[4 * a : 4 * (a + capacity)], n)] for a in range(0, full, capacity)]
-                parts += [(doc, a, ids[4 * a : 4 * (a + part)], n) for a in range(full, n, part)]
+                parts.append((doc, full, ids[4 * full :], n))
                 held += n - full
-                if held >= GROUP_TOKENS:
-                    whole += grouped(parts)
-                    parts, held = [], 0
+                if full == n:
+                    parts.pop()
+                if held >= GROUP * capacity:
+                    last, spare = parts.pop(), held - GROUP * capacity
+                    kept = len(last[2]) - 4 * spare
+                    whole += grouped([*parts, (last[0], last[1], last[2][:kept], n)], GROUP)
+                    parts, held = [(last[0], last[1] + kept // 4, last[2][kept:], n)] if spare else [], spare
                 if len(whole) > 4096:
                     yield emit(whole)
                     whole = []
@@ -132,31 +185,5 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
         if parts:
             yield emit(settle(parts))
 
-    def settle(rows):
-        """The last group: as many full sequences as its tokens give; the rest in sequences of powers of two."""
-        sizes = [len(r[2]) // 4 for r in rows]
-        spare = sum(sizes) % capacity
-        rest, keep = [], list(rows)
-        while spare and keep:
-            doc, start, ids, n = keep.pop()
-            size = min(spare, len(ids) // 4)
-            if size < len(ids) // 4:
-                keep.append((doc, start, ids[: -4 * size], n))
-            rest.append((doc, start + len(ids) // 4 - size, ids[len(ids) - 4 * size :], n))
-            spare -= size
-        windows = [[keep[i] for i in w] for w in divide([len(r[2]) // 4 for r in keep], capacity)] if keep else []
-        length = sum(len(r[2]) // 4 for r in rest)
-        for bit in [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if length & (1 << b)]:
-            window, room = [], bit
-            while room:
-                doc, start, ids, n = rest.pop()
-                size = min(room, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * size], n))
-                if size < len(ids) // 4:
-                    rest.append((doc, start + size, ids[4 * size :], n))
-                room -= size
-            windows.append(window)
-        return windows
-
     out = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)
