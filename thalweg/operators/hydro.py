@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP, cell_id, on_rim
 from thalweg.operators.terrain import d8_edges, edges
-from thalweg.plans.loops import carried_sum, doubled_max, doubled_sum, pinned, relaxed, roots
+from thalweg.plans.loops import doubled_max, doubled_sum, peeled, pinned, relaxed, roots
 from thalweg.spec import GridSpec
 
 INF = float("inf")
@@ -21,6 +21,18 @@ def _id(spec: GridSpec) -> Column:
     return cell_id(spec, F.col("row"), F.col("col"))
 
 
+def ranked(rows: DataFrame, *by: str | Column, parts: int = 0) -> DataFrame:
+    """``rows`` with ``place``: their number in the order of ``by``, from 0. Ranges are numbered each on their own, and then moved by
+    the sizes of those before them (a row for each range)."""
+    by = [F.col(c) if isinstance(c, str) else c for c in by]
+    spark = rows.sparkSession
+    dealt = pinned(rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).withColumn("__i", F.monotonically_increasing_id()), "ranked")
+    part, inside = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return dealt.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("place", F.col("__b") + inside).drop("__p", "__i", "__b")
+
+
 def _back(values: DataFrame, spec: GridSpec, *columns: str) -> DataFrame:
     return values.select(F.floor(F.col("id") / spec.ncols).cast("long").alias("row"), F.pmod("id", F.lit(spec.ncols)).cast("int").alias("col"), *columns)
 
@@ -35,20 +47,54 @@ def _weights(flow: DataFrame, spec: GridSpec, routing: str, weights: DataFrame |
     return flow.select(_id(spec).alias("id"), F.when(F.col(value).isNull(), 0.0).otherwise(1.0).alias("w"))
 
 
-def break_cycles(e: DataFrame) -> DataFrame:
-    """Edges without the two-cells cycles that D-infinity can make: of such a pair the edge of the larger id is turned to its
-    other receiver, by ascending id of the smaller, so the few edges concerned are put in order by one task."""
-    back = e.alias("a").join(e.alias("b"), (F.col("a.id") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.id"))).where("a.id < a.dst").select(F.col("a.dst").alias("id"), F.col("a.id").alias("bad")).distinct()
-    back = pinned(back, "cycles")
-    if back.isEmpty():
+def break_cycles(e: DataFrame, cycle_size: int = 1) -> DataFrame:
+    """Edges (id, dst, k, prop) of a D-infinity raster without the cycles of up to ``cycle_size`` + 1 cells that it can make.
+
+    Cells are taken by ascending id; from each the edges are followed for as many steps, over cells not taken yet, and an edge
+    that leads back to it is turned to the other receiver of the cell it leaves. Shares stay, and so does an edge of a cell with
+    one receiver. Only cells on such cycles are looked at, each connected group of them in order.
+    """
+    hops = e.select(F.col("id").alias("start"), F.array("id").alias("path"), F.col("dst").alias("at"))
+    on = None
+    for step in range(cycle_size):
+        # only from the smallest id of a cycle on
+        hops = hops.where("at > start").join(e.select(F.col("id").alias("at"), F.col("dst").alias("to")), "at").select("start", F.array_append("path", F.col("at")).alias("path"), F.col("to").alias("at"))
+        hops = pinned(hops.where(~F.array_contains(F.slice("path", 2, cycle_size + 1), F.col("at"))), "hops") if step + 1 < cycle_size else hops
+        back = hops.where("at = start").select("start", F.explode("path").alias("id"))
+        on = back if on is None else on.unionByName(back)
+    on = pinned(on.distinct(), "cycles")
+    if on.isEmpty():
         return e
-    other = e.join(back, "id").groupBy("id", "bad").agg(F.max(F.when(F.col("dst") != F.col("bad"), F.col("dst"))).alias("other"))
-    turned = e.join(other.withColumnRenamed("bad", "dst"), ["id", "dst"], "left").select("id", F.coalesce("other", "dst").alias("dst"), "k", "prop", (F.col("other").isNull() & F.lit(False)).alias("x"))
-    lost = other.where("other is null").select("id", F.col("bad").alias("dst"))
-    return turned.drop("x").join(lost, ["id", "dst"], "left_anti").select("id", "dst", "k", "prop")
-
-
-def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weights: DataFrame | None = None, efficiency: DataFrame | None = None, dirmap=DIRMAP) -> DataFrame:
+    pairs = on.select(F.col("start").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    labels = relaxed(on.select("id", F.col("id").cast("double").alias("v")), both).select("id", F.col("v").cast("long").alias("label"))
+    group = labels.join(e.select("id", "dst"), "id")
+
+    def turned(pdf):
+        receivers: dict[int, list[int]] = {}
+        for i, d in zip(pdf["id"].tolist(), pdf["dst"].tolist(), strict=True):
+            receivers.setdefault(i, []).append(d)
+        first = {i: list(d) for i, d in receivers.items()}
+        taken = set()
+
+        def follow(start: int, at: int, steps: int) -> None:
+            for j, d in enumerate(list(receivers.get(at, ()))):
+                if d == start and at != start:
+                    receivers[at][j] = receivers[at][1 - j] if len(receivers[at]) == 2 else d
+                elif steps and d not in taken and d in receivers and d != at:
+                    follow(start, d, steps - 1)
+
+        for i in sorted(receivers):
+            follow(i, i, cycle_size)
+            taken.add(i)
+        rows = [(i, a, b) for i in receivers for a, b in zip(first[i], receivers[i], strict=True) if a != b]
+        return type(pdf)(rows, columns=["id", "dst", "now"]).astype("int64")
+
+    changes = pinned(group.groupBy("label").applyInPandas(turned, "id long, dst long, now long"), "turned")
+    return e.join(changes, ["id", "dst"], "left").select("id", F.coalesce("now", "dst").alias("dst"), "k", "prop")
+
+
+def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weights: DataFrame | None = None, efficiency: DataFrame | None = None, dirmap=DIRMAP, cycle_size: int = 1) -> DataFrame:
     """row, col, ``acc``: the weight of a cell and of all that flows into it. ``efficiency`` (row, col, e) scales what leaves a cell."""
     w = _weights(flow, spec, routing, weights)
     if efficiency is not None:
@@ -61,9 +107,9 @@ def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weight
         return _back(doubled_sum(nodes).withColumnRenamed("s", "acc"), spec, "acc")
     e = edges(flow, spec, routing, dirmap)
     if routing == "dinf":
-        e = break_cycles(pinned(e, "edges"))
+        e = break_cycles(pinned(e, "edges"), cycle_size)
     e = e.join(w.select("id", "m"), "id").select(F.col("id").alias("src"), "dst", (F.col("prop") * F.col("m")).alias("m"))
-    return _back(carried_sum(w.select("id", F.col("w").alias("s")), e).withColumnRenamed("s", "acc"), spec, "acc")
+    return _back(peeled(w.select("id", F.col("w").alias("s")), e).withColumnRenamed("s", "acc"), spec, "acc")
 
 
 def _pour(spec: GridSpec, x: float, y: float, xytype: str, snap: str) -> int:
@@ -116,7 +162,7 @@ def distance_to_outlet(x: float, y: float, flow: DataFrame, spec: GridSpec, rout
     return _back(relaxed(start, e).withColumnRenamed("v", "dist"), spec, "dist")
 
 
-def distance_to_ridge(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weights: DataFrame | None = None, dirmap=DIRMAP) -> DataFrame:
+def distance_to_ridge(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weights: DataFrame | None = None, dirmap=DIRMAP, cycle_size: int = 1) -> DataFrame:
     """row, col, ``dist``: the greatest sum of weights on a path from a ridge cell, whose own weight is left out."""
     w = _weights(flow, spec, routing, weights)
     if routing == "d8":
@@ -124,16 +170,16 @@ def distance_to_ridge(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, w
         return _back(doubled_max(e).withColumnRenamed("r", "dist"), spec, "dist")
     e = edges(flow, spec, routing, dirmap)
     if routing == "dinf":
-        e = break_cycles(pinned(e, "edges"))
-    e = e.join(w.select(F.col("id").alias("dst"), "w"), "dst").select(F.col("id").alias("src"), "dst", "w")
-    start = w.select("id", F.lit(0.0).alias("v"))
-    return _back(relaxed(start, e, greatest=True).withColumnRenamed("v", "dist"), spec, "dist")
+        e = break_cycles(pinned(e, "edges"), cycle_size)
+    e = e.join(w.select(F.col("id").alias("dst"), "w"), "dst").select(F.col("id").alias("src"), "dst", F.col("w").alias("m"))
+    return _back(peeled(w.select("id", F.lit(0.0).alias("s")), e, greatest=True).withColumnRenamed("s", "dist"), spec, "dist")
 
 
 def compute_hand(flow: DataFrame, cells: DataFrame, mask: DataFrame, spec: GridSpec, routing: str = "d8", *, dirmap=DIRMAP) -> DataFrame:
     """row, col, ``channel`` (id of the nearest channel cell downstream, by steps) and ``hand`` (height above it) of the cells
     that reach one. ``mask`` has the channel cells' row and col; the rim has neither channels nor flow. Of channel cells
-    equally near, D-infinity and MFD take the one of the largest id."""
+    equally near, D-infinity and MFD take the one whose cells come first: channels by descending id, then, step by step, cells by
+    the place of the one they lead to, and by their direction from it (N, NE, E, ...)."""
     inner = ~on_rim(spec, F.col("row"), F.col("col"))
     channel = mask.where(inner).select(_id(spec).alias("id")).distinct()
     z = cells.select(_id(spec).alias("id"), "z")
@@ -141,14 +187,17 @@ def compute_hand(flow: DataFrame, cells: DataFrame, mask: DataFrame, spec: GridS
         e = d8_edges(flow, spec, dirmap).select("id", F.when(inner, F.col("p")).alias("p")).join(channel.withColumn("c", F.lit(True)), "id", "left")
         found = roots(e.select("id", F.when(F.col("c").isNull(), F.col("p")).alias("p"), F.lit(0.0).alias("d"))).join(channel.withColumnRenamed("id", "root"), "root", "left_semi").select("id", F.col("root").alias("channel"))
     else:
-        e = pinned(edges(flow, spec, routing, dirmap).where(~on_rim(spec, F.floor(F.col("id") / spec.ncols), F.pmod("id", F.lit(spec.ncols)))).select("id", "dst"), "edges")
-        found = front = pinned(channel.select("id", F.col("id").alias("channel")), "found")
+        e = pinned(edges(flow, spec, routing, dirmap).where(~on_rim(spec, F.floor(F.col("id") / spec.ncols), F.pmod("id", F.lit(spec.ncols)))).select("id", "dst", F.pmod(F.col("k") + 4, F.lit(8)).alias("j")), "edges")
+        found = front = pinned(channel.select("id", F.col("id").alias("channel"), (-F.col("id")).alias("place")), "found")
         while True:
-            up = e.join(front.withColumnRenamed("id", "dst"), "dst").groupBy("id").agg(F.max("channel").alias("channel")).join(found, "id", "left_anti")
-            front = pinned(up.select("id", "channel"), "front")
-            if front.isEmpty():
+            first = F.min(F.struct("place", "j", "channel")).alias("x")
+            up = e.join(front.withColumnRenamed("id", "dst"), "dst").groupBy("id").agg(first).join(found.select("id"), "id", "left_anti")
+            up = pinned(up.select("id", "x.channel", (F.col("x.place") * 8 + F.col("x.j")).alias("order")), "front")
+            if up.isEmpty():
                 break
+            front = pinned(ranked(up, "order").select("id", "channel", F.col("place")), "front")
             found = pinned(found.unionByName(front), "found")
+        found = found.select("id", "channel")
     low = z.select(F.col("id").alias("channel"), F.col("z").alias("zc"))
     return _back(found.join(z, "id").join(low, "channel").select("id", "channel", (F.col("z") - F.col("zc")).alias("hand")), spec, "channel", "hand")
 
@@ -195,21 +244,22 @@ def segments(flow: DataFrame, mask: DataFrame, spec: GridSpec, *, dirmap=DIRMAP)
     above = doubled_max_id(node.select("id", "p", F.when(F.col("n") == 0, F.col("id")).otherwise(-1).alias("v")))
     depth = roots(n.select("id", "p", F.lit(1.0).alias("d"))).select(F.col("id").alias("head"), F.col("d").alias("below"))
     keyed = ends.select("head", "tail").join(lists, "head").join(above.select(F.col("id").alias("head"), "v"), "head").join(depth, "head")
-    order = Window.orderBy(F.col("v").desc(), F.col("below").desc())
-    numbers = keyed.select("head", "v", "below").withColumn("number", F.row_number().over(order) - 1).select("head", "number")
+    numbers = ranked(keyed.select("head", "v", "below"), F.col("v").desc(), F.col("below").desc()).select("head", F.col("place").cast("int").alias("number"))
     return pinned(keyed.join(numbers, "head").select("number", "head", "tail", "cells"), "segments")
 
 
-def doubled_max_id(nodes: DataFrame, limit: int = 64) -> DataFrame:
+def doubled_max_id(nodes: DataFrame) -> DataFrame:
     """Of ``nodes`` (id, p, v): id and the greatest ``v`` of itself and of all that leads to it."""
     live = pinned(nodes, "most")
-    for _ in range(limit):
+    for _ in range(nodes.count().bit_length() + 2):
         up = live.where("p is not null")
         if up.isEmpty():
             break
         gain = up.groupBy(F.col("p").alias("id")).agg(F.max("v").alias("g"))
         to = live.select(F.col("id").alias("p"), F.col("p").alias("q"))
         live = pinned(live.join(gain, "id", "left").join(to, "p", "left").select("id", F.col("q").alias("p"), F.greatest("v", "g").alias("v")), "most")
+    if not live.where("p is not null").isEmpty():
+        raise ValueError("the flow directions have a cycle")
     return live.select("id", "v")
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder in spark.checkpoint.dir, which all executors share (the warehouse where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    """A fresh path under the folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local master uses
+    the warehouse; on a cluster that might be local to a machine, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
 
 
@@ -23,13 +27,18 @@ def pinned(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def roots(nodes: DataFrame, limit: int = 64) -> DataFrame:
+def _doublings(nodes: DataFrame) -> int:
+    """So many doublings outlast every path of a forest of ``nodes``; a pointer that is left then is on or above a cycle."""
+    return nodes.count().bit_length() + 1
+
+
+def roots(nodes: DataFrame) -> DataFrame:
     """Of ``nodes`` (id, p: the next node or null, d: the cost of the step): id, ``root`` (the last node of its path) and
     ``d`` (the cost of the path), after about log2(longest path) rounds. Nodes on or above a cycle have no root."""
     first = pinned(nodes.select("id", "p", F.when(F.col("p").isNull(), 0.0).otherwise(F.col("d")).alias("d")), "roots")
     done = first.where("p is null").select("id", F.col("id").alias("root"), "d")
     live = first.where("p is not null").select("id", "p", "d", F.lit(False).alias("stop"))
-    for _ in range(limit):
+    for _ in range(_doublings(first)):
         done = done.unionByName(live.where("stop").select("id", F.col("p").alias("root"), "d"))
         going = live.where("not stop")
         if going.isEmpty():
@@ -40,67 +49,77 @@ def roots(nodes: DataFrame, limit: int = 64) -> DataFrame:
     return pinned(done, "rooted")
 
 
-def doubled_sum(nodes: DataFrame, limit: int = 64) -> DataFrame:
+def doubled_sum(nodes: DataFrame) -> DataFrame:
     """Of ``nodes`` (id, p, s: own amount, m: share passed on): id and ``s``, the amount with all that reaches it. A round joins
-    each node with what points to it, then doubles the pointers."""
-    live = pinned(nodes.select("id", "p", "s", "m"), "sum")
-    for _ in range(limit):
+    each node with what points to it, then doubles the pointers. Where there are cycles, ``peeled`` takes over."""
+    first = live = pinned(nodes.select("id", "p", "s", "m"), "sum")
+    for turn in range(_doublings(first) + 1):
         up = live.where("p is not null")
         if up.isEmpty():
             break
+        if turn == _doublings(first):
+            return peeled(first.select("id", "s"), first.where("p is not null").select(F.col("id").alias("src"), F.col("p").alias("dst"), "m"))
         gain = up.groupBy(F.col("p").alias("id")).agg(F.sum(F.col("m") * F.col("s")).alias("g"))
         to = live.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("n"))
         live = pinned(live.join(gain, "id", "left").join(to, "p", "left").select("id", F.col("q").alias("p"), (F.col("s") + F.coalesce("g", F.lit(0.0))).alias("s"), (F.col("m") * F.coalesce("n", F.lit(1.0))).alias("m")), "sum")
     return live.select("id", "s")
 
 
-def doubled_max(nodes: DataFrame, limit: int = 64) -> DataFrame:
-    """Of ``nodes`` (id, p, c: cost of stepping into p): id and ``r``, the greatest cost of a path that ends there, 0 at least."""
-    live = pinned(nodes.select("id", "p", "c", F.lit(0.0).alias("r")), "max")
-    for _ in range(limit):
+def doubled_max(nodes: DataFrame) -> DataFrame:
+    """Of ``nodes`` (id, p, c: cost of stepping into p): id and ``r``, the greatest cost of a path that ends there, 0 at least.
+    Where there are cycles, ``peeled`` takes over."""
+    first = live = pinned(nodes.select("id", "p", "c", F.lit(0.0).alias("r")), "max")
+    for turn in range(_doublings(first) + 1):
         up = live.where("p is not null")
         if up.isEmpty():
             break
+        if turn == _doublings(first):
+            steps = first.where("p is not null").select(F.col("id").alias("src"), F.col("p").alias("dst"), F.col("c").alias("m"))
+            return peeled(first.select("id", F.col("r").alias("s")), steps, greatest=True).withColumnRenamed("s", "r")
         gain = up.groupBy(F.col("p").alias("id")).agg(F.max(F.col("r") + F.col("c")).alias("g"))
         to = live.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("c").alias("e"))
         live = pinned(live.join(gain, "id", "left").join(to, "p", "left").select("id", F.col("q").alias("p"), (F.col("c") + F.coalesce("e", F.lit(0.0))).alias("c"), F.greatest("r", F.coalesce("g", F.lit(0.0))).alias("r")), "max")
     return live.select("id", "r")
 
 
-def carried_sum(amounts: DataFrame, edges: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Of ``amounts`` (id, s) and acyclic ``edges`` (src, dst, m): id and ``s`` with all that reaches it. Each round carries only
-    what moved in the last one, so rounds shrink as amounts leave by the sinks."""
+def peeled(amounts: DataFrame, edges: DataFrame, greatest: bool = False) -> DataFrame:
+    """Of ``amounts`` (id, s) and ``edges`` (src, dst, m): id and ``s`` with all that reaches it: amounts times shares added, or the
+    greatest of amounts plus costs. A node sends on once all that leads to it has, so those on cycles and below keep what has
+    reached them by then. A round carries the nodes that wait; those that have sent leave."""
     edges = pinned(edges.select("src", "dst", "m"), "edges")
-    total = moved = pinned(amounts.select("id", "s"), "amounts")
-    parts = [total]
-    for _ in range(limit):
-        moved = pinned(moved.join(edges, moved.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("s") * F.col("m")).alias("s")), "moved")
-        if moved.isEmpty():
+    need = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
+    waiting = pinned(amounts.select("id", "s").join(need, "id", "left").select("id", "s", F.coalesce("need", F.lit(0)).alias("need")), "waiting")
+    done: list[DataFrame] = []
+    while True:
+        ready = waiting.where("need = 0")
+        if ready.isEmpty():
             break
-        parts.append(moved)
-        if len(parts) == 16:
-            parts = [pinned(_summed(parts), "amounts")]
-    return _summed(parts)
+        done.append(ready.select("id", "s"))
+        if len(done) == 16:
+            done = [pinned(_together(done), "done")]
+        value = F.max(F.col("s") + F.col("m")) if greatest else F.sum(F.col("s") * F.col("m"))
+        sent = ready.join(edges, ready.id == edges.src).groupBy(F.col("dst").alias("id")).agg(value.alias("g"), F.count("*").alias("c"))
+        reached = F.greatest("s", "g") if greatest else F.col("s") + F.coalesce("g", F.lit(0.0))
+        waiting = pinned(waiting.where("need > 0").join(sent, "id", "left").select("id", reached.alias("s"), (F.col("need") - F.coalesce("c", F.lit(0))).alias("need")), "waiting")
+    return _together([*done, waiting.select("id", "s")])
 
 
-def _summed(parts: list[DataFrame]) -> DataFrame:
+def _together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("id").agg(F.sum("s").alias("s"))
+    return out
 
 
-def relaxed(start: DataFrame, edges: DataFrame, greatest: bool = False, limit: int = 100_000) -> DataFrame:
-    """Of ``start`` (id, v) and ``edges`` (src, dst, w): id and the least (or greatest) ``v`` of ``start`` plus weights on any path
-    to it. Only nodes whose value changed send it on."""
+def relaxed(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of ``start`` (id, v) and ``edges`` (src, dst, w: 0 at least): id and the least ``v`` of ``start`` plus weights on any path to
+    it. Only nodes whose value fell send it on, until none does."""
     edges = pinned(edges.select("src", "dst", "w"), "edges")
-    best = F.max if greatest else F.min
-    known = front = pinned(start.groupBy("id").agg(best("v").alias("v")), "known")
-    for _ in range(limit):
-        sent = front.join(edges, front.id == edges.src).groupBy(F.col("dst").alias("id")).agg(best(F.col("v") + F.col("w")).alias("n"))
+    known = front = pinned(start.groupBy("id").agg(F.min("v").alias("v")), "known")
+    while True:
+        sent = front.join(edges, front.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("v") + F.col("w")).alias("n"))
         joined = sent.join(known, "id", "left")
-        front = pinned(joined.where(F.col("v").isNull() | ((F.col("n") > F.col("v")) if greatest else (F.col("n") < F.col("v")))).select("id", F.col("n").alias("v")), "front")
+        front = pinned(joined.where(F.col("v").isNull() | (F.col("n") < F.col("v"))).select("id", F.col("n").alias("v")), "front")
         if front.isEmpty():
-            break
-        known = pinned(known.unionByName(front).groupBy("id").agg(best("v").alias("v")), "known")
-    return known
+            return known
+        known = pinned(known.unionByName(front).groupBy("id").agg(F.min("v").alias("v")), "known")
