@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.functions.geometry import DIRMAP, FACETS, SECTORS, STEPS
 from thalweg.grid import Grid, Raster
 from thalweg.operators import condition, hydro, terrain, view
 from thalweg.plans.loops import pinned, scratch
@@ -110,7 +109,18 @@ def distance_to_ridge_d8(spark, sf_dir):
 def _routed(f, routing: str) -> Query:
     def run(spark, sf_dir):
         cells, spec, flow = _flow(spark, sf_dir, "noise", routing)
-        return f(cells, spec, flow)
+        return f(spec, flow)
+
+    return run
+
+
+def _routed_pour(f, routing: str) -> Query:
+    """``f`` at the cell off the rim with the largest accumulation of the same routing."""
+
+    def run(spark, sf_dir):
+        cells, spec, flow = _flow(spark, sf_dir, "noise", routing)
+        acc = pinned(hydro.accumulation(flow, spec, routing).select("row", "col", _r("acc")), "acc")
+        return f(spec, flow, *_top(acc, spec))
 
     return run
 
@@ -247,9 +257,9 @@ def queries() -> dict[str, Query]:
     found |= {"catchment_d8": catchment_d8, "distance_to_outlet_d8": distance_to_outlet_d8, "width_function": width_function, "distance_to_ridge_d8": distance_to_ridge_d8, "hand_d8": hand_d8, "inundation": inundation}
     for r in ("dinf", "mfd"):
         found |= {
-            f"catchment_{r}": _routed(lambda c, s, f, r=r: hydro.catchment(20, 100, f, s, r, xytype="index"), r),
-            f"distance_to_outlet_{r}": _routed(lambda c, s, f, r=r: hydro.distance_to_outlet(20, 100, f, s, r, xytype="index").select("row", "col", _r("dist")), r),
-            f"distance_to_ridge_{r}": _routed(lambda c, s, f, r=r: hydro.distance_to_ridge(f, s, r).select("row", "col", _r("dist")), r),
+            f"catchment_{r}": _routed_pour(lambda s, f, x, y, r=r: hydro.catchment(x, y, f, s, r, xytype="index"), r),
+            f"distance_to_outlet_{r}": _routed_pour(lambda s, f, x, y, r=r: hydro.distance_to_outlet(x, y, f, s, r, xytype="index").select("row", "col", _r("dist")), r),
+            f"distance_to_ridge_{r}": _routed(lambda s, f, r=r: hydro.distance_to_ridge(f, s, r).select("row", "col", _r("dist")), r),
             f"hand_{r}": lambda spark, d, r=r: _hand(spark, d, routing=r).select("row", "col", "channel", _r("hand")),
         }
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(hydro.extract_profiles)}
@@ -259,12 +269,23 @@ def queries() -> dict[str, Query]:
     return found
 
 
-# SQL of the same definitions.
+#: Rounds of the SQL that ends by count.
+ROUNDS = 120
+
+# SQL of the same definitions, with tables of its own.
+# Steps (row, col) and codes from N clockwise; directions of the sectors from east counter-clockwise; facets (first
+# and second neighbour, quarter turns added, sign of the angle).
+_STEPS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+_CODES = (64, 128, 1, 2, 4, 8, 16, 32)
+_SECTORS = (2, 1, 0, 7, 6, 5, 4, 3)
+_FACETS = ((2, 1, 0, 1), (0, 1, 1, -1), (0, 7, 1, 1), (6, 7, 2, -1), (6, 5, 2, 1), (4, 5, 3, -1), (4, 3, 3, 1), (2, 3, 4, -1))
+
+
 def _cells(name: str) -> str:
     return f"cells0 AS (SELECT vec_id AS row, unnest(range(len(embedding)))::INT AS col, unnest(embedding)::DOUBLE AS v FROM embeddings), cells AS (SELECT row, col, ({RASTERS[name]})::DOUBLE AS z FROM cells0), g AS (SELECT max(row) AS mr, max(col) AS mc, max(z) + 1 AS top FROM cells)"
 
 
-_OFFS = "offs(k, dr, dc, dist, code) AS (VALUES " + ", ".join(f"({k}, {r}, {c}, sqrt({abs(r) + abs(c)}::DOUBLE), {DIRMAP[k]})" for k, (r, c) in enumerate(STEPS)) + ")"
+_OFFS = "offs(k, dr, dc, dist, code) AS (VALUES " + ", ".join(f"({k}, {r}, {c}, sqrt({abs(r) + abs(c)}::DOUBLE), {_CODES[k]})" for k, (r, c) in enumerate(_STEPS)) + ")"
 _NB = "nb AS (SELECT c.row, c.col, c.z, o.k, o.dist, o.code, n.row AS nr, n.col AS nc, n.z AS zn FROM cells c CROSS JOIN offs o JOIN cells n ON n.row = c.row + o.dr AND n.col = c.col + o.dc)"
 _INNER = "row > 0 AND col > 0 AND row < (SELECT mr FROM g) AND col < (SELECT mc FROM g)"
 _LOW = f"low AS (SELECT row, col, any_value(z) AS z, min(zn) AS lo, min(zn - z) AS ld, bool_or(true) AS b FROM nb GROUP BY row, col), inn AS (SELECT *, ({_INNER}) AS inside FROM low)"
@@ -278,11 +299,11 @@ def _with(name: str, *parts: str, recursive: bool = False) -> str:
 
 def _dinf_sql() -> str:
     wide = "wide AS (SELECT row, col, any_value(z) AS z, " + ", ".join(f"max(zn) FILTER (k = {k}) AS n{k}" for k in range(8)) + " FROM nb GROUP BY row, col HAVING count(*) = 8)"
-    facets = " UNION ALL ".join(f"SELECT row, col, {k} AS f, {ac} AS ac, {af} AS af, z - n{e1} AS s1, n{e1} - n{e2} AS s2, z - n{e2} AS s3 FROM wide" for k, (e1, e2, ac, af) in enumerate(FACETS))
+    facets = " UNION ALL ".join(f"SELECT row, col, {k} AS f, {ac} AS ac, {af} AS af, z - n{e1} AS s1, n{e1} - n{e2} AS s2, z - n{e2} AS s3 FROM wide" for k, (e1, e2, ac, af) in enumerate(_FACETS))
     lim = "(pi() / 4)"
-    fs = f"f0 AS ({facets}), f1 AS (SELECT *, atan2(s2, s1) AS r, sqrt(s1 * s1 + s2 * s2) AS h FROM f0), f2 AS (SELECT row, col, f, ac, af, CASE WHEN r < 0 THEN 0 WHEN r > {lim} THEN {lim} ELSE r END AS r, CASE WHEN r < 0 THEN s1 WHEN r > {lim} THEN s3 / sqrt(2) ELSE h END AS s FROM f1)"
-    best = "f3 AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY s DESC, f) AS rn FROM f2), dinf AS (SELECT row, col, CASE WHEN s < 0 THEN -2.0 WHEN s = 0 THEN -1.0 ELSE (af * r + ac * pi() / 2 + 2 * pi()) % (2 * pi()) END AS angle FROM f3 WHERE rn = 1)"
-    sect = "sect(s, k) AS (VALUES " + ", ".join(f"({s}, {k})" for s, k in enumerate(SECTORS)) + ")"
+    fs = f"f0 AS ({facets}), f1 AS (SELECT *, atan2(s2, s1) AS r, sqrt(s1 * s1 + s2 * s2) AS h FROM f0), f2 AS (SELECT row, col, f, ac, af, CASE WHEN r < 0 THEN 0 WHEN r > {lim} THEN {lim} ELSE r END AS r, CASE WHEN r < 0 THEN s1 WHEN r > {lim} THEN s3 / sqrt(2) ELSE h END AS s FROM f1), f2x AS (SELECT *, af * r + ac * (pi() / 2) AS x FROM f2)"
+    best = "f3 AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY s DESC, f) AS rn FROM f2x), dinf AS (SELECT row, col, CASE WHEN s < 0 THEN -2.0 WHEN s = 0 THEN -1.0 ELSE (x % (2 * pi()) + CASE WHEN x % (2 * pi()) < 0 THEN 2 * pi() ELSE 0 END) % (2 * pi()) END AS angle FROM f3 WHERE rn = 1)"
+    sect = "sect(s, k) AS (VALUES " + ", ".join(f"({s}, {k})" for s, k in enumerate(_SECTORS)) + ")"
     split = "a AS (SELECT row, col, floor(angle / (pi() / 4))::INT AS s, (angle % (pi() / 4)) / (pi() / 4) AS q FROM dinf WHERE angle >= 0), e0 AS (SELECT row, col, s, 1 - q AS prop FROM a UNION ALL SELECT row, col, (s + 1) % 8, q FROM a), de AS (SELECT row, col, k, prop FROM e0 JOIN sect USING (s) WHERE prop > 0)"
     return ", ".join([wide, fs, best, sect, split])
 
@@ -311,7 +332,6 @@ def oracle_sql() -> dict[str, str]:
     out["accumulation_d8_weighted"] = _with("noise", _D8, walk(w, "1.0"), recursive=True) + "SELECT row, col, acc FROM acc"
     out["accumulation_d8_efficiency"] = _with("noise", _D8, walk("1.0::DOUBLE", ueff), recursive=True) + f"SELECT row, col, {r6('acc')} AS acc FROM acc"
     out["top_accumulation"] = _with("ramp", _D8, walk("1.0::DOUBLE", "1.0"), recursive=True) + "SELECT row, col, acc FROM acc ORDER BY acc DESC, row, col LIMIT 10"
-    out["accumulation_mfd"] = _with("noise", _MFD, "up(row, col, m) AS (SELECT row, col, 1.0::DOUBLE FROM cells UNION ALL SELECT d.nr, d.nc, sum(u.m * d.prop) FROM up u JOIN mfd d ON d.row = u.row AND d.col = u.col GROUP BY d.nr, d.nc)", recursive=True) + f"SELECT row, col, {r6('sum(m)')} AS acc FROM up GROUP BY row, col"
     acc = walk("1.0::DOUBLE", "1.0")
     pour = f"pour AS (SELECT row AS pr, col AS pc FROM acc WHERE {_INNER} ORDER BY acc DESC, row, col LIMIT 1)"
     out["catchment_d8"] = _with("noise", _D8, acc, pour, recursive=True) + f"SELECT DISTINCT u.sr AS row, u.sc AS col FROM up u JOIN pour ON u.row = pr AND u.col = pc WHERE NOT (sr = 0 OR sc = 0 OR sr = (SELECT mr FROM g) OR sc = (SELECT mc FROM g))"
@@ -326,9 +346,43 @@ def oracle_sql() -> dict[str, str]:
     out["inundation_varying"] = _with("noise", _D8, acc, hand, recursive=True) + f"SELECT h.row, h.col, {r6('0.75 * pow(a.acc, 0.2) - h.hand')} AS depth FROM hand h JOIN acc a ON a.row = h.channel // 64 AND a.col = h.channel % 64 WHERE h.hand < 0.75 * pow(a.acc, 0.2)"
     out["ascii_round_trip"] = out["raster_round_trip"] = _with("noise") + "SELECT row, col, z FROM cells"
     out["burn"] = _with("noise", _D8, acc, recursive=True) + "SELECT c.row, c.col, CASE WHEN a.acc > 4 THEN c.z - 2.0 ELSE c.z END AS z FROM cells c JOIN acc a USING (row, col)"
-    reach = lambda e0: f"rev AS ({e0}), hit(row, col) AS (SELECT 100::BIGINT, 20 UNION SELECT e.row, e.col FROM hit h JOIN rev e ON e.nr = h.row AND e.nc = h.col WHERE NOT (e.row = 0 OR e.col = 0 OR e.row = (SELECT mr FROM g) OR e.col = (SELECT mc FROM g)))"
-    out["catchment_mfd"] = _with("noise", _MFD, reach("SELECT row, col, nr, nc FROM mfd"), recursive=True) + "SELECT row, col FROM hit"
-    out["catchment_dinf"] = _with("noise", _dinf_sql(), reach("SELECT row, col, nr, nc FROM de JOIN nb USING (row, col, k)"), recursive=True) + "SELECT row, col FROM hit"
+    # D-infinity and MFD: edges of one shape; of two cells that lead to each other the larger's edge is turned to its other receiver
+    turn = "e0x AS (SELECT row, col, nr, nc, k, prop FROM de JOIN nb USING (row, col, k)), bad AS (SELECT a.row, a.col, a.nr, a.nc FROM e0x a JOIN e0x b ON b.row = a.nr AND b.col = a.nc AND b.nr = a.row AND b.nc = a.col WHERE a.row * 64 + a.col > a.nr * 64 + a.nc), oth AS (SELECT b.row, b.col, b.nr, b.nc, any_value(e.nr) AS tr, any_value(e.nc) AS tc FROM bad b JOIN e0x e ON e.row = b.row AND e.col = b.col AND (e.nr <> b.nr OR e.nc <> b.nc) GROUP BY ALL), e AS (SELECT x.row, x.col, coalesce(o.tr, x.nr) AS nr, coalesce(o.tc, x.nc) AS nc, x.prop FROM e0x x LEFT JOIN oth o USING (row, col, nr, nc))"
+    graphs = {"mfd": [_MFD, "e AS (SELECT row, col, nr, nc, prop, k FROM mfd), e0x AS (SELECT * FROM e)"], "dinf": [_dinf_sql(), turn]}
+    amounts = {"mfd": "cells", "dinf": "(SELECT c.row, c.col FROM cells c JOIN dinf USING (row, col))"}
+    for r, graph in graphs.items():
+        total = f"us(row, col, m) AS (SELECT row, col, 1.0::DOUBLE FROM {amounts[r]} UNION ALL SELECT d.nr, d.nc, sum(u.m * d.prop) FROM us u JOIN e d ON d.row = u.row AND d.col = u.col GROUP BY d.nr, d.nc), tot AS (SELECT c.row, c.col, round(coalesce(sum(m), 0), 6) + 0.0 AS acc FROM cells c LEFT JOIN us USING (row, col) GROUP BY ALL)"
+        step = "1" if r == "mfd" else "(SELECT count(*) FROM dinf q WHERE q.row = d.nr AND q.col = d.nc)"
+        far = f"ur(row, col, m) AS (SELECT row, col, 0.0::DOUBLE FROM cells UNION ALL SELECT d.nr, d.nc, max(u.m + {step}) FROM ur u JOIN e d ON d.row = u.row AND d.col = u.col GROUP BY d.nr, d.nc)"
+        at = f"pour AS (SELECT row AS pr, col AS pc FROM tot WHERE {_INNER} ORDER BY acc DESC, row, col LIMIT 1)"
+        off = "NOT (e.row = 0 OR e.col = 0 OR e.row = (SELECT mr FROM g) OR e.col = (SELECT mc FROM g))"
+        hit = f"hit(row, col) AS (SELECT pr, pc FROM pour UNION SELECT e.row, e.col FROM hit h JOIN e0x e ON e.nr = h.row AND e.nc = h.col WHERE {off})"
+        # all lengths of walks, as far as no cell's shortest path is longer
+        way = f"way(row, col, dist) AS (SELECT pr, pc, 0 FROM pour UNION SELECT e.row, e.col, w.dist + 1 FROM way w JOIN e0x e ON e.nr = w.row AND e.nc = w.col WHERE w.dist < 100 AND {off if r == 'mfd' else 'true'})"
+        out[f"accumulation_{r}"] = _with("noise", *graph, total, recursive=True) + "SELECT row, col, acc FROM tot"
+        out[f"distance_to_ridge_{r}"] = _with("noise", *graph, far, recursive=True) + "SELECT row, col, max(m) AS dist FROM ur GROUP BY row, col"
+        out[f"catchment_{r}"] = _with("noise", *graph, total, at, hit, recursive=True) + "SELECT row, col FROM hit"
+        out[f"distance_to_outlet_{r}"] = _with("noise", *graph, total, at, way, recursive=True) + "SELECT row, col, min(dist)::DOUBLE AS dist FROM way GROUP BY row, col"
+        starts = f"ch AS (SELECT row, col FROM acc WHERE acc > 4 AND {_INNER}), eu AS (SELECT e.row, e.col, e.nr, e.nc, (e.k + 4) % 8 AS j FROM e0x e WHERE {off})"
+        hops = "hp(row, col, n) AS (SELECT row, col, 0 FROM ch UNION SELECT eu.row, eu.col, n + 1 FROM hp JOIN eu ON eu.nr = hp.row AND eu.nc = hp.col WHERE n < 60), hops AS (SELECT row, col, min(n) AS n FROM hp GROUP BY row, col)"
+        level = "hn(row, col, channel, place, n) AS (SELECT row, col, row * 64 + col, -(row * 64 + col), 0 FROM ch UNION ALL SELECT row, col, channel, row_number() OVER (ORDER BY o), n FROM (SELECT eu.row, eu.col, arg_min(hn.channel, hn.place * 8 + eu.j) AS channel, min(hn.place * 8 + eu.j) AS o, any_value(hn.n) + 1 AS n FROM hn JOIN eu ON eu.nr = hn.row AND eu.nc = hn.col JOIN hops ON hops.row = eu.row AND hops.col = eu.col AND hops.n = hn.n + 1 GROUP BY eu.row, eu.col))"
+        out[f"hand_{r}"] = _with("noise", _D8, acc, *graph, starts, hops, level, recursive=True) + f"SELECT h.row, h.col, h.channel, {r6('a.z - b.z')} AS hand FROM hn h JOIN cells a ON a.row = h.row AND a.col = h.col JOIN cells b ON b.row = h.channel // 64 AND b.col = h.channel % 64"
+    rim = f"NOT ({_INNER})"
+    # water falls to the level of its lowest neighbour, down to the ground, in so many rounds that none changes any more
+    sink = f"wl(row, col, w, i) AS (SELECT row, col, CASE WHEN {rim} THEN z ELSE 1e9 END, 0 FROM cells UNION ALL SELECT a.row, a.col, greatest(any_value(c.z), least(any_value(a.w), min(b.w))), any_value(a.i) + 1 FROM wl a JOIN offs o ON true JOIN wl b ON b.row = a.row + o.dr AND b.col = a.col + o.dc JOIN cells c ON c.row = a.row AND c.col = a.col WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
+    out["fill_depressions"] = _with("steps", sink, recursive=True) + f"SELECT row, col, w AS z FROM wl WHERE i = {ROUNDS}"
+    out["detect_depressions"] = _with("steps", sink, recursive=True) + f"SELECT row, col, w > z AS depression FROM wl JOIN cells USING (row, col) WHERE i = {ROUNDS}"
+    side = "sd AS (SELECT row, col, nr, nc FROM nb WHERE z = zn AND dist = 1)"
+    least = f"lb(row, col, l, i) AS (SELECT row, col, row * 64 + col, 0 FROM cells UNION ALL SELECT a.row, a.col, least(any_value(a.l), coalesce(min(b.l), any_value(a.l))), any_value(a.i) + 1 FROM lb a LEFT JOIN sd ON sd.row = a.row AND sd.col = a.col LEFT JOIN lb b ON b.row = sd.nr AND b.col = sd.nc WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
+    out["polygonize"] = _with("steps", side, least, f"same AS (SELECT row, col, count(*) AS n FROM sd GROUP BY row, col)", recursive=True) + f"SELECT l AS label, any_value(z) AS value, count(*) AS n_cells, sum(4 - coalesce(n, 0))::INT AS n_edges FROM lb JOIN cells USING (row, col) LEFT JOIN same USING (row, col) WHERE i = {ROUNDS} GROUP BY l"
+    kinds = f"kd AS (SELECT row, col, any_value(z) AS z, coalesce(any_value({_INNER}), false) AND min(zn) = any_value(z) AS flat, max(zn) > any_value(z) AS hi, NOT any_value({_INNER}) OR min(zn) < any_value(z) AS dr FROM nb GROUP BY row, col)"
+    near = "nr AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc, a.z, b.z AS zn, b.flat AS fn, b.dr AS dn FROM kd a JOIN nb n ON n.row = a.row AND n.col = a.col JOIN kd b ON b.row = n.nr AND b.col = n.nc WHERE a.flat)"
+    label = f"fl(row, col, l, i) AS (SELECT row, col, row * 64 + col, 0 FROM kd WHERE flat UNION ALL SELECT a.row, a.col, least(any_value(a.l), coalesce(min(b.l), any_value(a.l))), any_value(a.i) + 1 FROM fl a LEFT JOIN nr ON nr.row = a.row AND nr.col = a.col AND fn LEFT JOIN fl b ON b.row = nr.nr AND b.col = nr.nc WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
+    walk_to = lambda name, start, way: f"{name}0(row, col, v) AS ({start} UNION SELECT n.{way}, v + 1 FROM {name}0 t JOIN nr n ON {{on}} WHERE v < {ROUNDS}), {name} AS (SELECT row, col, min(v) AS v FROM {name}0 GROUP BY row, col)"
+    away = walk_to("aw", "SELECT row, col, 1 FROM kd WHERE flat AND hi", "nr, n.nc").format(on="n.row = t.row AND n.col = t.col AND fn")
+    to = walk_to("tw", "SELECT DISTINCT nr, nc, 1 FROM nr WHERE dn AND zn = z", "row, n.col").format(on="n.nr = t.row AND n.nc = t.col AND zn = z")
+    tops = f"tp AS (SELECT l, max(v) AS top FROM aw JOIN fl USING (row, col) WHERE i = {ROUNDS} GROUP BY l), fr AS (SELECT row, col, top - v AS f FROM aw JOIN fl USING (row, col) JOIN tp USING (l) WHERE i = {ROUNDS})"
+    out["resolve_flats"] = _with("steps", kinds, near, label, away, to, tops, recursive=True) + f"SELECT c.row, c.col, {r6('c.z + 1e-5 * (2 * coalesce(v, 0) + coalesce(f, 0))')} AS z FROM cells c LEFT JOIN tw USING (row, col) LEFT JOIN fr USING (row, col)"
     tgt = f"t AS (SELECT i AS row, j::INT AS col, 2.0 * j + 0.25 AS x, (SELECT mr + 1 FROM g) - 0.25 - 2.0 * i AS y FROM range((SELECT (mr + 1) // 2 FROM g)) a(i), range((SELECT (mc + 1) // 2 FROM g)) b(j)), s AS (SELECT row, col, (SELECT mr + 1 FROM g) - y AS sr, x AS sc FROM t)"
     out["view_nearest"] = _with("noise", tgt) + f"SELECT s.row, s.col, {r6('c.z')} AS z FROM s LEFT JOIN cells c ON c.row = round_even(sr, 0)::BIGINT AND c.col = round_even(sc, 0)::INT"
     lin = "cc AS (SELECT row, col, floor(sr)::BIGINT AS r, floor(sc)::INT AS c, sr - floor(sr) AS tr, sc - floor(sc) AS tc FROM s), xx AS (SELECT row, col, r, c, (1 - tr) * (1 - tc) AS w FROM cc UNION ALL SELECT row, col, r, c + 1, (1 - tr) * tc FROM cc UNION ALL SELECT row, col, r + 1, c, tr * (1 - tc) FROM cc UNION ALL SELECT row, col, r + 1, c + 1, tr * tc FROM cc)"
