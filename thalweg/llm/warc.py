@@ -156,8 +156,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     carry = tops.select("file", "split", F.last("top", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     owned = marked.withColumn("own", last.over(by.rowsBetween(Window.unboundedPreceding, 0))).join(carry, ["file", "split"]).withColumn("own", F.coalesce("own", "carry")).where("not real or not whole")
     owners = marked.where("real and not whole").select("file", F.col("start").alias("own"))
-    pieces = materialise(owned.join(owners, ["file", "own"]).select("file", "split", "seq", "start", "own"), "pieces")
-    texts = _chunks(spark, path).join(pieces, ["file", "split", "seq"]).select("file", "own", F.struct("start", F.col("value").cast("binary").alias("value")).alias("x"))
+    # a chunk is known by its number within its split, which no packing of splits into tasks changes
+    first = thin.groupBy("file", "split").agg(F.min("seq").alias("base"))
+    pieces = owned.join(owners, ["file", "own"]).join(first, ["file", "split"]).select("file", "split", (F.col("seq") - F.col("base")).alias("nth"), "start", "own")
+    chunks = _chunks(spark, path)
+    begins = chunks.groupBy("file", "split").agg(F.min("seq").alias("base"))
+    texts = chunks.join(begins, ["file", "split"]).withColumn("nth", F.col("seq") - F.col("base")).join(materialise(pieces, "pieces"), ["file", "split", "nth"]).select("file", "own", F.struct("start", F.col("value").cast("binary").alias("value")).alias("x"))
     joined = texts.groupBy("file", "own").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     magic = F.lit(MAGIC).cast("binary")
     whole_text = F.aggregate(F.slice("xs", 2, 1 << 30), F.get(F.col("xs"), 0)["value"], lambda s, x: F.concat(s, magic, x["value"]))
@@ -170,7 +174,8 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """Write the archives (to a fresh shared folder unless ``path`` is given), read them back, and return per record its id,
     ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` (the response's id for revisits, else null).
 
-    A revisit's payload is that of the record it refers to. Rows with the same id and payload are records of their own;
+    A revisit's payload is that of the record it refers to. A null html is an empty payload; long ones are whole; null ids and
+    urls are left out of the headers. Rows with the same id and payload are records of their own;
     an empty table gives an empty table; further columns are dropped, whatever their names.
     """
     spark = pages.sparkSession
