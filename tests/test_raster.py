@@ -147,3 +147,82 @@ def test_polygonize_query_takes_the_whole_raster(spark, tmp_path):
     spark.createDataFrame([(r, [float(x) for x in row]) for r, row in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(x) for x in queries.polygonize(spark, str(tmp_path)).collect())
     assert got == regions(np.floor(8 * v), STEPS[::2])
+
+
+def test_cycles_of_dinfinity_edges_are_turned_in_order(spark):
+    from thalweg.operators.hydro import break_cycles
+    from thalweg.plans.loops import peeled
+
+    def turned(rows, size):
+        e = spark.createDataFrame([(a, b, 0, p) for a, b, p in rows], "id long, dst long, k int, prop double")
+        return sorted((r["id"], r["dst"], r["prop"]) for r in break_cycles(e, size).collect())
+
+    two = [(1, 2, 0.4), (1, 9, 0.6), (2, 1, 0.7), (2, 3, 0.3), (3, 2, 0.5), (3, 8, 0.5)]
+    # 2 no longer leads to 1 but twice to 3; then 3, which leads to 2, is turned to 8
+    assert turned(two, 1) == sorted([(1, 2, 0.4), (1, 9, 0.6), (2, 3, 0.7), (2, 3, 0.3), (3, 8, 0.5), (3, 8, 0.5)])
+    assert turned([(1, 2, 1.0), (2, 1, 1.0), (0, 1, 1.0)], 1) == [(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
+    three = [(1, 2, 1.0), (2, 3, 1.0), (3, 1, 0.5), (3, 7, 0.5)]
+    assert turned(three, 1) == sorted(three)
+    assert turned(three, 2) == sorted([(1, 2, 1.0), (2, 3, 1.0), (3, 7, 0.5), (3, 7, 0.5)])
+    # cells on a cycle never send on; what leads to them arrives
+    amounts = spark.createDataFrame([(i, 1.0) for i in range(5)], "id long, s double")
+    steps = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 1.0)], "src long, dst long, m double")
+    assert {r["id"]: r["s"] for r in peeled(amounts, steps).collect()} == {0: 1.0, 1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_doubling_hands_cycles_to_peeling(spark):
+    from thalweg.plans.loops import doubled_max, doubled_sum, roots
+
+    nodes = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (3, 4), (4, None)], "id long, p long")
+    sums = doubled_sum(nodes.selectExpr("id", "p", "1.0D as s", "1.0D as m"))
+    assert {r["id"]: r["s"] for r in sums.collect()} == {0: 1.0, 1: 2.0, 2: 1.0, 3: 1.0, 4: 2.0}
+    most = doubled_max(nodes.selectExpr("id", "p", "1.0D as c"))
+    assert {r["id"]: r["r"] for r in most.collect()} == {0: 0.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0}
+    assert {r["id"]: r["root"] for r in roots(nodes.selectExpr("id", "p", "1.0D as d")).collect()} == {3: 4, 4: 4}
+
+
+def test_stream_order_and_networks_by_brute_force(spark):
+    import json
+
+    from thalweg.operators import hydro, terrain
+    from thalweg.spec import GridSpec
+
+    rng = np.random.default_rng(12)
+    rows, cols = 14, 11
+    z = rng.random((rows, cols)) + 0.4 * np.arange(rows)[:, None]
+    spec = GridSpec(rows, cols, (1.0, 0.0, 0.0, 0.0, -1.0, float(rows)))
+    cells = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(rows) for c in range(cols)], "row long, col int, z double")
+    flow = terrain.flowdir_d8(cells, spec).cache()
+    acc = {r["row"] * cols + r["col"]: r["acc"] for r in hydro.accumulation(flow, spec).collect()}
+    mask = {i for i, a in acc.items() if a > 2 and 0 < i // cols < rows - 1 and 0 < i % cols < cols - 1}
+    down = {r["id"]: r["p"] for r in terrain.d8_edges(flow, spec).collect() if r["id"] in mask}
+    fed = {i: [u for u, p in down.items() if p == i] for i in set(down) | {p for p in down.values() if p is not None}}
+    extra = {i: len(u) + (down.get(i) is None) for i, u in fed.items()}
+
+    def order(i):
+        above = [order(u) for u in fed[i]]
+        return 1 if not above else max(above) + (min(above) == max(above) and extra[i] > 1)
+
+    on = spark.createDataFrame([(i // cols, i % cols) for i in mask], "row long, col int")
+    got = {r["row"] * cols + r["col"]: r["ord"] for r in hydro.stream_order(flow, on, spec).collect()}
+    assert got == {i: order(i) for i in fed} and max(got.values()) > 1
+    # segments: from the largest head down, each walk goes on until it meets a cell that was walked
+    want, walked = [], set()
+    for head in sorted((i for i in fed if not fed[i] and down.get(i) is not None), reverse=True):
+        at, line = head, [head]
+        while down.get(at) is not None:
+            at = down[at]
+            line.append(at)
+            if extra[at] > 1 or down.get(at) is None:
+                want.append(line)
+                if at in walked:
+                    break
+                line = [at]
+                walked.add(at)
+    found = sorted(hydro.segments(flow, on, spec).collect(), key=lambda r: r["number"])
+    assert [r["cells"] for r in found] == want and [r["number"] for r in found] == list(range(len(want)))
+    shapes = {r["number"]: json.loads(r["geometry"])["coordinates"] for r in hydro.extract_river_network(flow, on, spec).collect()}
+    assert shapes == {k: [[float(i % cols), float(rows - i // cols)] for i in line] for k, line in enumerate(want)}
+    heads = {line[0]: k for k, line in enumerate(want)}
+    first = {line[-1]: k for k, line in reversed(list(enumerate(want)))}
+    assert {r["number"]: r["next"] for r in hydro.extract_profiles(flow, on, spec).collect()} == {k: heads.get(line[-1], first[line[-1]]) for k, line in enumerate(want)}
