@@ -226,3 +226,10 @@ def test_stream_order_and_networks_by_brute_force(spark):
     heads = {line[0]: k for k, line in enumerate(want)}
     first = {line[-1]: k for k, line in reversed(list(enumerate(want)))}
     assert {r["number"]: r["next"] for r in hydro.extract_profiles(flow, on, spec).collect()} == {k: heads.get(line[-1], first[line[-1]]) for k, line in enumerate(want)}
+
+
+def test_linear_view_beside_nodata(spark):
+    spec = GridSpec(3, 3, (1.0, 0.0, 0.0, 0.0, -1.0, 3.0))
+    cells = spark.createDataFrame([(r, c, None if (r, c) == (0, 0) else 10.0) for r in range(3) for c in range(3)], "row long, col int, z double")
+    half = GridSpec(2, 2, (1.0, 0.0, 0.5, 0.0, -1.0, 2.5))
+    assert {(r["row"], r["col"]): r["z"] for r in view.view(cells, spec, half, "linear").collect()} == {(0, 0): None, (0, 1): 10.0, (1, 0): 10.0, (1, 1): 10.0}

@@ -25,7 +25,7 @@ def _source(spec: GridSpec, target: GridSpec) -> tuple[Column, Column]:
 
 def view(cells: DataFrame, spec: GridSpec, target: GridSpec, interpolation: str = "nearest", value: str = "z") -> DataFrame:
     """row, col, ``value`` on the target grid; null where the data doesn't reach. Nearest goes half to even; linear blends four
-    cells, those beyond the last row or column counting as the last."""
+    cells, those beyond the last row or column counting as the last; it is null where one that counts has no data."""
     if interpolation not in ("nearest", "linear"):
         raise ValueError(f"interpolation must be 'nearest' or 'linear', not {interpolation!r}")
     if spec.congruent(target):
@@ -44,7 +44,8 @@ def view(cells: DataFrame, spec: GridSpec, target: GridSpec, interpolation: str
     corner = lambda rr, cc, w: F.struct(rr.cast("long").alias("r"), cc.cast("int").alias("c"), w.alias("w"))
     four = F.array(corner(r, c, (1 - tr) * (1 - tc)), corner(r, right, (1 - tr) * tc), corner(down, c, tr * (1 - tc)), corner(down, right, tr * tc))
     ask = at.where(inside).select("row", "col", F.explode(four).alias("x")).select("row", "col", "x.*")
-    mixed = ask.join(data, ["r", "c"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("v")).alias(value))
+    missing = F.max(((F.col("w") > 0) & F.col("v").isNull()).cast("int"))
+    mixed = ask.join(data, ["r", "c"], "left").groupBy("row", "col").agg(F.when(missing == 0, F.sum(F.col("w") * F.col("v"))).alias(value))
     return grid.join(mixed, ["row", "col"], "left").select("row", "col", value)
 
 
