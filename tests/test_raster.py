@@ -233,3 +233,30 @@ def test_linear_view_beside_nodata(spark):
     cells = spark.createDataFrame([(r, c, None if (r, c) == (0, 0) else 10.0) for r in range(3) for c in range(3)], "row long, col int, z double")
     half = GridSpec(2, 2, (1.0, 0.0, 0.5, 0.0, -1.0, 2.5))
     assert {(r["row"], r["col"]): r["z"] for r in view.view(cells, spec, half, "linear").collect()} == {(0, 0): None, (0, 1): 10.0, (1, 0): 10.0, (1, 1): 10.0}
+
+
+@pytest.mark.parametrize("tile", [3, 4, 128])
+def test_neighbours_across_tiles(spark, monkeypatch, tile):
+    from thalweg.plans import stencil
+
+    monkeypatch.setattr(stencil, "TILE", tile)
+    z = np.random.default_rng(8).random((9, 13))
+    z[4, 4] = z[8, 0] = np.nan
+    df, spec = cells(spark, z)
+    got = {(r["row"], r["col"]): tuple(r[f"n{k}"] for k in range(8)) for r in stencil.with_neighbours(df).collect()}
+    at = lambda r, c: None if not (0 <= r < 9 and 0 <= c < 13) or math.isnan(z[r, c]) else float(z[r, c])
+    assert got == {(r, c): tuple(at(r + dr, c + dc) for dr, dc in STEPS) for r, c in np.ndindex(z.shape)}
+    flow, to = terrain.flowdir_d8(df, spec).cache(), d8(np.where(np.isnan(z), np.inf, z))[1]
+    dh = {(r["row"], r["col"]): r["dh"] for r in terrain.cell_dh(df, flow, spec).collect()}
+    rim = lambda r, c: r in (0, 8) or c in (0, 12)
+    drop = lambda p: 0.0 if rim(*p) or p not in to else float(z[p] - z[to[p]])
+    assert dh == {p: None if math.isnan(z[p]) else drop(p) for p in np.ndindex(z.shape)}
+    with pytest.raises(ValueError):
+        terrain.cell_dh(df, flow, spec, "d9")
+
+
+def test_one_shuffle_for_slopes(spark, ground):
+    df, spec = cells(spark, ground)
+    flow = spark.createDataFrame(terrain.flowdir_d8(df, spec).collect(), "row long, col int, fdir int")
+    plan = terrain.cell_slopes(df, flow, spec)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

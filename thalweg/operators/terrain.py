@@ -11,17 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP, FACETS, SECTORS, STEPS, cell_id, distances, facet, on_rim, step_id
-from thalweg.plans.stencil import with_neighbours
+from thalweg.plans.stencil import KEYS, around, by_tile, in_tile, in_tiles, with_neighbours
 from thalweg.spec import GridSpec
 
 NS = [f"n{k}" for k in range(8)]
 
 
-def _around(cells: DataFrame, spec: GridSpec) -> DataFrame:
-    """Neighbours without data count as higher than any, and ``inside`` tells cells off the rim."""
-    top = cells.agg((F.max("z") + 1).alias("__top"))  # one row
-    raised = with_neighbours(cells).join(F.broadcast(top))
-    return raised.select(*cells.columns, *[F.coalesce(n, "__top").alias(n) for n in NS], (~on_rim(spec, F.col("row"), F.col("col")) & F.col("z").isNotNull()).alias("inside"))
+def _around(cells: DataFrame, spec: GridSpec, finite: bool = False) -> DataFrame:
+    """Neighbours without data count as higher than any (``finite``: by one), and ``inside`` tells cells off the rim."""
+    near = with_neighbours(cells)
+    if finite:  # one row
+        near = near.join(F.broadcast(cells.agg((F.max("z") + 1).alias("__top"))))
+    else:
+        near = near.withColumn("__top", F.lit(math.inf))
+    return near.select(*cells.columns, *[F.coalesce(n, "__top").alias(n) for n in NS], (~on_rim(spec, F.col("row"), F.col("col")) & F.col("z").isNotNull()).alias("inside"))
 
 
 def detect_pits(cells: DataFrame, spec: GridSpec) -> DataFrame:
@@ -32,7 +35,7 @@ def detect_pits(cells: DataFrame, spec: GridSpec) -> DataFrame:
 def fill_pits(cells: DataFrame, spec: GridSpec) -> DataFrame:
     """row, col, z with every pit raised to its lowest neighbour."""
     lowest = F.least(*[F.col(n) - F.col("z") for n in NS])
-    a = _around(cells, spec)
+    a = _around(cells, spec, finite=True)
     return a.select("row", "col", F.when(F.col("inside") & (F.col("z") < F.least(*NS)), F.col("z") + lowest).otherwise(F.col("z")).alias("z"))
 
 
@@ -57,7 +60,7 @@ def flowdir_dinf(cells: DataFrame, spec: GridSpec, flats: float = -1.0, pits: fl
     """row, col, ``angle`` in radians counter-clockwise from east; ``flats`` or ``pits`` without descent; null on the rim and
     without data."""
     dx, dy = spec.dx, spec.dy
-    a = _around(cells, spec)
+    a = _around(cells, spec, finite=True)
     found = []
     for k, (e1, e2, ac, af) in enumerate(FACETS):
         along = dx if e1 in (2, 6) else dy
@@ -119,36 +122,71 @@ def edges(flow: DataFrame, spec: GridSpec, routing: str, dirmap=DIRMAP) -> DataF
     raise ValueError(f"routing must be 'd8', 'dinf' or 'mfd', not {routing!r}")
 
 
-def _ids(cells: DataFrame, spec: GridSpec, *columns: str) -> DataFrame:
-    return cells.select(cell_id(spec, F.col("row"), F.col("col")).alias("id"), "row", "col", *columns)
+def _with_flow(cells: DataFrame, flow: DataFrame, routing: str, dirmap, near: bool) -> DataFrame:
+    """``cells`` with ``f0`` to ``f7``, the shares that flow to each neighbour (null without), and if ``near`` with ``n0`` to ``n7``. Cells
+    and flow are brought together by one shuffle: by tile, where neighbours are found too, or by cell."""
+    names = {"d8": ["fdir"], "dinf": ["angle"], "mfd": ["k", "prop"]}.get(routing)
+    if names is None:
+        raise ValueError(f"routing must be 'd8', 'dinf' or 'mfd', not {routing!r}")
+    ground = cells.select("row", "col", "z", *[F.lit(None).cast(flow.schema[n].dataType).alias(n) for n in names], F.lit(True).alias("here"))
+    routes = flow.select("row", "col", F.lit(None).cast(cells.schema["z"].dataType).alias("z"), *names, F.lit(False).alias("here"))
+    both = by_tile(in_tiles(ground).unionByName(in_tile(routes))) if near else ground.unionByName(routes)
+    if routing == "mfd":
+        found = [F.max(F.when(F.col("k") == j, F.col("prop"))).alias(f"f{j}") for j in range(8)]
+    else:
+        found = [F.max(names[0]).alias("f")]
+    keys, own = ([*KEYS, "row", "col"], [F.max("__own").alias("__own")]) if near else (["row", "col"], [])
+    a = both.groupBy(*keys).agg(F.max("z").alias("z"), F.max("here").alias("here"), *own, *found)
+    if near:
+        a = around(a)
+    a = a.where("here")
+    rest = [c for c in a.columns if c not in ("f", "here")]
+    if routing == "d8":
+        return a.select(*rest, *[F.when(F.col("f") == c, F.lit(1.0)).alias(f"f{j}") for j, c in enumerate(dirmap)])
+    if routing == "dinf":
+        eighth = math.pi / 4
+        sector = F.when((F.col("f") >= 0) & (F.col("f") < 2 * math.pi), F.floor(F.col("f") / F.lit(eighth)).cast("int"))
+        a = a.select(*rest, sector.alias("s"), (F.pmod(F.col("f"), F.lit(eighth)) / F.lit(eighth)).alias("q"))
+        share = lambda i: F.when(F.col("s") == i, 1 - F.col("q")).when(F.col("s") == (i - 1) % 8, F.col("q"))
+        return a.select(*rest, *[share(SECTORS.index(j)).alias(f"f{j}") for j in range(8)])
+    return a
+
+
+def _drop() -> Column:
+    """What is off the grid or without data adds nothing."""
+    parts = [F.coalesce(F.col(f"f{j}") * (F.col("z") - F.col(f"n{j}")), F.lit(0.0)) for j in range(8)]
+    return sum(parts[1:], parts[0])
+
+
+def _distance(spec: GridSpec) -> Column:
+    """A move off the grid has its length too."""
+    parts = [F.coalesce(F.col(f"f{j}") * F.lit(d), F.lit(0.0)) for j, d in enumerate(distances(spec))]
+    return sum(parts[1:], parts[0])
+
+
+def _where_data(spec: GridSpec, value: Column, rim: bool) -> Column:
+    """Null without data; 0 on the rim if ``rim``."""
+    edge = on_rim(spec, F.col("row"), F.col("col")) if rim else F.lit(False)
+    return F.when(F.col("z").isNull(), None).when(edge, 0.0).otherwise(value)
 
 
 def cell_dh(cells: DataFrame, flow: DataFrame, spec: GridSpec, routing: str = "d8", dirmap=DIRMAP) -> DataFrame:
     """row, col, ``dh``: the drop to the receivers, weighted by their shares; 0 without any, and on the rim for D8 and D-infinity."""
-    own = _ids(cells, spec, "z")
-    e = edges(flow, spec, routing, dirmap)
-    drops = e.join(own.select("id", "z"), "id").join(own.select(F.col("id").alias("dst"), F.col("z").alias("zd")), "dst").groupBy("id").agg(F.sum(F.col("prop") * (F.col("z") - F.col("zd"))).alias("dh"))
-    rim = on_rim(spec, F.col("row"), F.col("col")) if routing != "mfd" else F.lit(False)
-    return own.join(drops, "id", "left").select("row", "col", F.when(F.col("z").isNull(), None).when(rim, 0.0).otherwise(F.coalesce("dh", F.lit(0.0))).alias("dh"))
+    a = _with_flow(cells, flow, routing, dirmap, near=True)
+    return a.select("row", "col", _where_data(spec, _drop(), routing != "mfd").alias("dh"))
 
 
 def cell_distances(cells: DataFrame, flow: DataFrame, spec: GridSpec, routing: str = "d8", dirmap=DIRMAP) -> DataFrame:
-    """row, col, ``dist``: the distance to the receivers, weighted by their shares; 0 without any."""
-    d = distances(spec)
-    own = _ids(cells, spec, "z")
-    if routing == "d8":  # a move off the grid has its length too
-        sums = d8_edges(flow, spec, dirmap).where("k is not null").select("id", _pick(F.col("k"), lambda j: F.lit(d[j])).alias("dist"))
-    else:
-        e = dinf_edges(flow, spec) if routing == "dinf" else mfd_edges(flow, spec)
-        sums = e.groupBy("id").agg(F.sum(F.col("prop") * _pick(F.col("k"), lambda j: F.lit(d[j]))).alias("dist"))
-    rim = on_rim(spec, F.col("row"), F.col("col")) if routing == "dinf" else F.lit(False)
-    return own.join(sums, "id", "left").select("row", "col", F.when(F.col("z").isNull(), None).when(rim, 0.0).otherwise(F.coalesce("dist", F.lit(0.0))).alias("dist"))
+    """row, col, ``dist``: the distance to the receivers, weighted by their shares; 0 without any, and on the rim for D-infinity."""
+    a = _with_flow(cells, flow, routing, dirmap, near=False)
+    return a.select("row", "col", _where_data(spec, _distance(spec), routing == "dinf").alias("dist"))
 
 
 def cell_slopes(cells: DataFrame, flow: DataFrame, spec: GridSpec, routing: str = "d8", dirmap=DIRMAP) -> DataFrame:
     """row, col, ``slope``: drop over distance; 0 where the distance is 0."""
-    h, d = cell_dh(cells, flow, spec, routing, dirmap), cell_distances(cells, flow, spec, routing, dirmap)
-    return h.join(d, ["row", "col"]).select("row", "col", F.when(F.col("dist") == 0, 0.0).otherwise(F.col("dh") / F.col("dist")).alias("slope"))
+    a = _with_flow(cells, flow, routing, dirmap, near=True)
+    a = a.select("row", "col", _where_data(spec, _drop(), routing != "mfd").alias("dh"), _where_data(spec, _distance(spec), routing == "dinf").alias("dist"))
+    return a.select("row", "col", F.when(F.col("dist") == 0, 0.0).otherwise(F.col("dh") / F.col("dist")).alias("slope"))
 
 
 __all__ = ["STEPS", "cell_dh", "cell_distances", "cell_slopes", "d8_edges", "detect_flats", "detect_pits", "dinf_edges", "edges", "fill_pits", "flowdir_d8", "flowdir_dinf", "flowdir_mfd", "mfd_edges"]
