@@ -1,44 +1,29 @@
-"""Conditioning of elevations: depressions and flats, by relaxation to a fixed point."""
+"""Conditioning of elevations: depressions and flats, solved inside tiles and then between them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.functions.geometry import STEPS, cell_id, on_rim, step_id
-from thalweg.plans.loops import pinned, relaxed
+from thalweg.functions.geometry import cell_id, on_rim
+from thalweg.plans.loops import pinned
 from thalweg.plans.stencil import with_neighbours
+from thalweg.plans.tiles import fewest_steps, least_greatest
 from thalweg.spec import GridSpec
 
 
-def _adjacent(cells: DataFrame, spec: GridSpec, *columns: str, connectivity: int = 8) -> DataFrame:
-    """(id, nb, *columns) for each cell and each neighbour on the grid; of 4, those that share a side."""
-    row, col = F.col("row"), F.col("col")
-    around = F.array(*[step_id(spec, row, col, k) for k, (dr, dc) in enumerate(STEPS) if connectivity == 8 or dr == 0 or dc == 0])
-    return cells.select(cell_id(spec, row, col).alias("id"), *columns, F.explode(around).alias("nb")).where("nb is not null")
-
-
 def fill_depressions(cells: DataFrame, spec: GridSpec) -> DataFrame:
     """row, col, z raised to the least level at which water reaches the first or last cell with data of some row or column.
 
-    The level of a cell is the least, over all paths to such a seed, of the greatest elevation on the path. Only cells whose
-    level fell send it on. Cells that no seed reaches keep their elevation.
+    The level of a cell is the least, over all paths to such a seed, of the greatest elevation on the path. Cells that no seed
+    reaches keep their elevation; null and NaN have no data.
     """
-    valid = cells.where("z is not null")
+    valid = cells.where(F.col("z").isNotNull() & ~F.isnan(F.col("z").cast("double"))).select("row", "col", "z")
     ends = lambda by, at: valid.groupBy(by).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     r, c = ends("row", "col"), ends("col", "row")
     seeds = r.select("row", F.explode(F.array("lo", "hi")).alias("col")).unionByName(c.select(F.explode(F.array("lo", "hi")).alias("row"), "col")).distinct()
-    z = pinned(valid.select(cell_id(spec, F.col("row"), F.col("col")).alias("id"), "row", "col", "z"), "z")
-    edge = pinned(_adjacent(z.select("row", "col", "z"), spec).join(z.select(F.col("id").alias("nb"), F.col("z").alias("zn")), "nb").select(F.col("nb").alias("dst"), "id", "zn"), "edges")
-    known = front = pinned(z.join(seeds, ["row", "col"], "left_semi").select("id", F.col("z").alias("w")), "levels")
-    while True:
-        sent = front.join(edge, "id").groupBy("dst").agg(F.min(F.greatest("w", "zn")).alias("n"))
-        joined = sent.join(known.select(F.col("id").alias("dst"), "w"), "dst", "left")
-        front = pinned(joined.where(F.col("w").isNull() | (F.col("n") < F.col("w"))).select(F.col("dst").alias("id"), F.col("n").alias("w")), "front")
-        if front.isEmpty():
-            break
-        known = pinned(known.unionByName(front).groupBy("id").agg(F.min("w").alias("w")), "levels")
-    level = known.withColumnRenamed("w", "level")
+    ground = pinned(valid.join(seeds.withColumn("seed", F.lit(True)), ["row", "col"], "left").select("row", "col", F.col("z").alias("v"), F.when(F.col("seed"), F.col("z")).alias("s")), "ground")
+    level = least_greatest(ground, spec)
     ids = cells.withColumn("id", cell_id(spec, F.col("row"), F.col("col")))
     return ids.join(level, "id", "left").select("row", "col", F.when(F.col("z").isNotNull(), F.coalesce("level", "z")).alias("z"))
 
@@ -50,13 +35,13 @@ def detect_depressions(cells: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def connected_labels(marked: DataFrame, spec: GridSpec, value: str | None = None, connectivity: int = 8) -> DataFrame:
-    """id and ``label`` (the least id) of the 8-connected (or 4-connected) regions of ``marked`` (row, col); with ``value``, of
-    equal values."""
+    """id and ``label`` (the least id) of the 8-connected (or 4-connected) regions of ``marked`` (row, col); with ``value`` (a
+    number, NaN is no data), of equal values."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    ids = marked.select(cell_id(spec, F.col("row"), F.col("col")).alias("id"), *([F.col(value).alias("v")] if value else [F.lit(1).alias("v")]))
-    e = _adjacent(marked.select("row", "col"), spec, connectivity=connectivity).join(ids, "id").join(ids.select(F.col("id").alias("nb"), F.col("v").alias("vn")), "nb").where("v = vn")
-    return relaxed(ids.select("id", F.col("id").cast("double").alias("v")), e.select(F.col("id").alias("src"), F.col("nb").alias("dst"), F.lit(0.0).alias("w"))).select("id", F.col("v").cast("long").alias("label"))
+    own = cell_id(spec, F.col("row"), F.col("col"))
+    cells = marked.select("row", "col", (F.col(value) if value else F.lit(1)).cast("double").alias("v"), own.alias("s"))
+    return least_greatest(cells.where(~F.isnan("v")), spec, True, connectivity).select("id", F.col("level").cast("long").alias("label"))
 
 
 def resolve_flats(cells: DataFrame, spec: GridSpec, eps: float = 1e-5) -> DataFrame:
@@ -71,17 +56,14 @@ def resolve_flats(cells: DataFrame, spec: GridSpec, eps: float = 1e-5) -> DataFr
     flats = a.where("flat")
     if flats.isEmpty():
         return cells.select("row", "col", "z")
-    near = pinned(_adjacent(flats, spec, "z").join(a.select(F.col("id").alias("nb"), F.col("z").alias("zn"), F.col("flat").alias("fn"), F.col("out").alias("on")), "nb"), "near")
     labels = connected_labels(flats, spec)
-    inside = near.where("fn").select(F.col("id").alias("src"), F.col("nb").alias("dst"), F.lit(1.0).alias("w"))
-    away = relaxed(flats.where("high").select("id", F.lit(1.0).alias("v")), inside).join(labels, "id")
-    top = away.groupBy("label").agg(F.max("v").alias("top"))
-    away = away.join(top, "label").select("id", (F.col("top") - F.col("v")).alias("from"))
+    away = fewest_steps(flats.select("row", "col", F.lit(1.0).alias("v"), F.lit(True).alias("enter"), F.when(F.col("high"), 1.0).alias("s")), spec).join(labels, "id")
+    top = away.groupBy("label").agg(F.max("n").alias("top"))
+    away = away.join(top, "label").select("id", (F.col("top") - F.col("n")).alias("from"))
     # lower edges: neighbours as high that drain
-    low = near.where("on and zn = z").select(F.col("nb").alias("id"), F.lit(1.0).alias("v")).distinct()
-    leads = near.where("zn = z").select(F.col("nb").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
-    towards = relaxed(low, leads).withColumnRenamed("v", "to")
+    beside = F.array(*[F.col(f"f{k}") for k in range(8)])
+    low = with_neighbours(a.select("row", "col", "z", "out", F.when(F.col("flat"), F.col("z")).alias("fz")), "fz", "f").where(F.col("out") & F.exists(beside, lambda f: F.coalesce(f == F.col("z"), F.lit(False))))
+    ways = flats.select("row", "col", F.col("z").alias("v"), F.lit(True).alias("enter"), F.lit(None).cast("double").alias("s")).unionByName(low.select("row", "col", F.col("z").alias("v"), F.lit(False).alias("enter"), F.lit(1.0).alias("s")))
+    towards = fewest_steps(ways, spec).withColumnRenamed("n", "to")
     out = a.join(away, "id", "left").join(towards, "id", "left")
     return out.select("row", "col", (F.col("z") + F.lit(eps) * (2 * F.coalesce("to", F.lit(0.0)) + F.coalesce("from", F.lit(0.0)))).alias("z"))
-
-
