@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP
-from thalweg.operators import condition, hydro, terrain
+from thalweg.operators import condition, derived, hydro, terrain, vector
 from thalweg.operators import view as views
 from thalweg.plans.loops import pinned
 from thalweg.sources import ascii as ascii_grid
@@ -30,6 +30,16 @@ class Raster:
     def to_crs(self, crs: str, interpolation: str = "nearest") -> Raster:
         return replace(self, **dict(zip(("cells", "spec"), views.to_crs(self.cells, self.spec, crs, interpolation, self.value), strict=True)))
 
+    def on(self, spec: GridSpec, interpolation: str = "nearest") -> Raster:
+        """The raster on another grid, by its own nodata and without masks."""
+        if self.routing:
+            raise ValueError("flow directions can't be resampled")
+        spec = replace(spec, nodata=self.spec.nodata)
+        return replace(self, cells=views.view(self.cells, self.spec, spec, interpolation, self.value), spec=spec)
+
+    def congruent(self, other: Raster) -> bool:
+        return self.spec.congruent(other.spec)
+
     def where(self, condition_: str) -> Raster:
         """The cells of which the SQL condition holds; as a mask these are its cells."""
         return replace(self, cells=self.cells.where(condition_))
@@ -97,10 +107,38 @@ class Grid:
 
     # views
 
-    def view(self, raster: Raster, interpolation: str = "nearest", target: GridSpec | None = None, masked: bool = True) -> Raster:
-        """``raster`` on the grid, or on ``target``; with ``masked``, null off the grid's mask (the grid's own view only)."""
+    def view(
+        self,
+        raster: Raster,
+        interpolation: str = "nearest",
+        target: GridSpec | None = None,
+        masked: bool = True,
+        *,
+        input_mask: Raster | None = None,
+        nodata: float | None = None,
+        dtype: str | None = None,
+        affine: tuple | None = None,
+        shape: tuple[int, int] | None = None,
+        crs: str | None = None,
+    ) -> Raster:
+        """``raster`` on the grid, or on ``target`` or on one with another ``affine``, ``shape`` or ``crs``; with ``masked``, null off the
+        grid's mask (the grid's own view only). Cells off ``input_mask``, on the raster's own grid, count as without data.
+        ``nodata`` (else the raster's) is what sinks write for null; ``dtype`` is a Spark type to cast values to."""
         if not isinstance(raster, Raster):
             raise TypeError("not a Raster")
+        if affine is not None or shape is not None or crs is not None:
+            base = target or self.spec
+            target = replace(base, affine=affine or base.affine, nrows=(shape or (base.nrows,))[0], ncols=(shape or (0, base.ncols))[1], crs=crs or base.crs)
+        if input_mask is not None:
+            if not input_mask.spec.congruent(raster.spec):
+                raise ValueError("the input mask is not on the raster's grid")
+            held = input_mask.cells.where(F.coalesce(F.col(input_mask.value).cast("boolean"), F.lit(False))).select("row", "col", F.lit(True).alias("__in")).distinct()
+            kept = raster.cells.join(held, ["row", "col"], "left")
+            raster = replace(raster, cells=kept.withColumn(raster.value, F.when(F.col("__in"), F.col(raster.value))).drop("__in"))
+        if dtype is not None:
+            raster = replace(raster, cells=raster.cells.withColumn(raster.value, F.col(raster.value).cast(dtype)))
+        if nodata is not None:
+            raster = replace(raster, spec=replace(raster.spec, nodata=nodata))
         spec = replace(target or self.spec, nodata=raster.spec.nodata)
         cells, at = raster.cells, _offset(raster.spec, spec)
         names = [c for c in cells.columns if c not in ("row", "col")]
@@ -138,16 +176,25 @@ class Grid:
     def polygonize(self, raster: Raster, connectivity: int = 4) -> DataFrame:
         return views.polygonize(self.view(raster).cells, self.spec, raster.value, connectivity)
 
-    def rasterize(self, shapes: DataFrame, fill: float = 0.0, all_touched: bool = False) -> Raster:
-        return Raster(views.rasterize(shapes, self.spec, fill, all_touched), self.spec)
+    def polygons(self, raster: Raster, connectivity: int = 4, mask: Raster | None = None) -> DataFrame:
+        """Regions of equal values as GeoJSON polygons."""
+        return vector.polygons(self.view(raster).cells, self.spec, raster.value, connectivity, None if mask is None else self._on(mask))
+
+    def rasterize(self, shapes: DataFrame, fill: float = 0.0, all_touched: bool = False, *, out_shape: tuple[int, int] | None = None, affine: tuple | None = None, crs: str | None = None, **kw) -> Raster:
+        """Shapes on the grid, or on one of another shape, affine transform or coordinate system; only on the grid's mask, if it has
+        one and no other grid is asked for."""
+        if out_shape is None and affine is None and crs is None:
+            return Raster(views.rasterize(shapes, self.spec, fill, all_touched, **{"mask": self.mask, **kw}), self.spec)
+        spec = replace(self.spec, nrows=(out_shape or (self.spec.nrows,))[0], ncols=(out_shape or (0, self.spec.ncols))[1], affine=affine or self.spec.affine, crs=crs or self.spec.crs)
+        return Raster(views.rasterize(shapes, spec, fill, all_touched, **kw), spec)
 
     # conditioning
 
     def detect_pits(self, dem: Raster) -> Raster:
         return self._made(terrain.detect_pits(self._z(dem), self.spec), "pit")
 
-    def fill_pits(self, dem: Raster) -> Raster:
-        return self._made(terrain.fill_pits(self._z(dem), self.spec), "z", dem)
+    def fill_pits(self, dem: Raster, nodata_out: float | None = None) -> Raster:
+        return self._made(terrain.fill_pits(self._z(dem), self.spec), "z", dem, nodata_out)
 
     def detect_flats(self, dem: Raster) -> Raster:
         return self._made(terrain.detect_flats(self._z(dem), self.spec), "flat")
@@ -155,39 +202,61 @@ class Grid:
     def detect_depressions(self, dem: Raster) -> Raster:
         return self._made(condition.detect_depressions(self._z(dem), self.spec), "depression")
 
-    def fill_depressions(self, dem: Raster) -> Raster:
-        return self._made(condition.fill_depressions(self._z(dem), self.spec), "z", dem)
+    def fill_depressions(self, dem: Raster, nodata_out: float | None = None) -> Raster:
+        return self._made(condition.fill_depressions(self._z(dem), self.spec), "z", dem, nodata_out)
 
-    def resolve_flats(self, dem: Raster, eps: float = 1e-5) -> Raster:
-        return self._made(condition.resolve_flats(self._z(dem), self.spec, eps), "z", dem)
+    def resolve_flats(self, dem: Raster, eps: float = 1e-5, nodata_out: float | None = None) -> Raster:
+        return self._made(condition.resolve_flats(self._z(dem), self.spec, eps), "z", dem, nodata_out)
+
+    def burn(self, dem: Raster, channels: Raster, depth: float, sigma: float | None = None) -> Raster:
+        return self._made(derived.burn(self._z(dem), self._on(channels), depth, self.spec, sigma), "z", dem)
 
     # flow
 
-    def flowdir(self, dem: Raster, routing: str = "d8", **kw) -> Raster:
+    # Null is nodata in every result; ``nodata_out`` is what sinks write for it. ``algorithm`` chooses between two ways to the same
+    # result elsewhere and is only checked here.
+
+    def flowdir(self, dem: Raster, routing: str = "d8", nodata_out: float | None = None, **kw) -> Raster:
         """Flow directions, written once to the shared folder, since whatever follows reads them more than once."""
         if routing not in ROUTINGS:
             raise ValueError(f"routing must be one of {sorted(ROUTINGS)}, not {routing!r}")
         name, op = ROUTINGS[routing]
-        return Raster(pinned(op(self._z(dem), self.spec, **kw), "flow"), self.spec, name, routing)
-
-    def catchment(self, x: float, y: float, fdir: Raster, **kw) -> Raster:
-        """The member cells, each with the value true."""
-        return self._made(hydro.catchment(x, y, *self._flow(fdir), **kw).withColumn("catchment", F.lit(True)), "catchment")
+        spec = self.spec if nodata_out is None else replace(self.spec, nodata=nodata_out)
+        return Raster(pinned(op(self._z(dem), self.spec, **kw), "flow"), spec, name, routing)
 
-    def accumulation(self, fdir: Raster, weights: Raster | None = None, efficiency: Raster | None = None, **kw) -> Raster:
-        return self._made(hydro.accumulation(*self._flow(fdir), weights=self._as(weights, "w"), efficiency=self._as(efficiency, "e"), **kw), "acc")
-
-    def distance_to_outlet(self, x: float, y: float, fdir: Raster, weights: Raster | None = None, **kw) -> Raster:
-        return self._made(hydro.distance_to_outlet(x, y, *self._flow(fdir), weights=self._as(weights, "w"), **kw), "dist")
-
-    def distance_to_ridge(self, fdir: Raster, weights: Raster | None = None, **kw) -> Raster:
-        return self._made(hydro.distance_to_ridge(*self._flow(fdir), weights=self._as(weights, "w"), **kw), "dist")
-
-    def compute_hand(self, fdir: Raster, dem: Raster, mask: Raster, return_index: bool = False, **kw) -> Raster:
+    def catchment(self, x: float, y: float, fdir: Raster, pour_value: float | None = None, nodata_out: float | None = None, algorithm: str = "iterative", **kw) -> Raster:
+        """The member cells, each with the value true; the pour point with false if ``pour_value`` is 0."""
+        self._either(algorithm)
+        flow, spec, routing = self._flow(fdir)
+        value = F.lit(True)
+        if pour_value is not None and not pour_value:
+            at = hydro._pour(spec, x, y, kw.get("xytype", "coordinate"), kw.get("snap", "corner"))
+            value = F.col("row") * spec.ncols + F.col("col") != at
+        return self._made(hydro.catchment(x, y, flow, spec, routing, **kw).withColumn("catchment", value), "catchment", nodata=nodata_out)
+
+    def accumulation(self, fdir: Raster, weights: Raster | None = None, efficiency: Raster | None = None, nodata_out: float | None = None, algorithm: str = "iterative", **kw) -> Raster:
+        self._either(algorithm)
+        return self._made(hydro.accumulation(*self._flow(fdir), weights=self._as(weights, "w"), efficiency=self._as(efficiency, "e"), **kw), "acc", nodata=nodata_out)
+
+    def accumulated_angle(self, fdir: Raster, **kw) -> Raster:
+        return self._made(derived.accumulated_angle(self._d8(fdir), self.spec, **kw).select("row", "col", "angle"), "angle")
+
+    def distance_to_outlet(self, x: float, y: float, fdir: Raster, weights: Raster | None = None, nodata_out: float | None = None, method: str = "shortest", algorithm: str = "iterative", **kw) -> Raster:
+        self._either(algorithm)
+        if method != "shortest":
+            raise NotImplementedError("only the shortest distance")
+        return self._made(hydro.distance_to_outlet(x, y, *self._flow(fdir), weights=self._as(weights, "w"), **kw), "dist", nodata=nodata_out)
+
+    def distance_to_ridge(self, fdir: Raster, weights: Raster | None = None, nodata_out: float | None = None, algorithm: str = "iterative", **kw) -> Raster:
+        self._either(algorithm)
+        return self._made(hydro.distance_to_ridge(*self._flow(fdir), weights=self._as(weights, "w"), **kw), "dist", nodata=nodata_out)
+
+    def compute_hand(self, fdir: Raster, dem: Raster, mask: Raster, return_index: bool = False, nodata_out: float | None = None, algorithm: str = "iterative", **kw) -> Raster:
+        self._either(algorithm)
         flow, spec, routing = self._flow(fdir)
         out = hydro.compute_hand(flow, self._z(dem), self._on(mask), spec, routing, **kw)
         name = "channel" if return_index else "hand"
-        return self._made(out.select("row", "col", name), name)
+        return self._made(out.select("row", "col", name), name, nodata=nodata_out)
 
     def inundation(self, fdir: Raster, dem: Raster, mask: Raster, depth: float | Raster, **kw) -> Raster:
         """Depth of water over the cells: the channel's depth less the height above it, where that is over 0."""
@@ -235,5 +304,12 @@ class Grid:
             raise NotImplementedError("only for D8 flow")
         return self._flow(fdir)[0]
 
-    def _made(self, cells: DataFrame, value: str, like: Raster | None = None) -> Raster:
-        return Raster(cells, replace(self.spec, nodata=like.spec.nodata) if like else self.spec, value)
+    @staticmethod
+    def _either(algorithm: str) -> None:
+        if algorithm not in ("iterative", "recursive"):
+            raise ValueError(f"algorithm must be 'iterative' or 'recursive', not {algorithm!r}")
+
+    def _made(self, cells: DataFrame, value: str, like: Raster | None = None, nodata: float | None = None) -> Raster:
+        if nodata is None:
+            nodata = like.spec.nodata if like else self.spec.nodata
+        return Raster(cells, replace(self.spec, nodata=nodata), value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.functions.crs import transform
@@ -95,41 +95,51 @@ def snap_to_mask(mask: DataFrame, points: DataFrame, spec: GridSpec, box: int =
         ring *= 4
 
 
-def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False) -> DataFrame:
-    """row, col, ``z``: the value of the last shape (sid, ring: array of (x, y) structs, value) whose ring holds the cell's centre by
-    the even-odd rule, else ``fill``. With ``all_touched`` a shape also has the cells that its ring's sides touch. A shape meets
-    only the cells of its own box."""
+def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double", band: int = 64) -> DataFrame:
+    """row, col, ``z``: the value of the last shape (sid, ``ring``: array of (x, y) structs, or ``rings``: an array of such; value, else
+    ``default_value``) that holds the cell's centre by the even-odd rule over all its rings, else ``fill``. With ``all_touched`` a shape
+    also has the cells that its sides touch; with ``mask`` (row, col) only its cells are burned.
+
+    A shape meets only the cells of its own box, which are dealt in bands of rows, so that a large shape is not one task's work.
+    """
     a, b, c, d, e, f = spec.inverse()
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cols = F.transform("ring", lambda p: F.lit(a) * p["x"] + F.lit(b) * p["y"] + F.lit(c))
-    rows = F.transform("ring", lambda p: F.lit(d) * p["x"] + F.lit(e) * p["y"] + F.lit(f))
+    rings = F.col("rings") if "rings" in shapes.columns else F.array("ring")
+    value = F.col("value") if "value" in shapes.columns else F.lit(default_value)
+
+    def sides_of(r: Column) -> Column:
+        return F.transform(r, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1))["x"].alias("xj"), F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1))["y"].alias("yj")))
+
+    at = lambda s, x, y: (F.lit(a) * s[x] + F.lit(b) * s[y] + F.lit(c), F.lit(d) * s[x] + F.lit(e) * s[y] + F.lit(f))
+    sides = shapes.select("sid", value.cast(dtype).alias("value"), F.flatten(F.transform(rings, sides_of)).alias("sides"))
+    cols, rows = F.transform("sides", lambda s: at(s, "x", "y")[0]), F.transform("sides", lambda s: at(s, "x", "y")[1])
     low = lambda v: F.greatest(F.floor(F.array_min(v)), F.lit(0)).cast("int")
     high = lambda v, n: F.least(F.floor(F.array_max(v)), F.lit(n - 1)).cast("int")
-    s = shapes.select("sid", "value", xs.alias("xs"), ys.alias("ys"), cols.alias("us"), rows.alias("vs"), low(rows).alias("r0"), high(rows, spec.nrows).alias("r1"), low(cols).alias("c0"), high(cols, spec.ncols).alias("c1")).where("r0 <= r1 and c0 <= c1")
-    met = s.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    s = sides.select("*", low(rows).alias("r0"), high(rows, spec.nrows).alias("r1"), low(cols).alias("c0"), high(cols, spec.ncols).alias("c1")).where("r0 <= r1 and c0 <= c1")
+    bands = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r0") / band).cast("int"), F.floor(F.col("r1") / band).cast("int")))).repartition("sid", "__b")
+    met = bands.withColumn("row", F.explode(F.sequence(F.greatest("r0", F.col("__b") * band), F.least("r1", F.col("__b") * band + band - 1)))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     p, q, r, u, v, w = spec.affine
     cx, cy = F.col("col") + 0.5, F.col("row") + 0.5
     met = met.withColumn("px", F.lit(p) * cx + F.lit(q) * cy + F.lit(r)).withColumn("py", F.lit(u) * cx + F.lit(v) * cy + F.lit(w))
 
-    def crosses(i: Column) -> Column:
-        j = F.when(i == 0, F.size("xs") - 1).otherwise(i - 1)
-        xi, yi, xj, yj = F.get("xs", i), F.get("ys", i), F.get("xs", j), F.get("ys", j)
-        apart = (yi > F.col("py")) != (yj > F.col("py"))
-        return F.when(apart, F.when(F.col("px") < (xj - xi) * (F.col("py") - yi) / (yj - yi) + xi, 1).otherwise(0)).otherwise(0)
+    def crosses(s: Column) -> Column:
+        apart = (s["y"] > F.col("py")) != (s["yj"] > F.col("py"))
+        return F.when(apart, F.when(F.col("px") < (s["xj"] - s["x"]) * (F.col("py") - s["y"]) / (s["yj"] - s["y"]) + s["x"], 1).otherwise(0)).otherwise(0)
+
+    odd = F.aggregate("sides", F.lit(0), lambda t, s: t + crosses(s)) % 2 == 1
 
-    odd = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 1), F.lit(0), lambda t, i: t + crosses(i)) % 2 == 1
-    def touches(i: Column) -> Column:
+    def touches(s: Column) -> Column:
         """A side and a cell are apart if they are along a row, along a column or across the side."""
-        j = F.when(i == 0, F.size("us") - 1).otherwise(i - 1)
-        hu, hv = (F.get("us", i) - F.get("us", j)) / 2, (F.get("vs", i) - F.get("vs", j)) / 2
-        du, dv = (F.get("us", i) + F.get("us", j)) / 2 - cx, (F.get("vs", i) + F.get("vs", j)) / 2 - cy
+        (u1, v1), (u2, v2) = at(s, "x", "y"), at(s, "xj", "yj")
+        hu, hv, du, dv = (u1 - u2) / 2, (v1 - v2) / 2, (u1 + u2) / 2 - cx, (v1 + v2) / 2 - cy
         return (F.abs(du) <= F.abs(hu) + 0.5) & (F.abs(dv) <= F.abs(hv) + 0.5) & (F.abs(du * hv - dv * hu) <= (F.abs(hu) + F.abs(hv)) * 0.5)
 
     if all_touched:
-        odd = odd | F.exists(F.sequence(F.lit(0), F.size("us") - 1), touches)
+        odd = odd | F.exists("sides", touches)
     hit = met.where(odd).groupBy(F.col("row").cast("long").alias("row"), "col").agg(F.max_by("value", "sid").alias("z"))
+    if mask is not None:
+        hit = hit.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
     grid = shapes.sparkSession.range(spec.size).select(F.floor(F.col("id") / spec.ncols).cast("long").alias("row"), F.pmod("id", F.lit(spec.ncols)).cast("int").alias("col"))
-    return grid.join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(fill)).alias("z"))
+    return grid.join(hit, ["row", "col"], "left").select("row", "col", F.coalesce("z", F.lit(fill).cast(dtype)).alias("z"))
 
 
 def polygonize(cells: DataFrame, spec: GridSpec, value: str = "z", connectivity: int = 4) -> DataFrame:
@@ -166,3 +176,17 @@ def to_crs(cells: DataFrame, spec: GridSpec, crs: str, interpolation: str = "nea
     return view(cells, spec, target, interpolation, value), target
 
 
+def coordinates(cells: DataFrame, spec: GridSpec) -> DataFrame:
+    """``cells`` with ``x`` and ``y`` of their corners, on the grid's affine transform."""
+    a, b, c, d, e, f = spec.affine
+    col, row = F.col("col").cast("double"), F.col("row").cast("double")
+    return cells.withColumn("x", F.lit(a) * col + F.lit(b) * row + F.lit(c)).withColumn("y", F.lit(d) * col + F.lit(e) * row + F.lit(f))
+
+
+def axes(spark: SparkSession, spec: GridSpec) -> tuple[DataFrame, DataFrame]:
+    """(row, y) and (col, x) of the lines of a grid that isn't rotated."""
+    if spec.affine[1] or spec.affine[3]:
+        raise ValueError("a rotated grid has no axes")
+    y = spark.range(spec.nrows).select(F.col("id").alias("row"), (F.lit(spec.affine[4]) * F.col("id") + F.lit(spec.affine[5])).alias("y"))
+    x = spark.range(spec.ncols).select(F.col("id").cast("int").alias("col"), (F.lit(spec.affine[0]) * F.col("id") + F.lit(spec.affine[2])).alias("x"))
+    return y, x

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.grid import Grid, Raster
-from thalweg.operators import condition, hydro, terrain, view
+from thalweg.operators import condition, derived, hydro, terrain, vector, view
 from thalweg.plans.loops import pinned, scratch
 from thalweg.sources import ascii as ascii_grid
-from thalweg.sources import geotiff
+from thalweg.sources import geojson, geotiff
 from thalweg.spec import GridSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,11 +203,64 @@ def polygonize(spark, sf_dir):
     return view.polygonize(cells, spec).select("label", "value", "n_cells", F.size("edges").alias("n_edges"))
 
 
-def burn(spark, sf_dir):
+def _burn(sigma: float | None) -> Query:
     """Elevations lowered by 2 along the channels."""
+
+    def run(spark, sf_dir):
+        cells, spec, flow = _flow(spark, sf_dir, "noise")
+        return derived.burn(cells, _mask(hydro.accumulation(flow, spec), 4), 2.0, spec, sigma).select("row", "col", _r("z"))
+
+    return run
+
+
+def accumulated_angle(spark, sf_dir):
     cells, spec, flow = _flow(spark, sf_dir, "noise")
-    channels = _mask(hydro.accumulation(flow, spec), 4).withColumn("c", F.lit(True))
-    return cells.join(channels, ["row", "col"], "left").select("row", "col", F.when(F.col("c"), F.col("z") - 2.0).otherwise(F.col("z")).alias("z"))
+    return derived.accumulated_angle(flow, spec).select("row", "col", _r("x"), _r("y"), _r("angle"))
+
+
+def hand_classes(spark, sf_dir):
+    """Cells by class of height above the drainage."""
+    return _hand(spark, sf_dir).groupBy(derived.class_of("hand", [0.05, 0.15, 0.25, 0.35, 0.45]).alias("class")).agg(F.count("*").alias("n"))
+
+
+def weighted_distance_to_outlet(spark, sf_dir):
+    """Distances where water in channels travels ten times as fast."""
+    cells, spec, flow = _flow(spark, sf_dir, "noise")
+    acc = pinned(hydro.accumulation(flow, spec), "acc")
+    w = acc.select("row", "col", F.when(F.col("acc") >= 4, 0.1).otherwise(1.0).alias("w"))
+    return hydro.distance_to_outlet(*_top(acc, spec), flow, spec, weights=w, xytype="index").select("row", "col", _r("dist"))
+
+
+def weighted_width_function(spark, sf_dir):
+    return derived.histogram(pinned(weighted_distance_to_outlet(spark, sf_dir), "dist"), "dist", 60).select("bin", "n")
+
+
+def land_cover_overlay(spark, sf_dir):
+    """Flooded cells and mean depth by kind of cover, which is on a coarser, shifted grid."""
+    cells, spec, flow = _flow(spark, sf_dir, "noise")
+    coarse = GridSpec(spec.nrows // 2, spec.ncols // 2, (2.0, 0.0, 0.25, 0.0, -2.0, spec.affine[5] - 0.25))
+    cover = cells.where("row % 2 = 0 and col % 2 = 0").selectExpr("row div 2 as row", "cast(col div 2 as int) as col", "cast(floor(4 * z) as int) as z")
+    return derived.overlay(inundation(spark, sf_dir), view.view(cover, coarse, spec), "depth").select("kind", "n", _r("mean"))
+
+
+def polygons(spark, sf_dir):
+    cells, spec = raster(spark, sf_dir, "steps")
+    return vector.polygons(cells, spec).select("label", "value", "n_cells", vector.area_of().alias("area"))
+
+
+def polygons_round_trip(spark, sf_dir):
+    """Regions as polygons in a GeoJSON file, read back and made cells again."""
+    cells, spec = raster(spark, sf_dir, "steps")
+    path = scratch(spark, "geojson")
+    geojson.to_geojson(vector.polygons(cells, spec).select(F.col("label").alias("sid"), "value", "geometry"), path)
+    shapes = geojson.read_geojson(spark, path, "sid long, value double")
+    return view.rasterize(shapes.select("sid", "value", geojson.rings().alias("rings")), spec, fill=-1e9)
+
+
+def coordinates(spark, sf_dir):
+    cells, spec = raster(spark, sf_dir)
+    turned = replace(spec, affine=(2.0, 0.25, 10.0, -0.5, -2.0, 7.0))
+    return view.coordinates(cells, turned).select("row", "col", "x", "y")
 
 
 def inundation_varying(spark, sf_dir):
@@ -264,8 +317,10 @@ def queries() -> dict[str, Query]:
         }
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(hydro.extract_profiles)}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
-    found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "burn": burn}
+    found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "burn": _burn(None), "burn_blurred": _burn(2.5)}
     found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
+    found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
+    found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
     return found
 
 
@@ -345,7 +400,20 @@ def oracle_sql() -> dict[str, str]:
     out["inundation"] = _with("noise", _D8, acc, hand, recursive=True) + "SELECT row, col, round(0.5 - hand, 6) AS depth FROM hand WHERE hand < 0.5"
     out["inundation_varying"] = _with("noise", _D8, acc, hand, recursive=True) + f"SELECT h.row, h.col, {r6('0.75 * pow(a.acc, 0.2) - h.hand')} AS depth FROM hand h JOIN acc a ON a.row = h.channel // 64 AND a.col = h.channel % 64 WHERE h.hand < 0.75 * pow(a.acc, 0.2)"
     out["ascii_round_trip"] = out["raster_round_trip"] = _with("noise") + "SELECT row, col, z FROM cells"
-    out["burn"] = _with("noise", _D8, acc, recursive=True) + "SELECT c.row, c.col, CASE WHEN a.acc > 4 THEN c.z - 2.0 ELSE c.z END AS z FROM cells c JOIN acc a USING (row, col)"
+    out["burn"] = _with("noise", _D8, acc, recursive=True) + "SELECT c.row, c.col, round(CASE WHEN a.acc > 4 THEN c.z - 2.0 ELSE c.z END, 6) + 0.0 AS z FROM cells c JOIN acc a USING (row, col)"
+    ker = "ker AS (SELECT d, exp(-d * d / 12.5) / (SELECT sum(exp(-d * d / 12.5)) FROM range(-10, 11) t(d)) AS w FROM range(-10, 11) t(d)), b0 AS (SELECT row, col FROM acc WHERE acc > 4)"
+    soft = "b1 AS (SELECT r + d AS row, col, sum(w) AS m FROM (SELECT unnest([row, -1 - row, 2 * (SELECT mr + 1 FROM g) - 1 - row]) AS r, col FROM b0) CROSS JOIN ker WHERE r + d BETWEEN 0 AND (SELECT mr FROM g) GROUP BY ALL), b2 AS (SELECT row, c + d AS col, sum(m * w) AS m FROM (SELECT row, unnest([col, -1 - col, 2 * (SELECT mc + 1 FROM g) - 1 - col]) AS c, m FROM b1) CROSS JOIN ker WHERE c + d BETWEEN 0 AND (SELECT mc FROM g) GROUP BY ALL)"
+    out["burn_blurred"] = _with("noise", _D8, acc, ker, soft, recursive=True) + f"SELECT c.row, c.col, {r6('c.z - 2.0 * CASE WHEN b0.row IS NULL THEN coalesce(b2.m, 0) ELSE (SELECT max(m) FROM b2) END')} AS z FROM cells c LEFT JOIN b2 USING (row, col) LEFT JOIN b0 USING (row, col)"
+    unit = "un AS (SELECT row AS sr, col AS sc, CASE WHEN flows THEN (nc - col) / dist ELSE 0 END AS x, CASE WHEN flows THEN (row - nr) / dist ELSE 0 END AS y FROM d8), xy AS (SELECT row, col, sum(x) AS x, sum(y) AS y FROM up JOIN un USING (sr, sc) GROUP BY row, col)"
+    out["accumulated_angle"] = _with("noise", _D8, acc, unit, recursive=True) + f"SELECT row, col, {r6('x')} AS x, {r6('y')} AS y, {r6('atan2(round(y, 9) + 0.0, round(x, 9) + 0.0)')} AS angle FROM xy"
+    out["hand_classes"] = _with("noise", _D8, acc, hand, recursive=True) + "SELECT ((hand >= 0.05)::INT + (hand >= 0.15)::INT + (hand >= 0.25)::INT + (hand >= 0.35)::INT + (hand >= 0.45)::INT)::INT AS class, count(*) AS n FROM hand GROUP BY class"
+    slow = "dist(row, col, dist) AS (SELECT pr, pc, 0.0::DOUBLE FROM pour UNION ALL SELECT d.row, d.col, t.dist + CASE WHEN a.acc >= 4 THEN 0.1 ELSE 1.0 END FROM dist t JOIN d8 d ON d.nr = t.row AND d.nc = t.col AND d.flows JOIN acc a ON a.row = d.row AND a.col = d.col)"
+    out["weighted_distance_to_outlet"] = _with("noise", _D8, acc, pour, slow, recursive=True) + f"SELECT row, col, {r6('dist')} AS dist FROM dist"
+    out["weighted_width_function"] = _with("noise", _D8, acc, pour, slow, recursive=True) + "SELECT least(floor(round(dist, 6) / ((SELECT max(round(dist, 6)) + 1e-5 FROM dist) / 60)), 59)::INT AS bin, count(*) AS n FROM dist GROUP BY bin"
+    cover = "cv AS (SELECT row // 2 AS r, col // 2 AS c, floor(4 * z)::INT AS kind FROM cells WHERE row % 2 = 0 AND col % 2 = 0)"
+    out["land_cover_overlay"] = _with("noise", _D8, acc, hand, cover, recursive=True) + f"SELECT kind, count(*) AS n, {r6('avg(round(0.5 - hand, 6))')} AS mean FROM hand h LEFT JOIN cv ON r = round_even((h.row - 0.25) / 2, 0) AND c = round_even((h.col - 0.25) / 2, 0) WHERE hand < 0.5 GROUP BY kind"
+    out["polygons_round_trip"] = _with("steps") + "SELECT row, col, z FROM cells"
+    out["coordinates"] = _with("noise") + "SELECT row, col, 2.0 * col + 0.25 * row + 10.0 AS x, -0.5 * col - 2.0 * row + 7.0 AS y FROM cells"
     # D-infinity and MFD: edges of one shape; of two cells that lead to each other the larger's edge is turned to its other receiver
     turn = "e0x AS (SELECT row, col, nr, nc, k, prop FROM de JOIN nb USING (row, col, k)), bad AS (SELECT a.row, a.col, a.nr, a.nc FROM e0x a JOIN e0x b ON b.row = a.nr AND b.col = a.nc AND b.nr = a.row AND b.nc = a.col WHERE a.row * 64 + a.col > a.nr * 64 + a.nc), oth AS (SELECT b.row, b.col, b.nr, b.nc, any_value(e.nr) AS tr, any_value(e.nc) AS tc FROM bad b JOIN e0x e ON e.row = b.row AND e.col = b.col AND (e.nr <> b.nr OR e.nc <> b.nc) GROUP BY ALL), e AS (SELECT x.row, x.col, coalesce(o.tr, x.nr) AS nr, coalesce(o.tc, x.nc) AS nc, x.prop FROM e0x x LEFT JOIN oth o USING (row, col, nr, nc))"
     graphs = {"mfd": [_MFD, "e AS (SELECT row, col, nr, nc, prop, k FROM mfd), e0x AS (SELECT * FROM e)"], "dinf": [_dinf_sql(), turn]}
@@ -375,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
     side = "sd AS (SELECT row, col, nr, nc FROM nb WHERE z = zn AND dist = 1)"
     least = f"lb(row, col, l, i) AS (SELECT row, col, row * 64 + col, 0 FROM cells UNION ALL SELECT a.row, a.col, least(any_value(a.l), coalesce(min(b.l), any_value(a.l))), any_value(a.i) + 1 FROM lb a LEFT JOIN sd ON sd.row = a.row AND sd.col = a.col LEFT JOIN lb b ON b.row = sd.nr AND b.col = sd.nc WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
     out["polygonize"] = _with("steps", side, least, f"same AS (SELECT row, col, count(*) AS n FROM sd GROUP BY row, col)", recursive=True) + f"SELECT l AS label, any_value(z) AS value, count(*) AS n_cells, sum(4 - coalesce(n, 0))::INT AS n_edges FROM lb JOIN cells USING (row, col) LEFT JOIN same USING (row, col) WHERE i = {ROUNDS} GROUP BY l"
+    out["polygons"] = out["polygonize"].replace("sum(4 - coalesce(n, 0))::INT AS n_edges", "count(*)::DOUBLE AS area")
     kinds = f"kd AS (SELECT row, col, any_value(z) AS z, coalesce(any_value({_INNER}), false) AND min(zn) = any_value(z) AS flat, max(zn) > any_value(z) AS hi, NOT any_value({_INNER}) OR min(zn) < any_value(z) AS dr FROM nb GROUP BY row, col)"
     near = "nr AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc, a.z, b.z AS zn, b.flat AS fn, b.dr AS dn FROM kd a JOIN nb n ON n.row = a.row AND n.col = a.col JOIN kd b ON b.row = n.nr AND b.col = n.nc WHERE a.flat)"
     label = f"fl(row, col, l, i) AS (SELECT row, col, row * 64 + col, 0 FROM kd WHERE flat UNION ALL SELECT a.row, a.col, least(any_value(a.l), coalesce(min(b.l), any_value(a.l))), any_value(a.i) + 1 FROM fl a LEFT JOIN nr ON nr.row = a.row AND nr.col = a.col AND fn LEFT JOIN fl b ON b.row = nr.nr AND b.col = nr.nc WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
