@@ -1,4 +1,5 @@
-"""Coordinate systems as column formulas: longitude and latitude on WGS84, and spherical (web) Mercator."""
+"""Coordinate systems as formulas for columns and for numbers: longitude and latitude on WGS84, spherical (web) Mercator, and the zones of
+the universal transverse Mercator system on WGS84 (EPSG:32601 to 32660 and 32701 to 32760)."""
 
 from __future__ import annotations
 
@@ -10,23 +11,75 @@ from pyspark.sql import functions as F
 RADIUS = 6378137.0
 GEOGRAPHIC, MERCATOR = ("EPSG:4326", "EPSG:4269", "OGC:CRS84"), ("EPSG:3857", "EPSG:900913")
 
+# Fixed values of WGS84 and of the zones, and the series of Krüger to the third power of the third flattening.
+FLATTENING, SCALE, EASTING, SOUTH = 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
+N = FLATTENING / (2 - FLATTENING)
+MERIDIAN = RADIUS / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
+ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
+BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480)
+DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
 
-def transform(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Columns ``x``, ``y`` of ``source`` in ``target``."""
-    if source == target or source in GEOGRAPHIC and target in GEOGRAPHIC or source in MERCATOR and target in MERCATOR:
+
+def zone(crs: str) -> tuple[int, float] | None:
+    """Central meridian and false northing of a UTM zone's code; None for other systems."""
+    code = crs.upper().removeprefix("EPSG:")
+    if not code.isdigit() or int(code) // 100 not in (326, 327) or not 1 <= int(code) % 100 <= 60:
+        return None
+    return 6 * (int(code) % 100) - 183, SOUTH if code.startswith("327") else 0.0
+
+
+def _family(crs: str):
+    return "degrees" if crs in GEOGRAPHIC else "mercator" if crs in MERCATOR else zone(crs)
+
+
+def _to_degrees(m, x, y, source):
+    """``m`` has the functions: math for numbers, pyspark.sql.functions for columns."""
+    if source == "degrees":
         return x, y
-    if source in GEOGRAPHIC and target in MERCATOR:
-        return x * F.lit(math.pi / 180 * RADIUS), F.log(F.tan(F.lit(math.pi / 4) + y * F.lit(math.pi / 360))) * F.lit(RADIUS)
-    if source in MERCATOR and target in GEOGRAPHIC:
-        return x / F.lit(math.pi / 180 * RADIUS), (F.atan(F.exp(y / F.lit(RADIUS))) * 2 - F.lit(math.pi / 2)) * F.lit(180 / math.pi)
-    raise ValueError(f"no formula from {source} to {target}")
+    if source == "mercator":
+        return x / (math.pi / 180 * RADIUS), (m.atan(m.exp(y / RADIUS)) * 2 - math.pi / 2) * (180 / math.pi)
+    meridian, north = source
+    xi, eta = (y - north) / (SCALE * MERIDIAN), (x - EASTING) / (SCALE * MERIDIAN)
+    xi1, eta1 = xi, eta
+    for j, b in enumerate(BETA, 1):
+        xi1 = xi1 - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+        eta1 = eta1 - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+    chi = m.asin(m.sin(xi1) / m.cosh(eta1))
+    lat = chi
+    for j, d in enumerate(DELTA, 1):
+        lat = lat + m.sin(chi * (2 * j)) * d
+    return m.atan(m.sinh(eta1) / m.cos(xi1)) * (180 / math.pi) + meridian, lat * (180 / math.pi)
 
 
-def transform_point(x: float, y: float, source: str, target: str) -> tuple[float, float]:
-    if source == target or source in GEOGRAPHIC and target in GEOGRAPHIC or source in MERCATOR and target in MERCATOR:
+def _from_degrees(m, x, y, target):
+    if target == "degrees":
+        return x, y
+    if target == "mercator":
+        return x * (math.pi / 180 * RADIUS), m.log(m.tan(y * (math.pi / 360) + math.pi / 4)) * RADIUS
+    meridian, north = target
+    sine, turn, e = m.sin(y * (math.pi / 180)), (x - meridian) * (math.pi / 180), 2 * math.sqrt(N) / (1 + N)
+    t = m.sinh(m.atanh(sine) - m.atanh(sine * e) * e)
+    xi, eta = m.atan(t / m.cos(turn)), m.atanh(m.sin(turn) / m.sqrt(t * t + 1))
+    up, right = xi, eta
+    for j, a in enumerate(ALPHA, 1):
+        up = up + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
+        right = right + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+    return right * (SCALE * MERIDIAN) + EASTING, up * (SCALE * MERIDIAN) + north
+
+
+def _transformed(m, x, y, source: str, target: str):
+    of, to = _family(source), _family(target)
+    if source == target or (of is not None and of == to):
         return x, y
-    if source in GEOGRAPHIC and target in MERCATOR:
-        return x * math.pi / 180 * RADIUS, math.log(math.tan(math.pi / 4 + y * math.pi / 360)) * RADIUS
-    if source in MERCATOR and target in GEOGRAPHIC:
-        return x / (math.pi / 180 * RADIUS), (math.atan(math.exp(y / RADIUS)) * 2 - math.pi / 2) * 180 / math.pi
-    raise ValueError(f"no formula from {source} to {target}")
+    if of is None or to is None:
+        raise ValueError(f"no formula from {source} to {target}")
+    return _from_degrees(m, *_to_degrees(m, x, y, of), to)
+
+
+def transform(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Columns ``x``, ``y`` of ``source`` in ``target``. UTM is good to a millimetre some ten degrees about its meridian."""
+    return _transformed(F, x, y, source, target)
+
+
+def transform_point(x: float, y: float, source: str, target: str) -> tuple[float, float]:
+    return _transformed(math, x, y, source, target)

@@ -203,6 +203,12 @@ def polygonize(spark, sf_dir):
     return view.polygonize(cells, spec).select("label", "value", "n_cells", F.size("edges").alias("n_edges"))
 
 
+def to_crs_utm(spark, sf_dir):
+    cells, spec = raster(spark, sf_dir)
+    spec = GridSpec(spec.nrows, spec.ncols, (0.01, 0.0, -97.0, 0.0, -0.01, 33.0))
+    return view.to_crs(cells, spec, "EPSG:32614")[0].where("z is not null")
+
+
 def _burn(sigma: float | None) -> Query:
     """Elevations lowered by 2 along the channels."""
 
@@ -317,7 +323,7 @@ def queries() -> dict[str, Query]:
         }
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(hydro.extract_profiles)}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
-    found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "burn": _burn(None), "burn_blurred": _burn(2.5)}
+    found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "to_crs_utm": to_crs_utm, "burn": _burn(None), "burn_blurred": _burn(2.5)}
     found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
     found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
     found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
@@ -457,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
     lin = "cc AS (SELECT row, col, floor(sr)::BIGINT AS r, floor(sc)::INT AS c, sr - floor(sr) AS tr, sc - floor(sc) AS tc FROM s), xx AS (SELECT row, col, r, c, (1 - tr) * (1 - tc) AS w FROM cc UNION ALL SELECT row, col, r, c + 1, (1 - tr) * tc FROM cc UNION ALL SELECT row, col, r + 1, c, tr * (1 - tc) FROM cc UNION ALL SELECT row, col, r + 1, c + 1, tr * tc FROM cc)"
     out["view_linear"] = _with("noise", tgt, lin) + f"SELECT x.row, x.col, {r6('sum(w * z)')} AS z FROM xx x JOIN cells c ON c.row = x.r AND c.col = x.c GROUP BY x.row, x.col"
     out["clip_to"] = _with("noise", "h AS (SELECT * FROM cells WHERE z > 0.35)") + "SELECT row - (SELECT min(row) FROM h) AS row, (col - (SELECT min(col) FROM h))::INT AS col, z FROM h"
+    merc = "k AS (SELECT 6378137.0::DOUBLE AS r, pi() / 180 AS q, mr + 1 AS n, mc + 1 AS m FROM g), b AS (SELECT *, -97.0 * q * r AS x0, (-97.0 + 0.01 * m) * q * r AS x1, ln(tan(pi() / 4 + 33.0 * q / 2)) * r AS y1, ln(tan(pi() / 4 + (33.0 - 0.01 * n) * q / 2)) * r AS y0 FROM k), s AS (SELECT row, col, ((x0 + (x1 - x0) / m * col) / (q * r) + 97.0) / 0.01 AS sc, (33.0 - (2 * atan(exp((y1 - (y1 - y0) / n * row) / r)) - pi() / 2) / q) / 0.01 AS sr FROM cells CROSS JOIN b)"
+    out["to_crs"] = _with("noise", merc) + "SELECT s.row, s.col, c.z FROM s JOIN cells c ON c.row = round_even(sr, 0)::BIGINT AND c.col = round_even(sc, 0)::INT"
     pts = "pts AS (SELECT c_custkey AS pid, (c_custkey % 64)::DOUBLE + 0.4 AS x, (c_custkey % 500)::DOUBLE + 0.4 AS y FROM customer)"
     out["nearest_cell"] = _with("noise", pts) + "SELECT pid, round_even(x, 0)::INT AS col, round_even((SELECT mr + 1 FROM g) - y, 0)::BIGINT AS row FROM pts"
     out["snap_to_mask"] = _with("noise", pts, "m AS (SELECT row, col, col::DOUBLE AS sx, (SELECT mr + 1 FROM g)::DOUBLE - row AS sy FROM cells WHERE z > 0.3), d AS (SELECT pid, sx, sy, row, col, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM pts CROSS JOIN m)") + f"SELECT pid, sx, sy, {r6('dist')} AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, row, col) = 1"
