@@ -321,7 +321,7 @@ def queries() -> dict[str, Query]:
             f"distance_to_ridge_{r}": _routed(lambda s, f, r=r: hydro.distance_to_ridge(f, s, r).select("row", "col", _r("dist")), r),
             f"hand_{r}": lambda spark, d, r=r: _hand(spark, d, routing=r).select("row", "col", "channel", _r("hand")),
         }
-    found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(hydro.extract_profiles)}
+    found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(lambda *a: hydro.extract_profiles(*a).select("number", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"), "next"))}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
     found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "to_crs_utm": to_crs_utm, "burn": _burn(None), "burn_blurred": _burn(2.5)}
     found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
@@ -449,6 +449,14 @@ def oracle_sql() -> dict[str, str]:
     side = "sd AS (SELECT row, col, nr, nc FROM nb WHERE z = zn AND dist = 1)"
     least = f"lb(row, col, l, i) AS (SELECT row, col, row * 64 + col, 0 FROM cells UNION ALL SELECT a.row, a.col, least(any_value(a.l), coalesce(min(b.l), any_value(a.l))), any_value(a.i) + 1 FROM lb a LEFT JOIN sd ON sd.row = a.row AND sd.col = a.col LEFT JOIN lb b ON b.row = sd.nr AND b.col = sd.nc WHERE a.i < {ROUNDS} GROUP BY a.row, a.col)"
     out["polygonize"] = _with("steps", side, least, f"same AS (SELECT row, col, count(*) AS n FROM sd GROUP BY row, col)", recursive=True) + f"SELECT l AS label, any_value(z) AS value, count(*) AS n_cells, sum(4 - coalesce(n, 0))::INT AS n_edges FROM lb JOIN cells USING (row, col) LEFT JOIN same USING (row, col) WHERE i = {ROUNDS} GROUP BY l"
+    # channels of the ramp: cells, what feeds them, and the stretches between nodes
+    net = f"ch AS (SELECT row, col FROM acc WHERE acc > 50 AND {_INNER}), ce AS (SELECT row * 64 + col AS id, CASE WHEN flows THEN nr * 64 + nc END AS p FROM d8 JOIN ch USING (row, col)), fd AS (SELECT p AS id, count(*) AS n FROM ce WHERE p IS NOT NULL GROUP BY p), nd AS (SELECT id, p, coalesce(n, 0) AS n, coalesce(n, 0) + (p IS NULL)::INT AS fed, coalesce(n, 0) = 0 OR coalesce(n, 0) + (p IS NULL)::INT > 1 AS node FROM (SELECT id FROM ce UNION SELECT id FROM fd) LEFT JOIN ce USING (id) LEFT JOIN fd USING (id))"
+    walks = "dn(id, d) AS (SELECT id, 0 FROM nd WHERE p IS NULL UNION ALL SELECT nd.id, d + 1 FROM dn JOIN nd ON nd.p = dn.id), uw(id, v) AS (SELECT id, id FROM nd WHERE n = 0 UNION ALL SELECT nd.p, v FROM uw JOIN nd USING (id) WHERE nd.p IS NOT NULL), mx AS (SELECT id, max(v) AS v FROM uw GROUP BY id)"
+    order = "so(id, p, fed, ord, i) AS (SELECT id, p, fed, 1, 0 FROM nd UNION ALL SELECT a.id, a.p, a.fed, coalesce(max(b.ord) + (min(b.ord) = max(b.ord) AND a.fed > 1)::INT, 1), a.i + 1 FROM so a LEFT JOIN so b ON b.p = a.id WHERE a.i <= (SELECT max(d) FROM dn) GROUP BY a.id, a.p, a.fed, a.i)"
+    out["stream_order"] = _with("ramp", _D8, acc, net, walks, order, recursive=True) + "SELECT id // 64 AS row, (id % 64)::INT AS col, ord::INT AS ord FROM so WHERE i = (SELECT max(i) FROM so)"
+    parts = "sg(head, tail, path) AS (SELECT id, p, [id, p] FROM nd WHERE node AND p IS NOT NULL UNION ALL SELECT head, nd.p, list_append(path, nd.p) FROM sg JOIN nd ON nd.id = sg.tail WHERE NOT nd.node), sn AS (SELECT (row_number() OVER (ORDER BY v DESC, d DESC) - 1)::INT AS number, head, tail, path FROM sg JOIN nd ON nd.id = sg.tail AND nd.node JOIN mx ON mx.id = head JOIN dn ON dn.id = head)"
+    out["extract_river_network"] = _with("ramp", _D8, acc, net, walks, parts, recursive=True) + """SELECT number, head, tail, '{"type":"LineString","coordinates":[' || array_to_string(list_transform(path, lambda i: '[' || (i % 64)::DOUBLE || ',' || (mr + 1 - i // 64)::DOUBLE || ']'), ',') || ']}' AS geometry FROM sn CROSS JOIN g"""
+    out["extract_profiles"] = _with("ramp", _D8, acc, net, walks, parts, recursive=True) + "SELECT a.number, array_to_string(a.path, ',') AS cells, coalesce(b.number, (SELECT min(c.number) FROM sn c WHERE c.tail = a.tail)) AS next FROM sn a LEFT JOIN sn b ON b.head = a.tail"
     out["polygons"] = out["polygonize"].replace("sum(4 - coalesce(n, 0))::INT AS n_edges", "count(*)::DOUBLE AS area")
     kinds = f"kd AS (SELECT row, col, any_value(z) AS z, coalesce(any_value({_INNER}), false) AND min(zn) = any_value(z) AS flat, max(zn) > any_value(z) AS hi, NOT any_value({_INNER}) OR min(zn) < any_value(z) AS dr FROM nb GROUP BY row, col)"
     near = "nr AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc, a.z, b.z AS zn, b.flat AS fn, b.dr AS dn FROM kd a JOIN nb n ON n.row = a.row AND n.col = a.col JOIN kd b ON b.row = n.nr AND b.col = n.nc WHERE a.flat)"
