@@ -132,11 +132,11 @@ FROM placed p JOIN subroots s USING (tree) JOIN folded f USING (tree, pos) LEFT
 
 OP12_SQL = """
 WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-line AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM split),
+line AS (SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
 keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
 shared AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 decided AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.top AS gone FROM keyed k LEFT JOIN shared s USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM decided GROUP BY doc_id
 """
 
