@@ -1,6 +1,6 @@
 """Operators along flow paths: accumulation, catchments, distances, height above drainage, streams.
 
-D8 rasters are forests and go by pointer doubling, in about log2(longest path) rounds. D-infinity and MFD rasters are
+D8 rasters are forests and are solved tile by tile, then between tiles by pointer doubling. D-infinity and MFD rasters are
 graphs without cycles and go by rounds that carry only what changed.
 """
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP, cell_id, on_rim
 from thalweg.operators.terrain import d8_edges, edges
-from thalweg.plans.loops import doubled_max, doubled_sum, peeled, pinned, relaxed, roots
+from thalweg.plans.loops import peeled, pinned, relaxed, roots
+from thalweg.plans.paths import forest_most, forest_roots, forest_sums
 from thalweg.spec import GridSpec
 
 INF = float("inf")
@@ -104,7 +105,7 @@ def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weight
     w = w.select("id", "w", F.coalesce("m", F.lit(1.0)).alias("m"))
     if routing == "d8":
         nodes = w.join(d8_edges(flow, spec, dirmap).select("id", "p"), "id", "left").select("id", "p", F.col("w").alias("s"), "m")
-        return _back(doubled_sum(nodes).withColumnRenamed("s", "acc"), spec, "acc")
+        return _back(forest_sums(nodes, spec).withColumnRenamed("s", "acc"), spec, "acc")
     e = edges(flow, spec, routing, dirmap)
     if routing == "dinf":
         e = break_cycles(pinned(e, "edges"), cycle_size)
@@ -139,7 +140,7 @@ def catchment(x: float, y: float, flow: DataFrame, spec: GridSpec, routing: str
     """row, col of the cells whose flow reaches the pour point, itself included; other cells of the rim are never among them."""
     pour = _pour(spec, x, y, xytype, snap)
     if routing == "d8":
-        return _back(roots(_to_pour(flow, spec, dirmap, pour, True).withColumn("d", F.lit(0.0))).where(F.col("root") == pour), spec)
+        return _back(forest_roots(_to_pour(flow, spec, dirmap, pour, True).withColumn("d", F.lit(0.0)), spec).where(F.col("root") == pour), spec)
     e = edges(flow, spec, routing, dirmap).select(F.col("dst").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
     e = e.where(~on_rim(spec, F.floor(F.col("dst") / spec.ncols), F.pmod("dst", F.lit(spec.ncols))))
     start = flow.sparkSession.createDataFrame([(pour, 0.0)], "id long, v double")
@@ -153,7 +154,7 @@ def distance_to_outlet(x: float, y: float, flow: DataFrame, spec: GridSpec, rout
     w = _weights(flow, spec, routing, weights)
     if routing == "d8":
         nodes = _to_pour(flow, spec, dirmap, pour, False).join(w, "id").select("id", "p", F.col("w").alias("d"))
-        return _back(roots(nodes).where(F.col("root") == pour).withColumnRenamed("d", "dist"), spec, "dist")
+        return _back(forest_roots(nodes, spec).where(F.col("root") == pour).withColumnRenamed("d", "dist"), spec, "dist")
     e = edges(flow, spec, routing, dirmap)
     if routing == "mfd":
         e = e.where(~on_rim(spec, F.floor(F.col("id") / spec.ncols), F.pmod("id", F.lit(spec.ncols))))
@@ -167,7 +168,7 @@ def distance_to_ridge(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, w
     w = _weights(flow, spec, routing, weights)
     if routing == "d8":
         e = d8_edges(flow, spec, dirmap).select("id", "p").join(w.select(F.col("id").alias("p"), F.col("w").alias("c")), "p", "left").select("id", "p", F.coalesce("c", F.lit(0.0)).alias("c"))
-        return _back(doubled_max(e).withColumnRenamed("r", "dist"), spec, "dist")
+        return _back(forest_most(e, spec).withColumnRenamed("r", "dist"), spec, "dist")
     e = edges(flow, spec, routing, dirmap)
     if routing == "dinf":
         e = break_cycles(pinned(e, "edges"), cycle_size)
@@ -185,7 +186,7 @@ def compute_hand(flow: DataFrame, cells: DataFrame, mask: DataFrame, spec: GridS
     z = cells.select(_id(spec).alias("id"), "z")
     if routing == "d8":
         e = d8_edges(flow, spec, dirmap).select("id", F.when(inner, F.col("p")).alias("p")).join(channel.withColumn("c", F.lit(True)), "id", "left")
-        found = roots(e.select("id", F.when(F.col("c").isNull(), F.col("p")).alias("p"), F.lit(0.0).alias("d"))).join(channel.withColumnRenamed("id", "root"), "root", "left_semi").select("id", F.col("root").alias("channel"))
+        found = forest_roots(e.select("id", F.when(F.col("c").isNull(), F.col("p")).alias("p"), F.lit(0.0).alias("d")), spec).join(channel.withColumnRenamed("id", "root"), "root", "left_semi").select("id", F.col("root").alias("channel"))
     else:
         e = pinned(edges(flow, spec, routing, dirmap).where(~on_rim(spec, F.floor(F.col("id") / spec.ncols), F.pmod("id", F.lit(spec.ncols)))).select("id", "dst", F.pmod(F.col("k") + 4, F.lit(8)).alias("j")), "edges")
         found = front = pinned(channel.select("id", F.col("id").alias("channel"), (-F.col("id")).alias("place")), "found")

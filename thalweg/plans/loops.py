@@ -27,6 +27,10 @@ def pinned(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Cycles(ValueError):
+    """The pointers have a cycle."""
+
+
 def _doublings(nodes: DataFrame) -> int:
     """So many doublings outlast every path of a forest of ``nodes``; a pointer that is left then is on or above a cycle."""
     return nodes.count().bit_length() + 1
@@ -49,15 +53,18 @@ def roots(nodes: DataFrame) -> DataFrame:
     return pinned(done, "rooted")
 
 
-def doubled_sum(nodes: DataFrame) -> DataFrame:
+def doubled_sum(nodes: DataFrame, peel: bool = True) -> DataFrame:
     """Of ``nodes`` (id, p, s: own amount, m: share passed on): id and ``s``, the amount with all that reaches it. A round joins
-    each node with what points to it, then doubles the pointers. Where there are cycles, ``peeled`` takes over."""
+    each node with what points to it, then doubles the pointers. Where there are cycles, ``peeled`` takes over (or, without
+    ``peel``, Cycles is raised)."""
     first = live = pinned(nodes.select("id", "p", "s", "m"), "sum")
     for turn in range(_doublings(first) + 1):
         up = live.where("p is not null")
         if up.isEmpty():
             break
         if turn == _doublings(first):
+            if not peel:
+                raise Cycles
             return peeled(first.select("id", "s"), first.where("p is not null").select(F.col("id").alias("src"), F.col("p").alias("dst"), "m"))
         gain = up.groupBy(F.col("p").alias("id")).agg(F.sum(F.col("m") * F.col("s")).alias("g"))
         to = live.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("n"))
@@ -65,15 +72,18 @@ def doubled_sum(nodes: DataFrame) -> DataFrame:
     return live.select("id", "s")
 
 
-def doubled_max(nodes: DataFrame) -> DataFrame:
-    """Of ``nodes`` (id, p, c: cost of stepping into p): id and ``r``, the greatest cost of a path that ends there, 0 at least.
-    Where there are cycles, ``peeled`` takes over."""
-    first = live = pinned(nodes.select("id", "p", "c", F.lit(0.0).alias("r")), "max")
+def doubled_max(nodes: DataFrame, peel: bool = True) -> DataFrame:
+    """Of ``nodes`` (id, p, c: cost of stepping into p): id and ``r``, the greatest cost of a path that ends there, 0 (or the ``r`` of
+    ``nodes``) at least. Where there are cycles, ``peeled`` takes over (or, without ``peel``, Cycles is raised)."""
+    own = F.col("r") if "r" in nodes.columns else F.lit(0.0)
+    first = live = pinned(nodes.select("id", "p", "c", own.alias("r")), "max")
     for turn in range(_doublings(first) + 1):
         up = live.where("p is not null")
         if up.isEmpty():
             break
         if turn == _doublings(first):
+            if not peel:
+                raise Cycles
             steps = first.where("p is not null").select(F.col("id").alias("src"), F.col("p").alias("dst"), F.col("c").alias("m"))
             return peeled(first.select("id", F.col("r").alias("s")), steps, greatest=True).withColumnRenamed("s", "r")
         gain = up.groupBy(F.col("p").alias("id")).agg(F.max(F.col("r") + F.col("c")).alias("g"))
