@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
+from fractions import Fraction
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,10 +62,13 @@ SIGMA, REACH = 1.0, 2
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "head")
+    """A block's text and the tags since the line before. Of the open elements (``depth`` of them) it shares the first ``shared`` with
+    the line before; ``fresh`` says of the others which are articles. ``head``: it is a first or second heading."""
 
-    def __init__(self, text: str, tags: int, path: tuple[int, ...], head: bool):
-        self.text, self.tags, self.path, self.head = text, tags, path, head
+    __slots__ = ("text", "tags", "depth", "shared", "fresh", "head")
+
+    def __init__(self, text: str, tags: int, depth: int, shared: int, fresh: list[bool], head: bool):
+        self.text, self.tags, self.depth, self.shared, self.fresh, self.head = text, tags, depth, shared, fresh, head
 
 
 def names_furniture(names: str) -> bool:
@@ -77,36 +83,42 @@ def names_furniture(names: str) -> bool:
 
 class Events(HTMLParser):
     """Parser events to lines. Open elements are kept in a stack, where an end tag closes down to its start tag, and a start
-    tag ends what HTML lets it end."""
+    tag ends what HTML lets it end. The places of each name in the stack are kept too, so that nesting costs no search."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.buffer: list[str] = []
-        self.tags = self.made = 0
+        self.tags = 0
         self.head = False
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, silent, within an article
-        self.articles: set[int] = set()
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, within an article, an article
+        self.open: dict[str, list[int]] = {}
+        self.told = 0  # so many of the stack's elements hold the last line
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             self.buffer = []
             if text:
-                self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.stack), self.head))
-                self.tags = 0
+                self.lines.append(Line(text, self.tags, len(self.stack), self.told, [x[3] for x in self.stack[self.told :]], self.head))
+                self.tags, self.told = 0, len(self.stack)
+
+    def _cut(self, depth: int) -> None:
+        """End the elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            self.open[self.stack.pop()[0]].pop()
+        self.told = min(self.told, depth)
 
     def _close(self, names, beyond=frozenset()) -> None:
         """End the outermost open element of ``names`` that is reached before one of ``beyond``, with all in it."""
-        found = None
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in names:
-                found = k
-            elif self.stack[k][0] in beyond:
-                break
+        held = [places for n in names if (places := self.open.get(n))]
+        if not held:
+            return
+        limit = max((places[-1] for n in beyond if (places := self.open.get(n))), default=-1)
+        found = min((places[bisect_right(places, limit)] for places in held if places[-1] > limit), default=None)
         if found is not None:
             self.flush()
-            del self.stack[found:]
+            self._cut(found)
 
     def _end_implied(self, tag) -> None:
         """What the start of ``tag`` ends as HTML does, where end tags were left out."""
@@ -133,12 +145,11 @@ class Events(HTMLParser):
             self.head = tag in ("h1", "h2")
         if tag in VOID or not (tag in CONTAINERS or tag in SILENT or attrs and self._silent(tag, attrs, False)):
             return
-        inside = bool(self.stack) and self.stack[-1][3]
-        silent = bool(self.stack) and self.stack[-1][2] or self._silent(tag, attrs, inside)
-        self.made += 1
-        if tag in ("article", "main") and not silent:
-            self.articles.add(self.made)
-        self.stack.append((tag, self.made, silent, inside or tag in ("article", "main")))
+        inside = bool(self.stack) and self.stack[-1][2]
+        silent = bool(self.stack) and self.stack[-1][1] or self._silent(tag, attrs, inside)
+        article = tag in ("article", "main")
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, silent, inside or article, article and not silent))
 
     def _silent(self, tag, attrs, inside) -> bool:
         if tag in SILENT or tag == "header" and not inside:
@@ -165,16 +176,15 @@ class Events(HTMLParser):
         if tag not in INLINE:
             self.flush()
             self.head = False
-        if any(x[0] == tag for x in self.stack):
+        if places := self.open.get(tag):
             if tag in INLINE:
                 self.flush()
-            while self.stack.pop()[0] != tag:
-                pass
+            self._cut(places[-1])
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] == "head" and data.strip():
             self._close(("head",))
-        if self.stack and self.stack[-1][2]:
+        if self.stack and self.stack[-1][1]:
             return
         self.buffer.append(data)
 
@@ -183,7 +193,7 @@ class Events(HTMLParser):
         elements may hold character data up to ``]]>``."""
         if not self.rawdata.startswith("<![", i):
             return super().parse_html_declaration(i)
-        foreign = self.rawdata.startswith("<![CDATA[", i) and any(x[0] == "svg" for x in self.stack)
+        foreign = self.rawdata.startswith("<![CDATA[", i) and bool(self.open.get("svg"))
         mark = "]]>" if foreign else ">"
         end = self.rawdata.find(mark, i + 3)
         return len(self.rawdata) if end < 0 else end + len(mark)
@@ -223,7 +233,7 @@ def extract(html: str) -> str:
     ratios = smoothed(own)
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    lo, hi = region(lines, own, [r >= threshold for r in ratios], events.articles)
+    lo, hi = region(lines, own, [r >= threshold for r in ratios])
     return "\n".join(x.text for x in lines[lo:hi])
 
 
@@ -232,44 +242,39 @@ def extract(html: str) -> str:
 HEADED, LOW = 4, 0.5
 
 
-def region(lines: list[Line], own: list[float], cluster: list[bool], articles: set[int]) -> tuple[int, int]:
+def region(lines: list[Line], own: list[float], cluster: list[bool]) -> tuple[int, int]:
     """The range of lines that is content."""
+    mass_to = [0, *accumulate(len(x.text) if on else 0 for x, on in zip(lines, cluster, strict=True))]
+    heads_to = [0, *accumulate(x.head for x in lines)]
+    own_to = [Fraction(0), *accumulate(map(Fraction, own))]
+    begins: dict[int, list[int]] = {}  # lines by how many elements they share with the one before
+    for i, x in enumerate(lines):
+        begins.setdefault(x.shared, []).append(i)
+    mean = lambda a, b: (own_to[b] - own_to[a]) / (b - a)
     lo, hi, depth = 0, len(lines), 0
     while True:
-        parts = _parts(lines, lo, hi, depth)
-        if len(parts) == 1 and len(lines[lo].path) > depth:
+        # within an element of this depth: each element in it is a part, and each line of its own
+        at = begins.get(depth, [])
+        starts = [lo, *at[bisect_right(at, lo) : bisect_left(at, hi)]]
+        parts = list(zip(starts, [*starts[1:], hi], strict=True))
+        if len(parts) == 1 and lines[lo].depth > depth:
             depth += 1
             continue
-        mass = []
-        for a, b in parts:
-            named = any(x.head for x in lines[a:b]) or len(lines[a].path) > depth and lines[a].path[depth] in articles
-            mass.append((HEADED if named else 1) * sum(len(lines[i].text) for i in range(a, b) if cluster[i]))
+        article = [lines[a].depth > depth and lines[a].fresh[depth - lines[a].shared] for a in starts]
+        headed = [heads_to[b] > heads_to[a] for a, b in parts]
+        mass = [(HEADED if headed[i] or article[i] else 1) * (mass_to[b] - mass_to[a]) for i, (a, b) in enumerate(parts)]
         k = max(range(len(parts)), key=lambda i: (mass[i], -i))
         a, b = parts[k]
-        if 2 * mass[k] <= sum(mass) or len(lines[a].path) <= depth:
+        if 2 * mass[k] <= sum(mass) or lines[a].depth <= depth:
             return lo, hi
-        headed = any(x.head for x in lines[a:b])
-        article = lines[a].path[depth] in articles
-        level = LOW * sum(own[a:b]) / (b - a)
-        if b - a == 1 and not article or not all(
-            i == k or sum(own[c:d]) / (d - c) < level or (headed or article) and (d - c == 1 and not lines[c].head or article) for i, (c, d) in enumerate(parts)
+        level = LOW * mean(a, b)
+        if b - a == 1 and not article[k] or not all(
+            i == k or mean(c, d) < level or (headed[k] or article[k]) and (d - c == 1 and not lines[c].head or article[k]) for i, (c, d) in enumerate(parts)
         ):
             return lo, hi
         lo, hi, depth = a, b, depth + 1
 
 
-def _parts(lines: list[Line], lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
-    """The parts of a container of ``depth``: each container in it, and each line of its own."""
-    out = []
-    for i in range(lo, hi):
-        p = lines[i].path
-        if out and len(p) > depth and len(lines[i - 1].path) > depth and lines[i - 1].path[depth] == p[depth]:
-            out[-1] = (out[-1][0], i + 1)
-        else:
-            out.append((i, i + 1))
-    return out
-
-
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page its id, url, ``text`` and ``n_chars`` (code points of the text).
 
