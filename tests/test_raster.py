@@ -260,3 +260,59 @@ def test_one_shuffle_for_slopes(spark, ground):
     flow = spark.createDataFrame(terrain.flowdir_d8(df, spec).collect(), "row long, col int, fdir int")
     plan = terrain.cell_slopes(df, flow, spec)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_snap_to_mask_by_pyramid(spark):
+    import math
+    import random
+    import time
+
+    from thalweg.operators import view
+
+    rng = random.Random(2)
+    for spec, n in ((GridSpec(70, 50, (0.5, 0, 3.0, 0, -0.25, 9.0)), 40), (GridSpec(40, 40, (1.0, 0.3, -5, 0.2, -1.1, 4.0)), 100)):
+        mask = sorted({(rng.randrange(spec.nrows), rng.randrange(spec.ncols)) for _ in range(n)})
+        x0, y0, x1, y1 = spec.bbox
+        points = [(i, rng.uniform(x0 - 2, x1 + 2), rng.uniform(y0 - 2, y1 + 2)) for i in range(50)] + [(50, None, 1.0)]
+        got = {r["pid"]: (r["sx"], r["sy"]) for r in view.snap_to_mask(spark.createDataFrame(mask, "row long, col int"), spark.createDataFrame(points, "pid int, x double, y double"), spec, box=4).collect()}
+        want = {i: spec.xy(*min(mask, key=lambda m, x=x, y=y: (math.dist((x, y), spec.xy(*m)), *m))) for i, x, y in points[:50]}
+        assert {i: pytest.approx(p) for i, p in got.items()} == want
+    far = spark.createDataFrame([(63999, 63999)], "row long, col int")
+    began = time.time()
+    assert view.snap_to_mask(far, spark.createDataFrame([(1, 0.0, 0.0)], "pid int, x double, y double"), GridSpec(64000, 64000)).head()["sx"] == 63999
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("side", [8, 256])
+def test_forests_by_tiles(spark, side):
+    import random
+
+    from thalweg.plans import loops, paths
+
+    rng = random.Random(side)
+    spec = GridSpec(20, 19)
+    rank = [rng.random() for _ in range(spec.size)]
+    rows = []
+    for i in range(spec.size):
+        r, c = divmod(i, spec.ncols)
+        lower = [j for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= r + a < spec.nrows and 0 <= c + b < spec.ncols and rank[j := (r + a) * spec.ncols + c + b] < rank[i]]
+        if i % 41:
+            rows.append((i, rng.choice(lower) if lower else None, float(rng.randint(0, 3)), rng.choice([1.0, 0.5])))
+    nodes = spark.createDataFrame(rows, "id long, p long, d double, m double").cache()
+    same = lambda a, b: sorted(tuple(r) for r in a.collect()) == [pytest.approx(x) for x in sorted(tuple(r) for r in b.collect())]
+    assert same(paths.forest_roots(nodes, spec, side), loops.roots(nodes))
+    own = nodes.selectExpr("id", "p", "d as s", "m")
+    assert same(paths.forest_sums(own, spec, side), loops.doubled_sum(own))
+    cost = nodes.selectExpr("id", "p", "d as c")
+    assert same(paths.forest_most(cost, spec, side), loops.doubled_max(cost))
+
+
+def test_forests_with_cycles(spark):
+    from thalweg.plans import loops, paths
+
+    nodes = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (3, 4, 1.0), (4, None, 1.0), (5, 4, 1.0), (9, 5, 1.0)], "id long, p long, d double")
+    spec = GridSpec(3, 6)
+    for side in (2, 64):
+        assert sorted(map(tuple, paths.forest_roots(nodes, spec, side).collect())) == sorted(map(tuple, loops.roots(nodes).collect()))
+        own = nodes.selectExpr("id", "p", "d as s", "1.0D as m")
+        assert sorted(map(tuple, paths.forest_sums(own, spec, side).collect())) == sorted(map(tuple, loops.doubled_sum(own).collect()))

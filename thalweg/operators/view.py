@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions.crs import transform
 from thalweg.functions.geometry import cell_id
 from thalweg.operators.condition import connected_labels
+from thalweg.plans.loops import pinned
 from thalweg.spec import GridSpec
 
 
@@ -72,27 +73,38 @@ def snap_to_mask(mask: DataFrame, points: DataFrame, spec: GridSpec, box: int =
     """``points`` (pid, x, y) with ``sx``, ``sy`` and ``dist`` of the nearest cell (its corner) of ``mask`` (row, col); of equals the
     first by row, then column.
 
-    Points and cells meet in boxes of the grid: a ring of boxes around a point is searched, and the ring widens for the
-    points that have nothing certain yet, so no point meets all cells unless they are as far apart as the grid is wide.
+    The mask's cells make a pyramid of boxes that hold any, four times as wide on each level. A point goes down from the box that holds
+    all, on each level to the boxes that may be nearer than what another one holds for certain: as many rounds as the logarithm of the
+    grid's width, however far the nearest cell is.
     """
     a, b, c, d, e, f = spec.affine
+    corners = [spec.xy(r, q) for r in (0, spec.nrows) for q in (0, spec.ncols)]
+    (x0, x1), (y0, y1) = [(min(v), max(v)) for v in zip(*corners, strict=True)]
     col, row = F.col("col").cast("double"), F.col("row").cast("double")
     cells = mask.select("row", "col", (F.lit(a) * col + F.lit(b) * row + F.lit(c)).alias("sx"), (F.lit(d) * col + F.lit(e) * row + F.lit(f)).alias("sy"))
-    w, h = box * spec.dx, box * spec.dy
-    cells = cells.withColumn("bx", F.floor(F.col("sx") / w)).withColumn("by", F.floor(F.col("sy") / h))
-    left, done, ring = points.select("pid", "x", "y"), None, 1
-    most = 2 + max(spec.nrows, spec.ncols) // box
-    while True:
-        reach = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = left.withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).withColumn("bx", F.floor(F.col("x") / w) + F.col("i")).withColumn("by", F.floor(F.col("y") / h) + F.col("j"))
-        dist = F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")))
-        best = asked.join(cells, ["bx", "by"]).groupBy("pid", "x", "y").agg(F.min(F.struct(dist.alias("dist"), "row", "col", "sx", "sy")).alias("m")).select("pid", "x", "y", "m.sx", "m.sy", "m.dist")
-        sure = best if ring >= most else best.where(F.col("dist") <= ring * min(w, h))
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select("pid"), "pid", "left_anti")
-        if ring >= most or left.isEmpty():
-            return done
-        ring *= 4
+    w, h = box * (abs(a) + abs(b)), box * (abs(d) + abs(e))
+    cells = cells.withColumn("bx", F.floor((F.col("sx") - x0) / w)).withColumn("by", F.floor((F.col("sy") - y0) / h))
+    ends = [F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy")]
+    leaves = cells.groupBy("bx", "by").agg(F.min("sx").alias("lx"), F.max("sx").alias("hx"), F.min("sy").alias("ly"), F.max("sy").alias("hy"))
+    levels = [pinned(leaves, "boxes")]
+    across = 1 + int(max((x1 - x0) / w, (y1 - y0) / h))
+    while across > 1:
+        up = [F.floor(F.col(k) / 4).alias(k) for k in ("bx", "by")]
+        levels.append(levels[-1].groupBy(*up).agg(*ends))
+        across = -(-across // 4)
+    own = Window.partitionBy("pid", "x", "y")
+    square = lambda u, v: u * u + v * v
+    at = points.select("pid", "x", "y", F.lit(0).cast("long").alias("bx"), F.lit(0).cast("long").alias("by"))
+    for level in reversed(levels[:-1]):
+        x, y = F.col("x"), F.col("y")
+        near = square(F.greatest(F.col("lx") - x, x - F.col("hx"), F.lit(0.0)), F.greatest(F.col("ly") - y, y - F.col("hy"), F.lit(0.0)))
+        far = square(F.greatest(F.abs(x - F.col("lx")), F.abs(x - F.col("hx"))), F.greatest(F.abs(y - F.col("ly")), F.abs(y - F.col("hy"))))
+        below = level.select(F.floor(F.col("bx") / 4).alias("ux"), F.floor(F.col("by") / 4).alias("uy"), F.col("bx").alias("nx"), F.col("by").alias("ny"), "lx", "hx", "ly", "hy")
+        met = at.join(below, (F.col("bx") == F.col("ux")) & (F.col("by") == F.col("uy"))).select("pid", "x", "y", F.col("nx").alias("bx"), F.col("ny").alias("by"), near.alias("near"), far.alias("far"))
+        at = met.withColumn("least", F.min("far").over(own)).where(F.col("near") <= F.col("least") * (1 + 1e-9)).select("pid", "x", "y", "bx", "by")
+    dist = F.sqrt(square(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
+    best = at.join(cells, ["bx", "by"]).groupBy("pid", "x", "y").agg(F.min(F.struct(dist.alias("dist"), "row", "col", "sx", "sy")).alias("m"))
+    return best.where("m.dist is not null").select("pid", "x", "y", "m.sx", "m.sy", "m.dist")
 
 
 def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double", band: int = 64) -> DataFrame:
