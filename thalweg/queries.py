@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thalweg import flood_queries
 from thalweg.grid import Grid, Raster
 from thalweg.operators import condition, derived, hydro, terrain, vector, view
 from thalweg.plans.loops import pinned, scratch
@@ -327,7 +328,7 @@ def queries() -> dict[str, Query]:
     found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
     found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
     found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
-    return found
+    return found | flood_queries.queries()
 
 
 #: Rounds of the SQL that ends by count.
@@ -478,4 +479,4 @@ def oracle_sql() -> dict[str, str]:
     out["snap_to_mask"] = _with("noise", pts, "m AS (SELECT row, col, col::DOUBLE AS sx, (SELECT mr + 1 FROM g)::DOUBLE - row AS sy FROM cells WHERE z > 0.3), d AS (SELECT pid, sx, sy, row, col, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM pts CROSS JOIN m)") + f"SELECT pid, sx, sy, {r6('dist')} AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, row, col) = 1"
     tri = "tri AS (SELECT n_nationkey AS sid, n_regionkey::DOUBLE AS value, unnest([1, 2, 3]) AS i, unnest([n_nationkey * 2 + 1.25, n_nationkey * 2 + 11.25, n_nationkey * 2 + 6.25])::DOUBLE AS xi, unnest([n_nationkey * 11 + 3.25, n_nationkey * 11 + 8.25, n_nationkey * 11 + 27.25])::DOUBLE AS yi FROM nation), sides AS (SELECT a.sid, a.value, a.xi, a.yi, b.xi AS xj, b.yi AS yj FROM tri a JOIN tri b ON a.sid = b.sid AND b.i = (a.i + 1) % 3 + 1), px AS (SELECT row, col, col + 0.5 AS px, (SELECT mr + 1 FROM g) - row - 0.5 AS py FROM cells), hits AS (SELECT row, col, sid, any_value(value) AS value FROM px JOIN sides ON (yi > py) <> (yj > py) AND px < (xj - xi) * (py - yi) / (yj - yi) + xi GROUP BY row, col, sid HAVING count(*) % 2 = 1), lasts AS (SELECT row, col, arg_max(value, sid) AS v FROM hits GROUP BY row, col)"
     out["rasterize"] = _with("noise", tri) + "SELECT c.row, c.col, coalesce(v, -1.0)::DOUBLE AS z FROM cells c LEFT JOIN lasts USING (row, col)"
-    return out
+    return out | flood_queries.oracle_sql()
