@@ -295,6 +295,15 @@ def raster_round_trip(spark, sf_dir):
     return geotiff.read_raster(spark, path)[0]
 
 
+def masked_mosaic(spark, sf_dir):
+    """The raster, written as a mosaic of GeoTIFFs by the tasks and read back within a polygon; blocks outside aren't read."""
+    cells, spec = raster(spark, sf_dir)
+    folder, n = scratch(spark, "mosaic"), spec.nrows
+    geotiff.to_mosaic(cells, replace(spec, nodata=-9999.0), folder, side=128, block=32)
+    shape = {"type": "Polygon", "coordinates": [[(5.3, 0.1 * n + 0.3), (60.7, 0.45 * n + 0.7), (21.3, 0.9 * n + 0.3)]]}
+    return geotiff.read_raster(spark, f"{folder}/*.tif", mask_geometry=shape)[0].where("z is not null")
+
+
 def grid_clipped_accumulation(spark, sf_dir):
     """Accumulation on the window of a catchment, only within it."""
     cells, spec = raster(spark, sf_dir)
@@ -325,7 +334,7 @@ def queries() -> dict[str, Query]:
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(lambda *a: hydro.extract_profiles(*a).select("number", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"), "next"))}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
     found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "to_crs_utm": to_crs_utm, "burn": _burn(None), "burn_blurred": _burn(2.5)}
-    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "grid_clipped_accumulation": grid_clipped_accumulation}
+    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "masked_mosaic": masked_mosaic, "grid_clipped_accumulation": grid_clipped_accumulation}
     found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
     found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
     return found | flood_queries.queries()
@@ -479,4 +488,7 @@ def oracle_sql() -> dict[str, str]:
     out["snap_to_mask"] = _with("noise", pts, "m AS (SELECT row, col, col::DOUBLE AS sx, (SELECT mr + 1 FROM g)::DOUBLE - row AS sy FROM cells WHERE z > 0.3), d AS (SELECT pid, sx, sy, row, col, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS dist FROM pts CROSS JOIN m)") + f"SELECT pid, sx, sy, {r6('dist')} AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, row, col) = 1"
     tri = "tri AS (SELECT n_nationkey AS sid, n_regionkey::DOUBLE AS value, unnest([1, 2, 3]) AS i, unnest([n_nationkey * 2 + 1.25, n_nationkey * 2 + 11.25, n_nationkey * 2 + 6.25])::DOUBLE AS xi, unnest([n_nationkey * 11 + 3.25, n_nationkey * 11 + 8.25, n_nationkey * 11 + 27.25])::DOUBLE AS yi FROM nation), sides AS (SELECT a.sid, a.value, a.xi, a.yi, b.xi AS xj, b.yi AS yj FROM tri a JOIN tri b ON a.sid = b.sid AND b.i = (a.i + 1) % 3 + 1), px AS (SELECT row, col, col + 0.5 AS px, (SELECT mr + 1 FROM g) - row - 0.5 AS py FROM cells), hits AS (SELECT row, col, sid, any_value(value) AS value FROM px JOIN sides ON (yi > py) <> (yj > py) AND px < (xj - xi) * (py - yi) / (yj - yi) + xi GROUP BY row, col, sid HAVING count(*) % 2 = 1), lasts AS (SELECT row, col, arg_max(value, sid) AS v FROM hits GROUP BY row, col)"
     out["rasterize"] = _with("noise", tri) + "SELECT c.row, c.col, coalesce(v, -1.0)::DOUBLE AS z FROM cells c LEFT JOIN lasts USING (row, col)"
+    corners = "k(i, x, y) AS (SELECT unnest([0, 1, 2, 3]), unnest([5.3, 60.7, 21.3, 5.3])::DOUBLE, unnest([0.1 * n + 0.3, 0.45 * n + 0.7, 0.9 * n + 0.3, 0.1 * n + 0.3])::DOUBLE FROM (SELECT mr + 1 AS n FROM g))"
+    cut = "hits AS (SELECT c.row, c.col, c.z FROM cells c JOIN k a ON true JOIN k b ON b.i = a.i + 1 CROSS JOIN g WHERE (a.y > mr + 0.5 - c.row) <> (b.y > mr + 0.5 - c.row) AND c.col + 0.5 < a.x + (mr + 0.5 - c.row - a.y) * (b.x - a.x) / (b.y - a.y))"
+    out["masked_mosaic"] = _with("noise", corners, cut) + "SELECT row, col, any_value(z) AS z FROM hits GROUP BY row, col HAVING count(*) % 2 = 1"
     return out | flood_queries.oracle_sql()
