@@ -54,3 +54,54 @@ def test_raster_in_a_zone(spark):
         at = round((44.0 - y) / 0.01), round((x + 80.0) / 0.01)
         inside = 0 <= at[0] < 20 and 0 <= at[1] < 15
         assert r["z"] == (z[at] if inside else None)
+
+
+CLARKE = "+proj=longlat +ellps=clrk66"
+
+
+@pytest.mark.parametrize(
+    ("definition", "point", "want"),
+    [
+        ("+proj=lcc +lat_1=33 +lat_2=45 +lat_0=23 +lon_0=-96 +ellps=clrk66", (-75, 35), (1894410.9, 1564649.5)),
+        ("+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 +ellps=clrk66", (-75, 35), (1885472.7, 1535925.0)),
+        ("+proj=tmerc +lon_0=-75 +k_0=0.9996 +ellps=clrk66", (-73.5, 40.5), (127106.5, 4484124.4)),
+    ],
+)
+def test_published_points_of_projections(definition, point, want):
+    got = transform_point(*point, CLARKE, definition)
+    assert np.allclose(got, want, rtol=0, atol=0.06)
+    assert np.allclose(transform_point(*got, definition, CLARKE), point, rtol=0, atol=2e-8)
+
+
+@pytest.mark.parametrize("crs", ["EPSG:2154", "EPSG:3577", "EPSG:5070", "EPSG:4267", "+proj=lcc +lat_1=45 +lat_0=45 +lon_0=2 +k_0=0.9998 +x_0=1000 +units=us-ft +ellps=intl +towgs84=-87,-98,-121", "+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +ellps=airy +towgs84=375,-111,431", "+proj=aea +lat_1=20 +lat_2=20 +a=6370997 +b=6370997"])
+def test_projections_round_as_columns_and_numbers(spark, crs):
+    points = [(-3.0, 48.0), (1.5, 51.0), (4.0, 41.5)] if crs != "EPSG:3577" else [(130.0, -20.0), (150.0, -35.0)]
+    df = spark.createDataFrame(points, "x double, y double")
+    there = transform(F.col("x"), F.col("y"), "EPSG:4326", crs)
+    got = df.select("x", "y", there[0].alias("u"), there[1].alias("v"))
+    back = transform(F.col("u"), F.col("v"), crs, "EPSG:4326")
+    for r in got.select("*", back[0].alias("p"), back[1].alias("q")).collect():
+        assert abs(r["p"] - r["x"]) < 1e-7 and abs(r["q"] - r["y"]) < 1e-7
+        assert np.allclose(transform_point(r["x"], r["y"], "EPSG:4326", crs), (r["u"], r["v"]), rtol=0, atol=1e-5)
+
+
+def test_conics_keep_what_they_promise():
+    """On the standard parallels lengths are true; Albers keeps areas everywhere and Lambert angles."""
+    e2 = 6.69437999014e-3
+    for kind, lats in (("lcc", (33.0, 45.0, 39.0, 60.0)), ("aea", (33.0, 45.0, 39.0, 60.0))):
+        crs = f"+proj={kind} +lat_1=33 +lat_2=45 +lat_0=23 +lon_0=-96 +datum=WGS84"
+        for lat in lats:
+            h = 1e-5
+            p = [transform_point(-80 + i * h, lat + j * h, "EPSG:4326", crs) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+            w = 1 - e2 * math.sin(math.radians(lat)) ** 2
+            east = math.dist(p[0], p[1]) / (2 * math.radians(h) * 6378137 * math.cos(math.radians(lat)) / math.sqrt(w))
+            north = math.dist(p[2], p[3]) / (2 * math.radians(h) * 6378137 * (1 - e2) / w**1.5)
+            assert abs(east - north if kind == "lcc" else east * north - 1) < 1e-6
+            if lat in (33.0, 45.0):
+                assert abs(east - 1) < 1e-6
+
+
+def test_what_has_no_formula():
+    for crs in ("EPSG:9999", "+proj=laea +lat_0=52", "+proj=lcc +lat_1=1 +gamma=3", "+proj=tmerc +ellps=airy +towgs84=1,2,3,4,0,0,0"):
+        with pytest.raises(ValueError, match="no formula|three shifts"):
+            transform_point(0.0, 0.0, "EPSG:4326", crs)

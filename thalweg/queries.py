@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg import flood_queries
+from thalweg.functions.crs import transform
 from thalweg.grid import Grid, Raster
 from thalweg.operators import condition, derived, hydro, terrain, vector, view
 from thalweg.plans.loops import pinned, scratch
@@ -295,6 +296,18 @@ def raster_round_trip(spark, sf_dir):
     return geotiff.read_raster(spark, path)[0]
 
 
+def projected_points(spark, sf_dir):
+    """Points in Albers' and Lambert's conics and a UTM zone."""
+    lon, lat = (-125 + F.pmod("c_custkey", F.lit(580)) / 10).cast("double"), (25 + F.pmod("c_custkey", F.lit(240)) / 10).cast("double")
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("pid"), lon.alias("lon"), lat.alias("lat"))
+    out = {}
+    for name, crs in (("albers", "EPSG:5070"), ("lambert", "+proj=lcc +lat_1=33 +lat_2=45 +lat_0=23 +lon_0=-96 +datum=NAD83"), ("utm", "EPSG:32614")):
+        lon = F.col("lon") if name != "utm" else (F.col("lon") - 99 + 96) / 8 - 87
+        x, y = transform(lon, F.col("lat"), "EPSG:4326", crs)
+        out |= {f"{name}_x": F.round(x, 3) + F.lit(0.0), f"{name}_y": F.round(y, 3) + F.lit(0.0)}
+    return points.select("pid", *[c.alias(k) for k, c in out.items()])
+
+
 def masked_mosaic(spark, sf_dir):
     """The raster, written as a mosaic of GeoTIFFs by the tasks and read back within a polygon; blocks outside aren't read."""
     cells, spec = raster(spark, sf_dir)
@@ -334,7 +347,7 @@ def queries() -> dict[str, Query]:
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(lambda *a: hydro.extract_profiles(*a).select("number", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"), "next"))}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
     found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "to_crs_utm": to_crs_utm, "burn": _burn(None), "burn_blurred": _burn(2.5)}
-    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "masked_mosaic": masked_mosaic, "grid_clipped_accumulation": grid_clipped_accumulation}
+    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "masked_mosaic": masked_mosaic, "projected_points": projected_points, "grid_clipped_accumulation": grid_clipped_accumulation}
     found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
     found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
     return found | flood_queries.queries()
@@ -379,6 +392,30 @@ def _dinf_sql() -> str:
     return ", ".join([wide, fs, best, sect, split])
 
 
+_PROJECTED = """
+WITH pts AS (SELECT c_custkey AS pid, radians(-125 + (c_custkey % 580) / 10.0::DOUBLE) AS lon, radians(25 + (c_custkey % 240) / 10.0::DOUBLE) AS lat,
+                    radians((-125 + (c_custkey % 580) / 10.0::DOUBLE - 3) / 8 - 87 + 99) AS turn FROM customer),
+k AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE AS f, f * (2 - f) AS e2, sqrt(e2) AS e),
+par AS (SELECT u.*, sin(phi) AS s, cos(phi) / sqrt(1 - e2 * sin(phi) ** 2) AS m, tan(pi() / 4 - phi / 2) / ((1 - e * sin(phi)) / (1 + e * sin(phi))) ** (e / 2) AS t,
+              (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) - ln((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e)) AS q
+       FROM (SELECT unnest(['0', 'a1', 'a2', 'l1', 'l2']) AS name, radians(unnest([23.0, 29.5, 45.5, 33.0, 45.0])::DOUBLE) AS phi UNION ALL SELECT pid::VARCHAR || 'p', lat FROM pts) u, k),
+fixed AS (SELECT max(m) FILTER (name = 'a1') AS ma, max(m) FILTER (name = 'a2') AS mb, max(q) FILTER (name = 'a1') AS qa, max(q) FILTER (name = 'a2') AS qb, max(q) FILTER (name = '0') AS q0,
+                 max(m) FILTER (name = 'l1') AS ml, max(m) FILTER (name = 'l2') AS mm, max(t) FILTER (name = 'l1') AS tl, max(t) FILTER (name = 'l2') AS tm, max(t) FILTER (name = '0') AS t0 FROM par),
+cone AS (SELECT *, (ma ** 2 - mb ** 2) / (qb - qa) AS na, ln(ml / mm) / ln(tl / tm) AS nl FROM fixed),
+cone2 AS (SELECT *, ma ** 2 + na * qa AS ca, ml / (nl * tl ** nl) AS fl FROM cone),
+conics AS (SELECT pid, a * sqrt(ca - na * q) / na AS ra, a * sqrt(ca - na * q0) / na AS r0, na * (lon - radians(-96)) AS ta, a * fl * t ** nl AS rl, a * fl * t0 ** nl AS l0, nl * (lon - radians(-96)) AS tl
+           FROM pts JOIN par ON par.name = pid::VARCHAR || 'p' CROSS JOIN cone2 CROSS JOIN k),
+w AS (SELECT 1 / 298.257223563::DOUBLE AS f, f / (2 - f) AS n, 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) * 0.9996 AS r, 2 * sqrt(n) / (1 + n) AS e),
+z AS (SELECT pid, sinh(atanh(sin(lat)) - e * atanh(e * sin(lat))) AS t, turn FROM pts, w),
+z2 AS (SELECT pid, atan(t / cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM z),
+utm AS (SELECT pid, 500000 + r * (eta + (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16) * cos(2 * xi) * sinh(2 * eta) + (13 * n ** 2 / 48 - 3 * n ** 3 / 5) * cos(4 * xi) * sinh(4 * eta) + 61 * n ** 3 / 240 * cos(6 * xi) * sinh(6 * eta)) AS ux,
+               r * (xi + (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16) * sin(2 * xi) * cosh(2 * eta) + (13 * n ** 2 / 48 - 3 * n ** 3 / 5) * sin(4 * xi) * cosh(4 * eta) + 61 * n ** 3 / 240 * sin(6 * xi) * cosh(6 * eta)) AS uy FROM z2, w)
+SELECT pid, round(ra * sin(ta), 3) + 0.0 AS albers_x, round(r0 - ra * cos(ta), 3) + 0.0 AS albers_y, round(rl * sin(tl), 3) + 0.0 AS lambert_x, round(l0 - rl * cos(tl), 3) + 0.0 AS lambert_y,
+       round(ux, 3) + 0.0 AS utm_x, round(uy, 3) + 0.0 AS utm_y
+FROM conics JOIN utm USING (pid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     r6 = lambda x: f"round({x}, 6) + 0.0"
@@ -491,4 +528,5 @@ def oracle_sql() -> dict[str, str]:
     corners = "k(i, x, y) AS (SELECT unnest([0, 1, 2, 3]), unnest([5.3, 60.7, 21.3, 5.3])::DOUBLE, unnest([0.1 * n + 0.3, 0.45 * n + 0.7, 0.9 * n + 0.3, 0.1 * n + 0.3])::DOUBLE FROM (SELECT mr + 1 AS n FROM g))"
     cut = "hits AS (SELECT c.row, c.col, c.z FROM cells c JOIN k a ON true JOIN k b ON b.i = a.i + 1 CROSS JOIN g WHERE (a.y > mr + 0.5 - c.row) <> (b.y > mr + 0.5 - c.row) AND c.col + 0.5 < a.x + (mr + 0.5 - c.row - a.y) * (b.x - a.x) / (b.y - a.y))"
     out["masked_mosaic"] = _with("noise", corners, cut) + "SELECT row, col, any_value(z) AS z FROM hits GROUP BY row, col HAVING count(*) % 2 = 1"
+    out["projected_points"] = _PROJECTED
     return out | flood_queries.oracle_sql()
