@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from thalweg import flood_queries
 from thalweg.functions.crs import transform
 from thalweg.grid import Grid, Raster
-from thalweg.operators import condition, derived, hydro, terrain, vector, view
+from thalweg.operators import condition, derived, hydro, stormwater, terrain, vector, view
 from thalweg.plans.loops import pinned, scratch
 from thalweg.sources import ascii as ascii_grid
 from thalweg.sources import geojson, geotiff
@@ -296,6 +296,14 @@ def raster_round_trip(spark, sf_dir):
     return geotiff.read_raster(spark, path)[0]
 
 
+def storm_water_reaches(spark, sf_dir):
+    """Reaches of channels with what drains to each."""
+    cells, spec, flow = _flow(spark, sf_dir, "ramp")
+    acc = pinned(hydro.accumulation(flow, spec), "acc")
+    t = stormwater.reach_table(flow, cells, _mask(acc, 50), spec, acc)
+    return t.select("reach", "head", "tail", *[_r(c) for c in ("length", "drop", "slope", "area", "width", "land_slope", "flow")])
+
+
 def projected_points(spark, sf_dir):
     """Points in Albers' and Lambert's conics and a UTM zone."""
     lon, lat = (-125 + F.pmod("c_custkey", F.lit(580)) / 10).cast("double"), (25 + F.pmod("c_custkey", F.lit(240)) / 10).cast("double")
@@ -347,7 +355,7 @@ def queries() -> dict[str, Query]:
     found |= {"stream_order": _network(hydro.stream_order), "extract_river_network": _network(hydro.extract_river_network), "extract_profiles": _network(lambda *a: hydro.extract_profiles(*a).select("number", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"), "next"))}
     found |= {"fill_depressions": _filled, "detect_depressions": lambda s, d: condition.detect_depressions(*raster(s, d, "steps")), "resolve_flats": lambda s, d: condition.resolve_flats(*raster(s, d, "steps")).select("row", "col", _r("z"))}
     found |= {"view_nearest": _view("nearest"), "view_linear": _view("linear"), "clip_to": clip_to, "nearest_cell": nearest_cell, "snap_to_mask": snap_to_mask, "rasterize": rasterize, "polygonize": polygonize, "to_crs": to_crs, "to_crs_utm": to_crs_utm, "burn": _burn(None), "burn_blurred": _burn(2.5)}
-    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "masked_mosaic": masked_mosaic, "projected_points": projected_points, "grid_clipped_accumulation": grid_clipped_accumulation}
+    found |= {"inundation_varying": inundation_varying, "ascii_round_trip": ascii_round_trip, "raster_round_trip": raster_round_trip, "masked_mosaic": masked_mosaic, "projected_points": projected_points, "storm_water_reaches": storm_water_reaches, "grid_clipped_accumulation": grid_clipped_accumulation}
     found |= {"accumulated_angle": accumulated_angle, "hand_classes": hand_classes, "weighted_distance_to_outlet": weighted_distance_to_outlet, "weighted_width_function": weighted_width_function, "land_cover_overlay": land_cover_overlay}
     found |= {"polygons": polygons, "polygons_round_trip": polygons_round_trip, "coordinates": coordinates}
     return found | flood_queries.queries()
@@ -503,6 +511,9 @@ def oracle_sql() -> dict[str, str]:
     out["stream_order"] = _with("ramp", _D8, acc, net, walks, order, recursive=True) + "SELECT id // 64 AS row, (id % 64)::INT AS col, ord::INT AS ord FROM so WHERE i = (SELECT max(i) FROM so)"
     parts = "sg(head, tail, path) AS (SELECT id, p, [id, p] FROM nd WHERE node AND p IS NOT NULL UNION ALL SELECT head, nd.p, list_append(path, nd.p) FROM sg JOIN nd ON nd.id = sg.tail WHERE NOT nd.node), sn AS (SELECT (row_number() OVER (ORDER BY v DESC, d DESC) - 1)::INT AS number, head, tail, path FROM sg JOIN nd ON nd.id = sg.tail AND nd.node JOIN mx ON mx.id = head JOIN dn ON dn.id = head)"
     out["extract_river_network"] = _with("ramp", _D8, acc, net, walks, parts, recursive=True) + """SELECT number, head, tail, '{"type":"LineString","coordinates":[' || array_to_string(list_transform(path, lambda i: '[' || (i % 64)::DOUBLE || ',' || (mr + 1 - i // 64)::DOUBLE || ']'), ',') || ']}' AS geometry FROM sn CROSS JOIN g"""
+    drains = f"rc AS (SELECT number AS reach, unnest(path[1:len(path) - 1]) AS id FROM sn), fl AS (SELECT row * 64 + col AS id, nr * 64 + nc AS p, dist, z, zn FROM d8 WHERE flows AND {_INNER}), dr(reach, id) AS (SELECT reach, id FROM rc UNION ALL SELECT dr.reach, fl.id FROM dr JOIN fl ON fl.p = dr.id WHERE fl.id NOT IN (SELECT id FROM ce)), ld AS (SELECT reach, count(*)::DOUBLE AS area, avg((z - zn) / dist) AS land_slope FROM dr JOIN fl USING (id) GROUP BY reach), ln AS (SELECT reach, sum(dist) AS length FROM rc JOIN fl USING (id) GROUP BY reach)"
+    ends = "JOIN ln ON ln.reach = sn.number JOIN ld ON ld.reach = sn.number JOIN cells a ON a.row * 64 + a.col = head JOIN cells b ON b.row * 64 + b.col = tail JOIN acc ON acc.row * 64 + acc.col = path[len(path) - 1]"
+    out["storm_water_reaches"] = _with("ramp", _D8, acc, net, walks, parts, drains, recursive=True) + f"SELECT number AS reach, head, tail, {r6('length')} AS length, {r6('a.z - b.z')} AS drop, {r6('(a.z - b.z) / length')} AS slope, {r6('area')} AS area, {r6('area / (length / 2)')} AS width, {r6('land_slope')} AS land_slope, {r6('acc.acc')} AS flow FROM sn {ends}"
     out["extract_profiles"] = _with("ramp", _D8, acc, net, walks, parts, recursive=True) + "SELECT a.number, array_to_string(a.path, ',') AS cells, coalesce(b.number, (SELECT min(c.number) FROM sn c WHERE c.tail = a.tail)) AS next FROM sn a LEFT JOIN sn b ON b.head = a.tail"
     out["polygons"] = out["polygonize"].replace("sum(4 - coalesce(n, 0))::INT AS n_edges", "count(*)::DOUBLE AS area")
     kinds = f"kd AS (SELECT row, col, any_value(z) AS z, coalesce(any_value({_INNER}), false) AND min(zn) = any_value(z) AS flat, max(zn) > any_value(z) AS hi, NOT any_value({_INNER}) OR min(zn) < any_value(z) AS dr FROM nb GROUP BY row, col)"
