@@ -76,3 +76,61 @@ def test_pages_with_nulls_repeats_and_clashing_columns(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract_main_text(pages).collect())
     assert got == [("1", "Text & more\nLast one", 20)] * 2 + [("2", "", 0), ("3", "plain words", 11), ("None", "", 0)]
     assert html_text.extract_main_text(pages.where("false")).isEmpty()
+
+
+def brute_differencing(sizes, k):
+    """Sums of Karmarkar-Karp's partition, by lists: the two greatest imbalances are merged in opposite order until one is left."""
+    from thalweg.llm import packing  # noqa: F401
+
+    sizes = sorted(sizes, reverse=True)
+    rows = [sizes[a : a + k] + [0] * (k - len(sizes[a : a + k])) for a in range(0, len(sizes), k)]
+    state = [(max(r) - min(r), -i, r) for i, r in enumerate(rows)]
+    made = len(rows)
+    while len(state) > 1:
+        state.sort(key=lambda x: (x[0], x[1]))
+        one, two = state.pop(), state.pop()
+        merged = sorted((a + b for a, b in zip(one[2], reversed(two[2]), strict=True)), reverse=True)
+        state.append((merged[0] - merged[-1], -made, merged))
+        made += 1
+    return sorted(state[0][2])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_decides(seed):
+    from thalweg.llm import packing
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 513, rng.integers(1, 400)).tolist()
+    for k in (1, 2, 7, 40):
+        assert sorted(sum(sizes[i] for i in w) for w in packing.differencing(sizes, k)) == brute_differencing(sizes, k)
+    windows = packing.whole_windows(sizes)
+    assert sorted(i for w in windows for i in w) == list(range(len(sizes)))
+    sums = [sum(sizes[i] for i in w) for w in windows]
+    assert max(sums) <= packing.CAPACITY
+    least = -(-sum(sizes) // packing.CAPACITY)
+    assert all(max(brute_differencing(sizes, k)) > packing.CAPACITY for k in range(least, len(windows)))
+
+
+def test_the_count_rises():
+    from thalweg.llm import packing
+
+    assert len(packing.whole_windows([400] * 5)) == 3 and len(packing.whole_windows([500, 500, 500, 500, 48])) == 3
+    assert packing.whole_windows([5]) == [[0]]
+
+
+def test_small_parts_stay_whole(spark):
+    from tokenizers import Tokenizer
+
+    from thalweg.llm import packing, tokens
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    rng = np.random.default_rng(2)
+    texts = [" ".join("word text of some more things".split()[i] for i in rng.integers(0, 6, rng.integers(20, 480))) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(docs).collect()
+    n = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert sum(p["length"] for p in pieces) == sum(n.values())
+    sequences = len({p["sequence_id"] for p in pieces})
+    assert len(pieces) < len(texts) + 0.35 * sequences  # plain cutting gives a piece more for each sequence
+    filled = sum(n.values()) / packing.CAPACITY
+    assert sequences < 1.03 * filled + 12

@@ -1,10 +1,13 @@
 """Packing documents into sequences of a fixed length by Karmarkar-Karp multiway differencing.
 
-A document's ids, with an end id, are cut into whole sequences; what is left of it is a part. Parts are gathered until they
-fill GROUP sequences, where the last one is cut. They are divided over as many sequences: each part begins as a partition of
-its own, and the two partitions with the greatest imbalances are merged with the sequences of one in opposite order to the
-other's, until one is left, whose sequences are nearly equal. Only what is over the capacity of a sequence is cut off then, and
-fills those that are short; if it doesn't go in, the number of sequences rises by one and the differencing starts again.
+A document's ids, with an end id, are cut into whole sequences; what is left of it is a part. Parts of up to half a sequence are gathered
+until they fill SMALL sequences, and are divided whole: each part begins as a partition of its own, and the two partitions with the
+greatest imbalances are merged with the sequences of one in opposite order to the other's, until one is left, whose sequences are
+nearly equal. Where one is over the capacity, the number of sequences rises by one and the differencing starts again. So these parts
+are not cut, for a little padding.
+
+Larger parts are too few to a sequence for sums to come out equal. They are gathered until they fill GROUP sequences, where the last
+one is cut, and divided by the same differencing; what is over the capacity of a sequence is cut off and fills those that are short.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import DataFrame
 from thalweg.llm.tokens import default_vocabulary, vocabulary
 
 CAPACITY, END = 1024, 0
-#: Sequences that parts are gathered for.
-GROUP = 128
+#: Sequences that parts are gathered for: those that are cut, and those that stay whole.
+GROUP, SMALL = 128, 64
 #: Sequence ids: the partition's number, shifted by so many bits, and a counter.
 SHIFT = 40
 
@@ -65,45 +68,54 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def divide(sizes: list[int], capacity: int = CAPACITY, k: int | None = None) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (index into ``sizes``, start, length), none over the capacity; each size is at most the capacity."""
-    k = k or max(1, -(-sum(sizes) // capacity))
+def whole_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Lists of indices into ``sizes`` (each at most the capacity) whose sums are nearly equal and none over the capacity: as few as
+    differencing finds, from the least that can hold them on."""
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
-        windows, over = [], []
-        for members in differencing(sizes, k):
-            window = [(i, 0, sizes[i]) for i in sorted(members, key=lambda i: (sizes[i], i))]
-            surplus = sum(n for _, _, n in window) - capacity
-            while surplus > 0:  # the tail of the largest
-                i, _, n = window.pop()
-                if n > surplus:
-                    window.append((i, 0, n - surplus))
-                over.append((i, max(0, n - surplus), min(n, surplus)))
-                surplus -= n
-            windows.append(window)
-        short = sorted(((capacity - sum(n for _, _, n in w), at) for at, w in enumerate(windows)), reverse=True)
-        over.sort(key=lambda x: (-x[2], x[0]))
-        room, at = 0, -1
-        fits = sum(n for n, _ in short) >= sum(n for _, _, n in over)
-        for i, start, n in over if fits else []:
-            while n:
-                if not room:
-                    at += 1
-                    room = short[at][0]
-                size = min(n, room)
-                windows[short[at][1]].append((i, start, size))
-                start, n, room = start + size, n - size, room - size
-        if fits:
-            return [w for w in windows if w]
+        windows = differencing(sizes, k)
+        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
+            return [sorted(w) for w in windows if w]
         k += 1
 
 
+def divide(sizes: list[int], capacity: int = CAPACITY, k: int | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (index into ``sizes``, start, length), none over the capacity; each size is at most the capacity, and ``k``
+    sequences (the least by default) can hold them all."""
+    k = k or max(1, -(-sum(sizes) // capacity))
+    windows, over = [], []
+    for members in differencing(sizes, k):
+        window = [(i, 0, sizes[i]) for i in sorted(members, key=lambda i: (sizes[i], i))]
+        surplus = sum(n for _, _, n in window) - capacity
+        while surplus > 0:  # the tail of the largest
+            i, _, n = window.pop()
+            if n > surplus:
+                window.append((i, 0, n - surplus))
+            over.append((i, max(0, n - surplus), min(n, surplus)))
+            surplus -= n
+        windows.append(window)
+    short = sorted(((capacity - sum(n for _, _, n in w), at) for at, w in enumerate(windows)), reverse=True)
+    over.sort(key=lambda x: (-x[2], x[0]))
+    room, at = 0, -1
+    for i, start, n in over:
+        while n:
+            if not room:
+                at += 1
+                room = short[at][0]
+            size = min(n, room)
+            windows[short[at][1]].append((i, start, size))
+            start, n, room = start + size, n - size, room - size
+    return [w for w in windows if w]
+
+
 def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A null or empty text is its end id alone; a long one is cut into many sequences. Repeated rows are packed as documents of
     their own; null ids pass; further columns are dropped, whatever their names; an empty table gives an empty table. Texts are
-    packed where they are read, without a shuffle; only the last group of each partition may leave a sequence half empty, and a
-    sequence needs no padding where its length is a power of two, so that group's last tokens are cut into such lengths.
+    packed where they are read, without a shuffle. Sequences of parts that stay whole are padded (to the capacity); others are full, but for
+    the last group of each partition, which takes what parts are left over: a sequence needs no padding where its length is a power of
+    two, so that group's last tokens are cut into such lengths.
     """
     path = path or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -115,6 +127,8 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
         made = 0
         parts: list[tuple] = []  # id, start, ids as bytes, tokens of the document
         held = 0
+        small: list[tuple] = []  # parts that stay whole
+        less = 0
         end = np.array([END], dtype="<u4").tobytes()
         id_type = None
 
@@ -168,10 +182,15 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
                 n = len(ids) // 4
                 full = n // capacity * capacity
                 whole += [[(doc, a, ids[4 * a : 4 * (a + capacity)], n)] for a in range(0, full, capacity)]
-                parts.append((doc, full, ids[4 * full :], n))
-                held += n - full
-                if full == n:
-                    parts.pop()
+                if 0 < n - full <= capacity // 2:
+                    small.append((doc, full, ids[4 * full :], n))
+                    less += n - full
+                    if less >= SMALL * capacity:
+                        whole += [[small[i] for i in w] for w in whole_windows([len(r[2]) // 4 for r in small], capacity)]
+                        small, less = [], 0
+                elif full < n:
+                    parts.append((doc, full, ids[4 * full :], n))
+                    held += n - full
                 if held >= GROUP * capacity:
                     last, spare = parts.pop(), held - GROUP * capacity
                     kept = len(last[2]) - 4 * spare
@@ -182,8 +201,8 @@ def pack(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", te
                     whole = []
             if whole:
                 yield emit(whole)
-        if parts:
-            yield emit(settle(parts))
+        if parts or small:
+            yield emit(settle([*parts, *small]))
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)
