@@ -97,6 +97,11 @@ def break_cycles(e: DataFrame, cycle_size: int = 1) -> DataFrame:
 
 def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weights: DataFrame | None = None, efficiency: DataFrame | None = None, dirmap=DIRMAP, cycle_size: int = 1) -> DataFrame:
     """row, col, ``acc``: the weight of a cell and of all that flows into it. ``efficiency`` (row, col, e) scales what leaves a cell."""
+    if routing == "d8" and weights is None and efficiency is None:
+        one, none = F.lit(1.0), F.lit(0.0)
+        nodes = d8_edges(flow, spec, dirmap).select("id", "p", one.alias("s"), one.alias("m"))
+        nodes = nodes.unionByName(flow.where("fdir is null").select(_id(spec).alias("id"), F.lit(None).cast("long").alias("p"), none.alias("s"), one.alias("m")))
+        return _back(forest_sums(nodes, spec).withColumnRenamed("s", "acc"), spec, "acc")
     w = _weights(flow, spec, routing, weights)
     if efficiency is not None:
         w = w.join(efficiency.select(_id(spec).alias("id"), F.col("e").cast("double").alias("m")), "id", "left")
@@ -153,7 +158,8 @@ def distance_to_outlet(x: float, y: float, flow: DataFrame, spec: GridSpec, rout
     pour = _pour(spec, x, y, xytype, snap)
     w = _weights(flow, spec, routing, weights)
     if routing == "d8":
-        nodes = _to_pour(flow, spec, dirmap, pour, False).join(w, "id").select("id", "p", F.col("w").alias("d"))
+        nodes = _to_pour(flow, spec, dirmap, pour, False)  # its cells have data, so each weighs 1
+        nodes = nodes.withColumn("d", F.lit(1.0)) if weights is None else nodes.join(w, "id").select("id", "p", F.col("w").alias("d"))
         return _back(forest_roots(nodes, spec).where(F.col("root") == pour).withColumnRenamed("d", "dist"), spec, "dist")
     e = edges(flow, spec, routing, dirmap)
     if routing == "mfd":
