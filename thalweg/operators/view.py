@@ -107,47 +107,63 @@ def snap_to_mask(mask: DataFrame, points: DataFrame, spec: GridSpec, box: int =
     return best.where("m.dist is not null").select("pid", "x", "y", "m.sx", "m.sy", "m.dist")
 
 
-def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double", band: int = 64) -> DataFrame:
+def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double") -> DataFrame:
     """row, col, ``z``: the value of the last shape (sid, ``ring``: array of (x, y) structs, or ``rings``: an array of such; value, else
     ``default_value``) that holds the cell's centre by the even-odd rule over all its rings, else ``fill``. With ``all_touched`` a shape
     also has the cells that its sides touch; with ``mask`` (row, col) only its cells are burned.
 
-    A shape meets only the cells of its own box, which are dealt in bands of rows, so that a large shape is not one task's work.
+    Each side is met by the rows that it crosses. A row's crossings of a shape, in order, are where it enters and leaves it, so the work
+    is that of the crossings and of the cells inside.
     """
     a, b, c, d, e, f = spec.inverse()
     rings = F.col("rings") if "rings" in shapes.columns else F.array("ring")
     value = F.col("value") if "value" in shapes.columns else F.lit(default_value)
 
     def sides_of(r: Column) -> Column:
-        return F.transform(r, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1))["x"].alias("xj"), F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1))["y"].alias("yj")))
-
-    at = lambda s, x, y: (F.lit(a) * s[x] + F.lit(b) * s[y] + F.lit(c), F.lit(d) * s[x] + F.lit(e) * s[y] + F.lit(f))
-    sides = shapes.select("sid", value.cast(dtype).alias("value"), F.flatten(F.transform(rings, sides_of)).alias("sides"))
-    cols, rows = F.transform("sides", lambda s: at(s, "x", "y")[0]), F.transform("sides", lambda s: at(s, "x", "y")[1])
-    low = lambda v: F.greatest(F.floor(F.array_min(v)), F.lit(0)).cast("int")
-    high = lambda v, n: F.least(F.floor(F.array_max(v)), F.lit(n - 1)).cast("int")
-    s = sides.select("*", low(rows).alias("r0"), high(rows, spec.nrows).alias("r1"), low(cols).alias("c0"), high(cols, spec.ncols).alias("c1")).where("r0 <= r1 and c0 <= c1")
-    bands = s.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r0") / band).cast("int"), F.floor(F.col("r1") / band).cast("int")))).repartition("sid", "__b")
-    met = bands.withColumn("row", F.explode(F.sequence(F.greatest("r0", F.col("__b") * band), F.least("r1", F.col("__b") * band + band - 1)))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    p, q, r, u, v, w = spec.affine
-    cx, cy = F.col("col") + 0.5, F.col("row") + 0.5
-    met = met.withColumn("px", F.lit(p) * cx + F.lit(q) * cy + F.lit(r)).withColumn("py", F.lit(u) * cx + F.lit(v) * cy + F.lit(w))
-
-    def crosses(s: Column) -> Column:
-        apart = (s["y"] > F.col("py")) != (s["yj"] > F.col("py"))
-        return F.when(apart, F.when(F.col("px") < (s["xj"] - s["x"]) * (F.col("py") - s["y"]) / (s["yj"] - s["y"]) + s["x"], 1).otherwise(0)).otherwise(0)
-
-    odd = F.aggregate("sides", F.lit(0), lambda t, s: t + crosses(s)) % 2 == 1
-
-    def touches(s: Column) -> Column:
-        """A side and a cell are apart if they are along a row, along a column or across the side."""
-        (u1, v1), (u2, v2) = at(s, "x", "y"), at(s, "xj", "yj")
-        hu, hv, du, dv = (u1 - u2) / 2, (v1 - v2) / 2, (u1 + u2) / 2 - cx, (v1 + v2) / 2 - cy
-        return (F.abs(du) <= F.abs(hu) + 0.5) & (F.abs(dv) <= F.abs(hv) + 0.5) & (F.abs(du * hv - dv * hu) <= (F.abs(hu) + F.abs(hv)) * 0.5)
-
+        last = lambda i: F.get(r, F.when(i == 0, F.size(r) - 1).otherwise(i - 1))
+        return F.transform(r, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), last(i)["x"].alias("xj"), last(i)["y"].alias("yj")))
+
+    at = lambda x, y: (F.lit(a) * F.col(x) + F.lit(b) * F.col(y) + F.lit(c), F.lit(d) * F.col(x) + F.lit(e) * F.col(y) + F.lit(f))
+    least = lambda p, q, r: F.floor(F.array_min(F.transform(F.flatten(rings), lambda s: F.lit(p) * s["x"] + F.lit(q) * s["y"] + F.lit(r))))
+    sides = shapes.select("sid", value.cast(dtype).alias("value"), least(a, b, c).alias("c_least"), least(d, e, f).alias("r_least"), F.explode(F.flatten(F.transform(rings, sides_of))).alias("s")).select("sid", "value", "c_least", "r_least", "s.*")
+    (u1, v1), (u2, v2) = at("x", "y"), at("xj", "yj")
+    sides = sides.select("*", u1.alias("u"), v1.alias("v"), u2.alias("uj"), v2.alias("vj")).where("u is not null and v is not null and uj is not null and vj is not null")
+    turned = bool(spec.affine[1] or spec.affine[3])
+    if turned:  # rows are no lines of equal y there, so cells are the units
+        sides = sides.withColumns({"x": F.col("u"), "y": F.col("v"), "xj": F.col("uj"), "yj": F.col("vj")})
+    (dx, x0), (dy, y0) = ((1.0, 0.0), (1.0, 0.0)) if turned else ((spec.affine[0], spec.affine[2]), (spec.affine[4], spec.affine[5]))
+    low, high = F.least("v", "vj"), F.greatest("v", "vj")
+
+    def in_rows(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        first, last = F.greatest(first, F.lit(0)).cast("long"), F.least(last, F.lit(spec.nrows - 1)).cast("long")
+        return df.withColumns({"r0": first, "r1": last}).where("r0 <= r1").withColumn("row", F.explode(F.sequence("r0", "r1")))
+
+    py = (F.col("row") + 0.5) * dy + y0
+    across = in_rows(sides, F.floor(low - 0.5), F.ceil(high - 0.5)).where((F.col("y") > py) != (F.col("yj") > py))
+    cross = (F.col("xj") - F.col("x")) * (py - F.col("y")) / (F.col("yj") - F.col("y")) + F.col("x")
+    middle = lambda k: (k + 0.5) * dx + x0
+    before = lambda k: (middle(k) < F.col("cross")) if dx > 0 else (middle(k) >= F.col("cross"))  # noqa: E731  whether a column comes before the crossing
+    near = F.ceil((F.col("cross") - x0) / dx - 0.5)
+    across = across.select("sid", "value", "row", cross.alias("cross")).withColumn("k", near)
+    k = F.when(~before(F.col("k") - 1), F.col("k") - 1).when(before(F.col("k")), F.col("k") + 1).otherwise(F.col("k"))  # rounding may be one off
+    spans = across.select("sid", "value", "row", F.least(F.greatest(k, F.lit(0)), F.lit(spec.ncols)).cast("int").alias("k")).groupBy("sid", "value", "row").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ks") - 2, F.lit(2)), lambda i: F.struct(F.get("ks", i).alias("a"), F.get("ks", i + 1).alias("b")))
+    filled = spans.where(F.size("ks") >= 2).select("sid", "value", "row", F.explode(pairs).alias("p")).where("p.a < p.b")
+    burned = filled.select("sid", "value", "row", F.explode(F.sequence(F.col("p.a"), F.col("p.b") - 1)).alias("col"))
     if all_touched:
-        odd = odd | F.exists("sides", touches)
-    hit = met.where(odd).groupBy(F.col("row").cast("long").alias("row"), "col").agg(F.max_by("value", "sid").alias("z"))
+        # of a row, the columns that a side spans while it is in it, and one beside; then a side and a cell are apart if they are along a
+        # row, along a column or across the side
+        met = in_rows(sides, F.greatest(F.ceil(low) - 1, F.col("r_least")), F.floor(high))
+        slope = F.when(F.col("vj") != F.col("v"), (F.col("uj") - F.col("u")) / (F.col("vj") - F.col("v")))
+        ends = [F.col("u") + slope * (F.least(F.greatest(F.col("row") + h, low), high) - F.col("v")) for h in (0, 1)]
+        first, last = F.coalesce(F.least(*ends), F.least("u", "uj")), F.coalesce(F.greatest(*ends), F.greatest("u", "uj"))
+        met = met.withColumns({"c0": F.greatest(F.floor(first) - 1, F.col("c_least"), F.lit(0)).cast("int"), "c1": F.least(F.floor(last) + 1, F.lit(spec.ncols - 1)).cast("int")}).where("c0 <= c1")
+        met = met.withColumn("col", F.explode(F.sequence("c0", "c1")))
+        hu, hv = (F.col("u") - F.col("uj")) / 2, (F.col("v") - F.col("vj")) / 2
+        du, dv = (F.col("u") + F.col("uj")) / 2 - (F.col("col") + 0.5), (F.col("v") + F.col("vj")) / 2 - (F.col("row") + 0.5)
+        touches = (F.abs(du) <= F.abs(hu) + 0.5) & (F.abs(dv) <= F.abs(hv) + 0.5) & (F.abs(du * hv - dv * hu) <= (F.abs(hu) + F.abs(hv)) * 0.5)
+        burned = burned.unionByName(met.where(touches).select("sid", "value", "row", "col"))
+    hit = burned.groupBy("row", "col").agg(F.max_by("value", "sid").alias("z"))
     if mask is not None:
         hit = hit.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
     grid = shapes.sparkSession.range(spec.size).select(F.floor(F.col("id") / spec.ncols).cast("long").alias("row"), F.pmod("id", F.lit(spec.ncols)).cast("int").alias("col"))
