@@ -107,12 +107,12 @@ def snap_to_mask(mask: DataFrame, points: DataFrame, spec: GridSpec, box: int =
     return best.where("m.dist is not null").select("pid", "x", "y", "m.sx", "m.sy", "m.dist")
 
 
-def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double") -> DataFrame:
+def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched: bool = False, default_value: float = 1.0, mask: DataFrame | None = None, dtype: str = "double", band: int = 64) -> DataFrame:
     """row, col, ``z``: the value of the last shape (sid, ``ring``: array of (x, y) structs, or ``rings``: an array of such; value, else
     ``default_value``) that holds the cell's centre by the even-odd rule over all its rings, else ``fill``. With ``all_touched`` a shape
     also has the cells that its sides touch; with ``mask`` (row, col) only its cells are burned.
 
-    Each side is met by the rows that it crosses. A row's crossings of a shape, in order, are where it enters and leaves it, so the work
+    Each side is dealt to bands of rows, and met by the rows that it crosses. A row's crossings of a shape, in order, are where it enters and leaves it, so the work
     is that of the crossings and of the cells inside.
     """
     a, b, c, d, e, f = spec.inverse()
@@ -136,7 +136,8 @@ def rasterize(shapes: DataFrame, spec: GridSpec, fill: float = 0.0, all_touched:
 
     def in_rows(df: DataFrame, first: Column, last: Column) -> DataFrame:
         first, last = F.greatest(first, F.lit(0)).cast("long"), F.least(last, F.lit(spec.nrows - 1)).cast("long")
-        return df.withColumns({"r0": first, "r1": last}).where("r0 <= r1").withColumn("row", F.explode(F.sequence("r0", "r1")))
+        dealt = df.withColumns({"r0": first, "r1": last}).where("r0 <= r1").withColumn("__b", F.explode(F.sequence(F.floor(F.col("r0") / band), F.floor(F.col("r1") / band)))).repartition("sid", "__b")
+        return dealt.withColumn("row", F.explode(F.sequence(F.greatest("r0", F.col("__b") * band), F.least("r1", F.col("__b") * band + band - 1))))
 
     py = (F.col("row") + 0.5) * dy + y0
     across = in_rows(sides, F.floor(low - 0.5), F.ceil(high - 0.5)).where((F.col("y") > py) != (F.col("yj") > py))
