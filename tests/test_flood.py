@@ -134,8 +134,8 @@ CASES = [(1, 7, 8, 0, False, False), (2, 8, 7, 6, False, False), (3, 9, 9, 0, Tr
 @pytest.mark.parametrize("limit", [10_000, 3])
 def test_flood(spark, case, limit):
     seed, nr, nc, steps, holes, open_rim = case
-    if limit == 3 and seed in (2, 5):
-        pytest.skip("rounds are slow; three cases are enough")
+    if limit == 3 and seed not in (1, 4):
+        pytest.skip("rounds are slow; two cases are enough")
     z, rng = grid(seed, nr, nc, steps, holes)
     spec = GridSpec(nr, nc)
     cells = spark.createDataFrame([(i // nc, i % nc, v) for i, v in enumerate(z)], "row int, col int, z double")
