@@ -1,7 +1,8 @@
 """Operators along flow paths: accumulation, catchments, distances, height above drainage, streams.
 
-D8 rasters are forests and are solved tile by tile, then between tiles by pointer doubling. D-infinity and MFD rasters are
-graphs without cycles and go by rounds that carry only what changed.
+D8 rasters are forests and are solved tile by tile, then between tiles by pointer doubling. Accumulation and distance to ridge of D-infinity
+and MFD rasters, graphs without cycles, are solved tile by tile too, then between tiles by peeling; the rest go by rounds that
+carry only what changed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import DIRMAP, cell_id, on_rim
 from thalweg.operators.terrain import d8_edges, edges
-from thalweg.plans.loops import peeled, pinned, relaxed, roots
+from thalweg.plans.graphs import graph_carried
+from thalweg.plans.loops import pinned, relaxed, roots
 from thalweg.plans.paths import forest_most, forest_roots, forest_sums
 from thalweg.spec import GridSpec
 
@@ -115,7 +117,7 @@ def accumulation(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, weight
     if routing == "dinf":
         e = break_cycles(pinned(e, "edges"), cycle_size)
     e = e.join(w.select("id", "m"), "id").select(F.col("id").alias("src"), "dst", (F.col("prop") * F.col("m")).alias("m"))
-    return _back(peeled(w.select("id", F.col("w").alias("s")), e).withColumnRenamed("s", "acc"), spec, "acc")
+    return _back(graph_carried(w.select("id", F.col("w").alias("s")), e, spec).withColumnRenamed("s", "acc"), spec, "acc")
 
 
 def _pour(spec: GridSpec, x: float, y: float, xytype: str, snap: str) -> int:
@@ -179,7 +181,9 @@ def distance_to_ridge(flow: DataFrame, spec: GridSpec, routing: str = "d8", *, w
     if routing == "dinf":
         e = break_cycles(pinned(e, "edges"), cycle_size)
     e = e.join(w.select(F.col("id").alias("dst"), "w"), "dst").select(F.col("id").alias("src"), "dst", F.col("w").alias("m"))
-    return _back(peeled(w.select("id", F.lit(0.0).alias("s")), e, greatest=True).withColumnRenamed("s", "dist"), spec, "dist")
+    if weights is not None:  # cells without a weight send nothing
+        e = e.join(w.select(F.col("id").alias("src")), "src", "left_semi")
+    return _back(graph_carried(w.select("id", F.lit(0.0).alias("s")), e, spec, greatest=True).withColumnRenamed("s", "dist"), spec, "dist")
 
 
 def compute_hand(flow: DataFrame, cells: DataFrame, mask: DataFrame, spec: GridSpec, routing: str = "d8", *, dirmap=DIRMAP) -> DataFrame:

@@ -96,10 +96,15 @@ def peeled(amounts: DataFrame, edges: DataFrame, greatest: bool = False) -> Data
     """Of ``amounts`` (id, s) and ``edges`` (src, dst, m): id and ``s`` with all that reaches it: amounts times shares added, or the
     greatest of amounts plus costs. A node sends on once all that leads to it has, so those on cycles and below keep what has
     reached them by then. A round carries the nodes that wait; those that have sent leave."""
+    return _together(list(peel(amounts, edges, greatest)))
+
+
+def peel(amounts: DataFrame, edges: DataFrame, greatest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``peeled``, but those that all has reached, and apart from them those on cycles and below."""
     edges = pinned(edges.select("src", "dst", "m"), "edges")
     need = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
     waiting = pinned(amounts.select("id", "s").join(need, "id", "left").select("id", "s", F.coalesce("need", F.lit(0)).alias("need")), "waiting")
-    done: list[DataFrame] = []
+    done: list[DataFrame] = [waiting.where("need < 0").select("id", "s")]
     while True:
         ready = waiting.where("need = 0")
         if ready.isEmpty():
@@ -111,7 +116,7 @@ def peeled(amounts: DataFrame, edges: DataFrame, greatest: bool = False) -> Data
         sent = ready.join(edges, ready.id == edges.src).groupBy(F.col("dst").alias("id")).agg(value.alias("g"), F.count("*").alias("c"))
         reached = F.greatest("s", "g") if greatest else F.col("s") + F.coalesce("g", F.lit(0.0))
         waiting = pinned(waiting.where("need > 0").join(sent, "id", "left").select("id", reached.alias("s"), (F.col("need") - F.coalesce("c", F.lit(0))).alias("need")), "waiting")
-    return _together([*done, waiting.select("id", "s")])
+    return _together(done), waiting.select("id", "s")
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:
