@@ -27,6 +27,86 @@ def test_crowded_keys_lose_no_link(spark):
         assert found == want  # pairs, so that what connects them is all of them
 
 
+def apart(band):
+    """A few bins that, beside those that ``band`` samples next, hold one at least of those that each further band samples first."""
+    first = [set(b[1][: fingerprints.SAMPLED].tolist()) for b in fingerprints._bands()[: fingerprints.BANDS]]
+    order = fingerprints._bands()[band][1].tolist()
+    out = order[fingerprints.SAMPLED : fingerprints.SAMPLED + fingerprints.NEXT]
+    rest = [b for k, b in enumerate(first) if k != band and not b & set(out)]
+    while rest:
+        best = max((x for x in range(fingerprints.BINS) if x not in first[band]), key=lambda x: sum(x in b for b in rest))
+        out, rest = [*out, best], [b for b in rest if best not in b]
+    return np.array(out)
+
+
+def classes_of(spark, rows):
+    prints = [((r[0::2] << 4) | r[1::2]).tobytes() for r in rows]
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, fingerprint binary")
+
+
+def roots_of(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        last = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == last:
+            return root
+
+
+def test_pairs_that_meet_in_a_crowded_key_alone(spark):
+    """Their next bins differ, and no other band brings them together."""
+    rng = np.random.default_rng(11)
+    other = apart(0)
+    rows = rng.integers(1, 16, (460, fingerprints.BINS), dtype=np.uint8)
+    rows[:, fingerprints._bands()[0][1][: fingerprints.SAMPLED]] = 5
+    rows[400:] = rows[:60]
+    rows[400:, other] = 1 + rows[400:, other] % 15
+    want = {(i, j) for i in range(460) for j in np.flatnonzero(fingerprints.likeness(rows[i : i + 1], rows[i + 1 :]) >= 0.8) + i + 1}
+    assert {(k, 400 + k) for k in range(60)} <= want
+    for limits in ({"crowd": 32, "whole": 100}, {"crowd": 32, "whole": 1000}):
+        found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in fingerprints.near_pairs(classes_of(spark, rows), **limits).collect()}
+        assert found == want
+
+
+def test_strays_of_a_large_class_in_a_crowded_key(spark):
+    """Half of them are like one text of the class alone, which shares no other band with them."""
+    rng = np.random.default_rng(12)
+    key = fingerprints._bands()[0][1][: fingerprints.SAMPLED]
+    other = apart(0)
+    free = np.setdiff1d(np.arange(fingerprints.BINS), np.concatenate((key, other)))
+    rows = np.repeat(rng.integers(1, 16, (1, fingerprints.BINS), dtype=np.uint8), 240, axis=0)
+    for k in range(200):  # the class: about 40 bins between two of them
+        at = rng.permutation(free)[:20]
+        rows[k, at] = 1 + (rows[k, at] + rng.integers(0, 14, 20)) % 15
+    for k in range(200, 240):
+        rows[k] = rows[k - 200]
+        at = np.concatenate((other, rng.permutation(free)[: 47 - len(other) + (k % 2) * 40]))
+        rows[k, at] = 1 + (rows[k, at] + rng.integers(0, 14, len(at))) % 15
+    like = [(i, j) for i in range(240) for j in np.flatnonzero(fingerprints.likeness(rows[i : i + 1], rows[i + 1 :]) >= 0.8) + i + 1]
+    want = roots_of(240, like)
+    assert want[:200] == [0] * 200 and 20 <= sum(want[k] == 0 for k in range(200, 240)) < 40
+    found = [(r["a"], r["b"]) for r in fingerprints.near_pairs(classes_of(spark, rows), crowd=16, whole=50).collect()]
+    assert {(min(p), max(p)) for p in found} <= set(like) and roots_of(240, found) == want
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.8, 0.95])
+def test_links_connect_what_all_do(threshold):
+    rng = np.random.default_rng(13)
+    rows = rng.integers(0, 16, (40, fingerprints.BINS), dtype=np.uint8)[rng.integers(0, 40, 300)]
+    rows[rng.random(rows.shape) < rng.choice([0, 0.05, 0.1, 0.3], (300, 1))] = 3
+    rows[:100, 20:] = 0  # short ones
+    roots, sides = rng.integers(0, 150, 300), rng.integers(0, 2, 300)
+    like = np.stack([fingerprints.likeness(r[None], rows) for r in rows]) >= threshold
+    own = [(min(np.flatnonzero(roots == r)), k) for k, r in enumerate(roots)]
+    all_of = [(a, b) for a, b in zip(*np.nonzero(like), strict=True) if a < b]
+    across = [(a, b) for a, b in all_of if sides[a] != sides[b]]
+    assert roots_of(300, [x[:2] for x in fingerprints.linked(rows, threshold)]) == roots_of(300, all_of)
+    for pairs, s in ((all_of, None), (across, sides)):
+        got = [x[:2] for x in fingerprints.linked(rows, threshold, roots, s)]
+        assert {(min(p), max(p)) for p in got} <= set(pairs) and roots_of(300, [*got, *own]) == roots_of(300, [*pairs, *own])
+
+
 @pytest.mark.parametrize("page", ["<div>" * 100_000, "<ul><li>x" * 30_000, "<div>words of text " * 30_000, "<p><table><td>x" * 15_000, "<div>" * 30_000 + "</p></b></zz>" * 30_000])
 def test_deep_nesting_is_linear(page):
     began = time.process_time()

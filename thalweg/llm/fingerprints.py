@@ -239,12 +239,12 @@ def fingerprint_chain(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 BANDS, SAMPLED = 32, 8
 SHORT, SHORT_BANDS, SHORT_SAMPLED = 24, 16, 2
 THRESHOLD = 0.8
-#: So many fingerprints of a band's key are searched in one go; more are dealt to searches by bins that the band samples next.
+#: So many fingerprints of a band's key are searched in one go; of more a first search, dealt by bins that the band samples next, finds
+#: what it can, and a second one compares whatever that hasn't connected.
 CROWD, NEXT = 2048, 3
-#: Fingerprints of a crowded key that join all its searches.
+#: Fingerprints of a crowded key that join all its first searches.
 PIVOTS = 4
-#: So many fingerprints that meet in one search after that are compared whole; more are dealt to blocks, and each pair of blocks is
-#: a search, so that none is left out.
+#: So many fingerprints at most, about, in one search of a crowded key.
 WHOLE = 8 * CROWD
 
 
@@ -283,39 +283,117 @@ def band_keys(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def linked(rows: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+#: Up to so many rows are compared bin by bin, more by planes of bits first.
+_PLAIN = 64
+
+
+def _planes(rows: np.ndarray) -> np.ndarray:
+    """The codes of ``rows`` by bits: 64 bins to a word, four words to a bit, a column to a row."""
+    bits = [np.packbits(rows >> k & 1, axis=1).view(np.uint64) for k in range(4)]
+    return np.ascontiguousarray(np.concatenate(bits, axis=1).T)
+
+
+def _differing(one: np.ndarray, planes: np.ndarray, word: int) -> np.ndarray:
+    """In how many of the bins of a word the row ``one`` differs from each of ``planes``."""
+    differ = planes[word] ^ one[word]
+    bit = np.empty_like(differ)
+    for k in range(word + 4, 16, 4):
+        np.bitwise_or(differ, np.bitwise_xor(planes[k], one[k], out=bit), out=differ)
+    return np.bitwise_count(differ)
+
+
+def _close(one: np.ndarray, planes: np.ndarray, most: float) -> np.ndarray:
+    """Which of ``planes`` differ from the row ``one`` in at most so many bins."""
+    at = np.flatnonzero(_differing(one, planes, 0) <= most)
+    if 4 * len(at) < planes.shape[1]:
+        planes = planes[:, at]
+        return at[sum(_differing(one, planes, w).astype(np.int16) for w in range(4)) <= most]
+    return np.flatnonzero(sum(_differing(one, planes, w).astype(np.int16) for w in range(4)) <= most)
+
+
+def linked(rows: np.ndarray, threshold: float, roots: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Links of likeness ``threshold`` or more that connect just what all such links between ``rows`` connect.
 
-    Each row that is reached is compared with all that aren't reached yet, so like rows cost one comparison each.
+    Each row that is reached is compared with all that aren't reached yet, so like rows cost one comparison each. Rows of one of ``roots``
+    count as connected. Where ``sides`` (0 and 1) are given, only rows of different ones are compared.
     """
-    out = []
-    rest, todo = np.arange(1, len(rows)), [0]
-    while len(rest):
-        if not todo:
-            todo, rest = [int(rest[0])], rest[1:]
+    n = len(rows)
+    # like rows differ in few of the bins that either fills, so those differing in more need no closer look
+    most = BINS * (1 - (threshold * (1 - 1 / CODES) + 1 / CODES)) + 1 if threshold > 0 else BINS
+    planes = _planes(rows) if n > _PLAIN else None
+    away = np.ones(n, dtype=bool)
+    pools = [np.arange(n)] if sides is None else [np.flatnonzero(sides == s) for s in (0, 1)]
+    words = [None if planes is None else planes[:, pool] for pool in pools]
+    out, todo, left = [], [], [len(pool) for pool in pools]
+
+    def reach(found):
+        if roots is not None and len(found):
+            found = np.flatnonzero(away & np.isin(roots, roots[found]))
+        away[found] = False
+        todo.extend(found.tolist())
+        for s in range(len(pools)):
+            left[s] -= len(found) if sides is None else np.count_nonzero(sides[found] == s)
+            if 4 * left[s] < 3 * len(pools[s]):
+                stay = away[pools[s]]
+                pools[s] = pools[s][stay]
+                words[s] = None if planes is None else words[s][:, stay]
+
+    for start in range(n):
+        if not away[start]:
             continue
-        k = todo.pop()
-        like = likeness(rows[k : k + 1], rows[rest])
-        near = like >= threshold
-        out += [(k, b, x) for b, x in zip(rest[near].tolist(), like[near].tolist(), strict=True)]
-        todo += rest[near].tolist()
-        rest = rest[~near]
+        reach(np.array([start]))
+        while todo and sum(left):
+            k = todo.pop()
+            s = 0 if sides is None else 1 - int(sides[k])
+            if not left[s]:
+                continue
+            some = pools[s] if planes is None else pools[s][_close(planes[:, k], words[s], most)]
+            some = some[away[some]]
+            if not len(some):
+                continue
+            like = likeness(rows[k : k + 1], rows[some])
+            near = like >= threshold
+            if near.any():
+                out += [(k, b, x) for b, x in zip(some[near].tolist(), like[near].tolist(), strict=True)]
+                reach(some[near])
+        if not sum(left):
+            break
     return out
 
 
 SEARCH = ["key", "part", "pair"]
 
 
-def _in_blocks(members: DataFrame, whole: int) -> DataFrame:
-    """``members`` (key, part, node) with ``pair``: 0, or, where over ``whole`` share key and part, each pair of blocks that they are in."""
+def _pieces(members: DataFrame, whole: int) -> DataFrame:
+    """``members`` (key, part, node, parts) with ``pair``: 0, or, where over ``whole`` share key and part, the piece that they are dealt to."""
     sizes = members.groupBy("key", "part").agg(F.count("*").alias("n")).where(F.col("n") > whole)
-    blocks = materialise(sizes.select(F.struct("key", "part").alias("kp"), "n", F.ceil(2 * F.col("n") / whole).cast("long").alias("blocks")), "crowds")
-    if blocks.isEmpty():
-        return members.select("key", "part", F.lit(0).cast("long").alias("pair"), "node")
-    found = join_groups(members.withColumn("kp", F.struct("key", "part")), blocks, "kp", "n")
-    own = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other))
-    return found.select("key", "part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "node")
+    large = materialise(sizes.select(F.struct("key", "part").alias("kp"), "n", F.ceil(F.col("n") / whole).alias("pieces")), "crowds")
+    found = join_groups(members.withColumn("kp", F.struct("key", "part")), large, "kp", "n")
+    return found.select("key", "part", F.coalesce(F.pmod(F.xxhash64(F.lit(SEED), "node"), "pieces"), F.lit(0)).cast("long").alias("pair"), "node")
+
+
+def _unconnected(members: DataFrame, links: DataFrame, whole: int) -> DataFrame:
+    """Searches that compare all ``members`` (key, node) of a key that ``links`` don't connect: key, part, pair, node, side and root.
+
+    A key whose members are one component needs none. The others' members are dealt to blocks of half of ``whole``, those of a component
+    larger than a block to blocks of its own. Each pair of blocks is a search of one against the other, and each block one of its own;
+    only blocks of that component needn't meet each other.
+    """
+    roots = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top")).where("most < n")
+    half, large = F.lit(max(1, whole // 2)), F.col("most") > whole // 2
+    keys = keys.select("key", "n", F.when(large, F.col("top")).alias("top"), F.ceil(F.when(large, F.col("n") - F.col("most")).otherwise(F.col("n")) / half).alias("rest"), F.when(large, F.ceil(F.col("most") / half)).otherwise(0).alias("tops"))
+    found = join_groups(rooted, materialise(keys, "unconnected"), "key", "n").where("n is not null")
+    deal, count = F.xxhash64(F.lit(SEED), "node"), lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda x: x < n)
+    own, at_top = F.pmod(deal, "rest"), F.coalesce(F.col("root") == F.col("top"), F.lit(False))
+    search = lambda part, pair, side: F.struct(part.cast("long").alias("part"), pair.cast("long").alias("pair"), side.cast("byte").alias("side"))
+    among = F.transform(count(F.col("rest")), lambda x: search(F.least(own, x), F.greatest(own, x), F.when(own != x, (own > x).cast("int"))))
+    with_top = F.transform(count(F.col("tops")), lambda x: search(own, F.col("rest") + x, F.lit(0)))
+    of_top = F.transform(count(F.col("rest")), lambda x: search(x, F.col("rest") + F.pmod(deal, F.greatest("tops", F.lit(1))), F.lit(1)))
+    return found.select("key", F.explode(F.when(at_top, of_top).otherwise(F.concat(among, with_top))).alias("s"), "node", "root").select("key", "s.part", "s.pair", "node", "s.side", "root")
 
 
 def near_pairs(classes: DataFrame, *, threshold: float = THRESHOLD, crowd: int = CROWD, whole: int = WHOLE) -> DataFrame:
@@ -325,9 +403,10 @@ def near_pairs(classes: DataFrame, *, threshold: float = THRESHOLD, crowd: int =
     ones that a fingerprint fills, so bins without a step never bring unlike texts together; two fingerprints meet in a
     band of SAMPLED bins with a chance of about the share of bins that agree to that power, about 0.998 in all at likeness
     0.8. All that meet in a band are searched for links: of those at or above ``threshold`` as many are returned as connect
-    what all of them connect, so there are fewer links than members. Where over ``crowd`` fingerprints meet in a key they are dealt by
-    the bins that the band samples next, with PIVOTS of them in every search, so like ones meet again. Where over ``whole`` still meet,
-    they are dealt to blocks and each pair of blocks is searched, so a search is bounded and nothing that meets is left out.
+    what all of them connect. Where over ``crowd`` fingerprints meet in a key they are first dealt by the bins that the band samples next,
+    with PIVOTS of them in every search, and by number where over ``whole`` still meet: that takes time in proportion. Members of a key
+    that no links connect then are all compared with each other, as pairs of blocks, so a search is bounded and nothing that meets is
+    left out; where most are unlike that takes time with the square of their number.
     Returns ``a``, ``b`` (nodes) and ``likeness``; a link may come from several bands.
     """
 
@@ -352,40 +431,46 @@ def near_pairs(classes: DataFrame, *, threshold: float = THRESHOLD, crowd: int =
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("parts"), pa.array(more), batch.column("node")], ["key", "parts", "more", "node"])
 
     def search(batches):
-        key, nodes, prints = None, [], []
+        key, held = None, []
         for batch in batches:
             found = []
-            for k, part, pair, node, print_ in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for k, part, pair, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (k, part, pair) != key:
-                    found += done(nodes, prints)
-                    key, nodes, prints = (k, part, pair), [], []
-                nodes.append(node)
-                prints.append(print_)
+                    found += done(held)
+                    key, held = (k, part, pair), []
+                held.append(row)
             yield table(found)
-        yield table(done(nodes, prints))
+        yield table(done(held))
 
-    def done(nodes, prints):
-        return [(nodes[a], nodes[b], x) for a, b, x in linked(rows_of(prints), threshold)]
+    def done(held):
+        if not held:
+            return []
+        nodes, prints, *more = zip(*held, strict=True)
+        sides = np.array(more[0]) if more and more[0][0] is not None else None
+        return [(nodes[a], nodes[b], x) for a, b, x in linked(rows_of(prints), threshold, np.array(more[1]) if more else None, sides)]
 
     def table(found):
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
 
+    def searched(members, *more):
+        members = members.join(classes.select("node", "fingerprint"), "node").select(*SEARCH, "node", "fingerprint", *more)
+        return members.repartition(*SEARCH).sortWithinPartitions(*SEARCH, "node").mapInArrow(search, "a long, b long, likeness double")
+
     # worked out twice rather than written: there are 32 keys to a fingerprint
     keys = classes.select("node", "fingerprint").mapInArrow(keyed, "node long, key long, band byte")
     met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / crowd))
     found = join_groups(keys, materialise(met, "met"), "key", "n").where("n is not null")
     found = materialise(found.select("key", "band", "parts", "node"), "members")
     members, crowded = found.where("parts = 1").select("key", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("pair"), "node"), found.where("parts > 1")
-    if not crowded.isEmpty():
-        more = crowded.join(classes.select("node", "fingerprint"), "node").select("key", "band", "parts", "node", "fingerprint").mapInArrow(dealt_further, "key long, parts long, more long, node long")
-        crowded = materialise(more.select("key", F.pmod(F.xxhash64("more"), "parts").alias("part"), "parts", "node"), "crowded")
-        ends = [F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(PIVOTS)]
-        pivots = crowded.groupBy("key", "parts").agg(F.array_distinct(F.array(*ends)).alias("pivots"))
-        pivots = pivots.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "pivots")
-        dealt = crowded.select("key", "part", "node").unionByName(pivots.select("key", "part", F.explode("pivots").alias("node"))).distinct()
-        members = members.unionByName(_in_blocks(dealt, whole))
-    members = members.join(classes.select("node", "fingerprint"), "node").select(*SEARCH, "node", "fingerprint")
-    return members.repartition(*SEARCH).sortWithinPartitions(*SEARCH, "node").mapInArrow(search, "a long, b long, likeness double")
+    if crowded.isEmpty():
+        return searched(members)
+    more = crowded.join(classes.select("node", "fingerprint"), "node").select("key", "band", "parts", "node", "fingerprint").mapInArrow(dealt_further, "key long, parts long, more long, node long")
+    crowded = materialise(_pieces(more.select("key", F.pmod(F.xxhash64("more"), "parts").alias("part"), "node"), whole), "crowded")
+    ends = [F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(PIVOTS)]
+    pivots = crowded.groupBy("key").agg(F.array_distinct(F.array(*ends)).alias("pivots"))
+    pivots = crowded.select("key", "part", "pair").distinct().join(pivots, "key").select(*SEARCH, F.explode("pivots").alias("node"))
+    links = materialise(searched(members.unionByName(crowded.unionByName(pivots).distinct())), "links")
+    return links.unionByName(searched(_unconnected(crowded.select("key", "node"), links, whole), "side", "root"))
 
 
 def fingerprint_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **kw) -> DataFrame:
