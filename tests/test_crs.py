@@ -56,6 +56,34 @@ def test_raster_in_a_zone(spark):
         assert r["z"] == (z[at] if inside else None)
 
 
+def beyond_the_pole(spark, crs):
+    """A raster from 89.05 degrees south to 20 degrees beyond the pole, and where its rows before the pole have their corners."""
+    nr, nc = 420, 3
+    z = np.random.default_rng(1).random((nr, nc))
+    spec = GridSpec(nr, nc, (0.05, 0.0, -97.0, 0.0, -0.05, -89.05))
+    got, target = view.to_crs(cells(spark, z)[0], spec, crs)
+    outline = [transform_point(*spec.xy(r, c), "EPSG:4326", crs) for r in range(19) for c in range(nc + 1)]
+    assert np.allclose((target.affine[2], target.affine[5]), (min(p[0] for p in outline), max(p[1] for p in outline)), rtol=1e-12)
+    rows = got.collect()
+    assert (target.nrows, target.ncols, len(rows)) == (nr, nc, nr * nc)
+    for r in rows:
+        x, y = transform_point(*target.xy(r["row"], r["col"]), crs, "EPSG:4326")
+        at = round((-89.05 - y) / 0.05), round((x + 97.0) / 0.05)
+        inside = 0 <= at[0] < nr and 0 <= at[1] < nc
+        assert r["z"] == (z[at] if inside else None)
+    return target, outline, {r["z"] for r in rows} - {None}, z
+
+
+def test_mercator_of_a_raster_beyond_the_pole(spark):
+    """The pole and what is beyond it have no place there; every row before it has."""
+    target, outline, found, z = beyond_the_pole(spark, "EPSG:3857")
+    assert np.isclose(target.xy(target.nrows, 0)[1], min(p[1] for p in outline), rtol=1e-12)
+    assert found >= set(z[:19].ravel())
+    spec = GridSpec(3, 2, (1.0, 0.0, 0.0, 0.0, -1.0, -100.0))
+    with pytest.raises(ValueError, match="no point"):
+        view.to_crs(cells(spark, z[:3, :2])[0], spec, "EPSG:3857")
+
+
 CLARKE = "+proj=longlat +ellps=clrk66"
 
 

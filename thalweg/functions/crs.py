@@ -249,9 +249,14 @@ def _transformed(m, x, y, source: str, target: str):
 
 
 def transform(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Columns ``x``, ``y`` of ``source`` in ``target``. Transverse Mercator is good to a millimetre some ten degrees about its meridian."""
+    """Columns ``x``, ``y`` of ``source`` in ``target``. Transverse Mercator is good to a millimetre some ten degrees about its meridian.
+    A latitude beyond a pole is no place and gives null, as do places that the formula has no value for."""
+    if source != target and system(source).kind == "degrees":
+        y = F.when(F.abs(y) <= 90, y)
     return _transformed(F, x, y, source, target)
 
 
 def transform_point(x: float, y: float, source: str, target: str) -> tuple[float, float]:
+    if source != target and system(source).kind == "degrees" and abs(y) > 90:
+        raise ValueError(f"latitude {y} is beyond a pole")
     return _transformed(math, x, y, source, target)

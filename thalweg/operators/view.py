@@ -14,12 +14,16 @@ from thalweg.plans.loops import pinned
 from thalweg.spec import GridSpec
 
 
+def _corner(spec: GridSpec) -> tuple[Column, Column]:
+    """(x, y) of the corner of the cell at row, col."""
+    a, b, c, d, e, f = spec.affine
+    col, row = F.col("col").cast("double"), F.col("row").cast("double")
+    return F.lit(a) * col + F.lit(b) * row + F.lit(c), F.lit(d) * col + F.lit(e) * row + F.lit(f)
+
+
 def _source(spec: GridSpec, target: GridSpec) -> tuple[Column, Column]:
     """Fractional (row, col) in ``spec`` of the target's cells."""
-    a, b, c, d, e, f = target.affine
-    col, row = F.col("col").cast("double"), F.col("row").cast("double")
-    x, y = F.lit(a) * col + F.lit(b) * row + F.lit(c), F.lit(d) * col + F.lit(e) * row + F.lit(f)
-    x, y = transform(x, y, target.crs, spec.crs)
+    x, y = transform(*_corner(target), target.crs, spec.crs)
     a, b, c, d, e, f = spec.inverse()
     return F.lit(d) * x + F.lit(e) * y + F.lit(f), F.lit(a) * x + F.lit(b) * y + F.lit(c)
 
@@ -36,7 +40,9 @@ def view(cells: DataFrame, spec: GridSpec, target: GridSpec, interpolation: str
     at = grid.select("row", "col", sr.alias("sr"), sc.alias("sc"))
     data = cells.select(F.col("row").cast("long").alias("r"), F.col("col").cast("int").alias("c"), F.col(value).alias("v"))
     if interpolation == "nearest":
-        at = at.select("row", "col", F.rint("sr").cast("long").alias("r"), F.rint("sc").cast("int").alias("c"))
+        # what has no place, or is too far off for an integer, meets no cell
+        near = lambda at, own: F.rint(F.least(F.greatest(F.coalesce(at, -1.0 - F.col(own)), F.lit(1.0 - 2**31)), F.lit(2**31 - 1.0)))
+        at = at.select("row", "col", near("sr", "row").cast("long").alias("r"), near("sc", "col").cast("int").alias("c"))
         return at.join(data, ["r", "c"], "left").select("row", "col", F.col("v").alias(value))
     inside = (F.col("sr") >= 0) & (F.col("sr") < spec.nrows) & (F.col("sc") >= 0) & (F.col("sc") < spec.ncols)
     r, c = F.floor("sr").cast("long"), F.floor("sc").cast("int")
@@ -192,12 +198,15 @@ def polygonize(cells: DataFrame, spec: GridSpec, value: str = "z", connectivity:
 
 
 def to_crs(cells: DataFrame, spec: GridSpec, crs: str, interpolation: str = "nearest", value: str = "z") -> tuple[DataFrame, GridSpec]:
-    """The raster on a grid of the same shape that spans its outline in another coordinate system."""
-    from thalweg.functions.crs import transform_point
-
-    edge = [(r, c) for r in (0, spec.nrows) for c in range(spec.ncols + 1)] + [(r, c) for c in (0, spec.ncols) for r in range(spec.nrows + 1)]
-    at = [transform_point(*spec.xy(r, c), spec.crs, crs) for r, c in edge]
-    x0, x1, y0, y1 = min(p[0] for p in at), max(p[0] for p in at), min(p[1] for p in at), max(p[1] for p in at)
+    """The raster on a grid of the same shape that spans its outline in another coordinate system. Points without a place there, such as
+    those beyond a pole, are left out of the outline, and cells of the new grid that lead to none of the old one have no data."""
+    spark, ends = cells.sparkSession, lambda n: F.explode(F.array(F.lit(0), F.lit(n)))
+    edge = spark.range(spec.ncols + 1).select(ends(spec.nrows).alias("row"), F.col("id").alias("col")).unionByName(spark.range(spec.nrows + 1).select(F.col("id").alias("row"), ends(spec.ncols).alias("col")))
+    x, y = transform(*_corner(spec), spec.crs, crs)
+    there = lambda c: F.when((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.col(c))
+    x0, x1, y0, y1 = edge.select(x.alias("x"), y.alias("y")).agg(*[f(there(c)) for c in ("x", "y") for f in (F.min, F.max)]).head()
+    if x0 is None:
+        raise ValueError(f"no point of the grid's outline has a place in {crs}")
     dx, dy = (x1 - x0) / spec.ncols, (y1 - y0) / spec.nrows
     east, north = spec.affine[0] >= 0, spec.affine[4] < 0
     affine = (dx if east else -dx, 0.0, x0 if east else x1, 0.0, -dy if north else dy, y1 if north else y0)
