@@ -56,13 +56,13 @@ def test_raster_in_a_zone(spark):
         assert r["z"] == (z[at] if inside else None)
 
 
-def beyond_the_pole(spark, crs):
+def beyond_the_pole(spark, crs, pole=()):
     """A raster from 89.05 degrees south to 20 degrees beyond the pole, and where its rows before the pole have their corners."""
     nr, nc = 420, 3
     z = np.random.default_rng(1).random((nr, nc))
     spec = GridSpec(nr, nc, (0.05, 0.0, -97.0, 0.0, -0.05, -89.05))
     got, target = view.to_crs(cells(spark, z)[0], spec, crs)
-    outline = [transform_point(*spec.xy(r, c), "EPSG:4326", crs) for r in range(19) for c in range(nc + 1)]
+    outline = [transform_point(*spec.xy(r, c), "EPSG:4326", crs) for r in range(19) for c in range(nc + 1)] + [*pole]
     assert np.allclose((target.affine[2], target.affine[5]), (min(p[0] for p in outline), max(p[1] for p in outline)), rtol=1e-12)
     rows = got.collect()
     assert (target.nrows, target.ncols, len(rows)) == (nr, nc, nr * nc)
@@ -84,6 +84,20 @@ def test_mercator_of_a_raster_beyond_the_pole(spark):
         view.to_crs(cells(spark, z[:3, :2])[0], spec, "EPSG:3857")
 
 
+def test_zone_of_a_raster_beyond_the_pole(spark):
+    """The pole itself has a place there, and what is beyond it isn't folded back."""
+    pole = 500000.0, -0.9996 * 10001965.729  # the meridian's quarter
+    target, _, found, z = beyond_the_pole(spark, "EPSG:32614", [pole])
+    assert abs(target.xy(target.nrows, 0)[1] - pole[1]) < 1e-2
+    assert found and found <= set(z[:20].ravel())
+    df = spark.createDataFrame([(-97.0, lat) for lat in (-80.0, -100.0, 90.5, -367.0)], "x double, y double")
+    for crs in ("EPSG:32614", "EPSG:3857", "EPSG:5070"):
+        u, v = transform(F.col("x"), F.col("y"), "EPSG:4326", crs)
+        assert [r["p"] is None for r in df.select((u + v).alias("p")).collect()] == [False, True, True, True]
+        with pytest.raises(ValueError, match="beyond a pole"):
+            transform_point(-97.0, -100.0, "EPSG:4326", crs)
+
+
 CLARKE = "+proj=longlat +ellps=clrk66"
 
 
