@@ -170,3 +170,26 @@ def test_dry_and_empty(spark):
     flat = cells.withColumn("z", F.lit(2.0))
     assert {round(r["depth"], 9) for r in flood.flood(flat, water, spec).collect()} == {round(1 / 6, 9)}
     assert flood.flood(flat, water.where("false"), spec).isEmpty()
+
+
+def test_pools_by_rounds(spark):
+    """Three trees: one under water, in which 0.3 holds less than 0.1 + 0.2 and is no pool of its own; flows into sides that have room; dry ones."""
+    inf, none = float("inf"), None
+    tree = [(1, -3, 1.0, 1, 2, 2, 0.1), (2, -3, 1.0, 1, 2, 1, 0.2), (-3, -5, 1.0, 2, 4, 4, 0.3), (4, -5, 1.0, 2, 4, 2, 0.5), (-5, -7, 2.0, 4, 6, 6, 1.5), (6, -7, 2.0, 4, 6, 4, 0.25), (-7, none, none, none, none, none, inf)]
+    to = lambda n, i: n and n + (100 * i if n > 0 else -100 * i)
+    rows = [(to(n, i), to(p, i), level, x and x + 100 * i, y and y + 100 * i, to(drop, i), c) for i in range(3) for n, p, level, x, y, drop, c in tree]
+    capacity = spark.createDataFrame(rows, "node long, parent long, level double, x long, y long, drop long, capacity double")
+    rain = [(1, 3.0), (4, 0.25), (6, 0.5), (101, 1.0), (204, 0.25), (201, 0.15)]
+    pools = {1: -7, 2: -7, 4: -7, 6: -7, 101: -105, 102: -105, 104: -105, 106: 106, 201: 201, 202: 202, 204: 204, 206: 206}
+    runoff = spark.createDataFrame(rain, "basin long, w double")
+    one, many = [{r["basin"]: (r["pool"], r["water"]) for r in flood.settle(capacity, runoff, limit).collect()} for limit in (1000, 2)]
+    assert {b: p for b, (p, _) in many.items()} == {b: p for b, (p, _) in one.items()} == pools
+    assert {b: w for b, (_, w) in many.items()} == {b: pytest.approx(w, abs=1e-12) for b, (_, w) in one.items()}
+    assert sum({p: w for p, w in many.values()}.values()) == pytest.approx(sum(w for _, w in rain), abs=1e-12)
+
+
+def test_sums_of_many_depths(spark):
+    """Depths whose last bits are alike round to one side, so that plain sums drift."""
+    n = 3_000_000
+    got = spark.range(n, numPartitions=1).select(F.lit(0.6246450430054922).alias("v")).agg(flood.total(F.col("v"))).head()[0]
+    assert got == pytest.approx(n * 0.6246450430054922, rel=1e-15)

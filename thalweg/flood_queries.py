@@ -55,7 +55,7 @@ def flood_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells, spec = raster(spark, sf_dir, "noise")
     rain = _rain(cells)
-    stands = flood.flood(cells, rain, spec).agg(F.sum("depth").alias("stands"))
+    stands = flood.flood(cells, rain, spec).agg(flood.total(F.col("depth")).alias("stands"))
     return rain.agg(F.sum("depth").alias("rain")).join(F.broadcast(stands)).select(_r("rain"), _r("stands"))
 
 

@@ -299,19 +299,23 @@ def _settled_by_rounds(nodes: DataFrame, limit: int) -> DataFrame:
         gained = flows.join(nodes.select("node", "drop"), "node").groupBy(F.col("drop").alias("node")).agg(F.sum("f").alias("g"))
         moved = nodes.select("node", "parent", *KEY).join(gained, "node", "left").join(flows, "node", "left")
         net = _sums(moved.select("node", "parent", *KEY, F.lit(0.0).alias("n"), (F.coalesce("g", F.lit(0.0)) - F.coalesce("f", F.lit(0.0))).alias("s")), limit).select("node", F.col("s").alias("net"))
-        here = pinned(side.join(net, "node").join(flows, "node", "left").select("node", "parent", "drop", "capacity", (F.col("total") + F.col("net") + F.coalesce("f", F.lit(0.0))).alias("a"), F.coalesce("f", F.lit(0.0)).alias("f")), "water")
+        here = pinned(side.join(net, "node").join(flows, "node", "left").select("node", "parent", "drop", "capacity", "total", (F.col("total") + F.col("net") + F.coalesce("f", F.lit(0.0))).alias("a"), F.coalesce("f", F.lit(0.0)).alias("f")), "water")
         other = here.select("parent", F.col("node").alias("o"), F.col("capacity").alias("oc"), F.col("a").alias("oa"), F.col("f").alias("of"))
         pair = here.where("parent is not null").join(other, "parent").where("node != o")
-        flow = F.least(F.greatest(F.col("a") - F.col("capacity"), F.lit(0.0)), F.greatest(F.col("oc") - F.col("oa"), F.lit(0.0)))
-        pair = pinned(pair.select("node", "parent", "a", "capacity", "oc", "of", F.col("f").alias("old"), flow.alias("f")), "flows")
-        if pair.where(F.abs(F.col("f") - F.col("old")) > 1e-12 * (1 + F.abs(F.col("f")))).isEmpty():
+        x, ox = F.col("a") - F.col("of"), F.col("oa") - F.col("f")  # what arrives on each side without this pass's own flows
+        flow = F.least(F.greatest(x - F.col("capacity"), F.lit(0.0)), F.greatest(F.col("oc") - ox, F.lit(0.0)))
+        pair = pinned(pair.select("node", "parent", x.alias("a"), "capacity", "oc", "of", F.col("f").alias("old"), flow.alias("f")), "flows")
+        if pair.where(F.abs(F.col("f") - F.col("old")) > 1e-12 * (1 + F.abs(F.col("f"))) + 1e-13 * F.abs(F.col("a"))).isEmpty():
             break
         flows = pair.select("node", "f")
-    tops = here.where("parent is null").select("node", F.col("a").alias("water"))
+    tops = here.where("parent is null").select("node", F.col("total").alias("water"))  # what flows stays in the tree
     water = pinned(tops.unionByName(pair.select("node", F.least("capacity", F.col("a") + F.col("of")).alias("water"))), "held")
     room = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("capacity").alias("room"))
-    active = water.join(room, "node").where("water >= room").select(F.col("node").alias("parent"), F.col("parent").alias("p"))
-    to = nodes.select("node", "parent").join(active, "parent", "left").select(F.col("node").alias("id"), "p", F.lit(0.0).alias("d"))
+    # below an active node all are, which rounding may deny where passes are level; so a node's pool is the highest active one above it
+    active = water.join(room, "node").where("water >= room").select(F.col("node").alias("parent"), F.lit(1.0).alias("d"))
+    up = nodes.select("node", "parent").join(active, "parent", "left").select(F.col("node").alias("id"), F.col("parent").alias("p"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    above = roots(up).where("d > 0").select("id")
+    to = up.join(above.withColumn("on", F.lit(True)), "id", "left").select("id", F.when(F.col("on"), F.col("p")).alias("p"), F.lit(0.0).alias("d"))
     basin = nodes.select("node").join(room, "node", "left_anti")
     pools = basin.join(roots(to), basin["node"] == F.col("id")).select(F.col("node").alias("basin"), F.col("root").alias("pool"))
     return pools.join(water.withColumnRenamed("node", "pool"), "pool").select("basin", "pool", "water")
@@ -327,6 +331,12 @@ def settle(capacity: DataFrame, runoff: DataFrame, limit: int = LIMIT) -> DataFr
     return pinned(_settled_by_rounds(nodes, limit), "settled")
 
 
+def total(amount: Column) -> Column:
+    """The sum of ``amount``: of its multiples of 2^-20, which is exact up to 2^33, and of the rest, so that errors don't grow with the rows."""
+    whole = F.rint(amount * 2.0**20) / 2.0**20
+    return F.sum(whole) + F.sum(amount - whole)
+
+
 def water_levels(rows: DataFrame) -> DataFrame:
     """pool and ``level``, of ``rows`` (pool, water, id, z: the cells of a pool): the level at which the cells below it hold the water.
 
@@ -342,7 +352,7 @@ def water_levels(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("pool", "part").orderBy("z", "id").rowsBetween(Window.unboundedPreceding, 0)
     run = ranged.withColumn("n1", F.count("*").over(upto)).withColumn("s1", F.sum("z").over(upto)).join(parts, ["pool", "part"])
     wet = run.where((F.col("n0") + F.col("n1")) * F.col("z") - F.col("s0") - F.col("s1") < F.col("water"))
-    return wet.groupBy("pool", "water", "base").agg(F.count("*").alias("n"), F.sum("z").alias("s")).select("pool", (F.col("base") + (F.col("water") + F.col("s")) / F.col("n")).alias("level"))
+    return wet.groupBy("pool", "water", "base").agg(F.count("*").alias("n"), total(F.col("z")).alias("s")).select("pool", (F.col("base") + (F.col("water") + F.col("s")) / F.col("n")).alias("level"))
 
 
 def flood(cells: DataFrame, water: DataFrame, spec: GridSpec, *, open_rim: bool = False, limit: int = LIMIT) -> DataFrame:
